@@ -58,18 +58,66 @@ def contains_any(column: Column, words: Iterable[str]) -> Column:
     return column.rlike("|".join(re.escape(w) for w in words))
 
 
-def matched_words(column: Column, words: Iterable[str]) -> Column:
+def sql_text(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def words(items: Iterable[str]) -> Column:
+    """Constant array of texts."""
+    return F.expr(f"array({', '.join(sql_text(w) for w in items)})")
+
+
+def in_words(name: str, items: Iterable[str]) -> str:
+    """SQL test ``name IN (...)``, false for null."""
+    return f"coalesce({name} IN ({', '.join(sql_text(w) for w in items)}), false)"
+
+
+def matched_words(column: Column, items: Iterable[str]) -> Column:
     """Words of the list found anywhere in the text, in list order."""
-    return keep(*[F.when(column.contains(w), F.lit(w)) for w in words])
+    return F.filter(words(items), lambda w: F.contains(column, w))
 
 
 def lookup(key: Column, table: Mapping, default=None) -> Column:
     """Constant-table lookup; the map is folded into the plan once."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    found = F.try_element_at(F.create_map(*pairs), key)
+    show = lambda v: sql_text(v) if isinstance(v, str) else f"{float(v)}D"
+    pairs = ", ".join(f"{sql_text(k)}, {show(v)}" for k, v in table.items())
+    found = F.try_element_at(F.expr(f"map({pairs})"), key)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def flag_list(rules: Mapping[str, str]) -> Column:
+    """Names whose SQL condition holds, in order. A name may hold ``{column}`` marks."""
+    items = [f"if({cond}, {template(name)}, null)" for name, cond in rules.items()]
+    return F.expr(f"array_compact(array({', '.join(items)}))")
+
+
+def evidence_list(rules: Iterable[tuple[str, str, str, str]]) -> Column:
+    """Evidence of the rules that hold: (key, value SQL, description, condition SQL).
+
+    The description may hold ``{column}`` marks.
+    """
+    items = [
+        f"if({cond}, named_struct('key', {sql_text(key)}, 'value', cast({value} as string),"
+        f" 'description', {template(text)}), null)"
+        for key, value, text, cond in rules
+    ]
+    return F.expr(f"array_compact(array({', '.join(items)}))")
+
+
+def template(text: str) -> str:
+    """SQL concatenation of a text with ``{column}`` marks."""
+    parts = re.split(r"\{([^{}]+)\}", text)
+    if len(parts) == 1:
+        return sql_text(text)
+    shown = [
+        f"cast({part} as string)" if i % 2 else sql_text(part)
+        for i, part in enumerate(parts)
+        if part
+    ]
+    return f"concat({', '.join(shown)})"
+
+
 def engine_result(
     name: str,
     score: Column,

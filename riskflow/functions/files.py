@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskflow import dims
-from riskflow.functions.columns import lookup
+from riskflow.functions.columns import lookup, sql_text, words
 
 RTLO = "\u202e"
 
@@ -38,8 +38,8 @@ def double_extension(name: Column) -> Column:
         name.contains(RTLO)
         | (
             (F.size(parts) >= 3)
-            & inner.isin(dims.SAFE_DOC_EXT)
-            & last.isin([*dims.DANGEROUS_EXT, *dims.ARCHIVE_EXT])
+            & F.array_contains(words(dims.SAFE_DOC_EXT), inner)
+            & F.array_contains(words([*dims.DANGEROUS_EXT, *dims.ARCHIVE_EXT]), last)
         ),
         F.lit(False),
     )
@@ -49,7 +49,9 @@ def suspicious_name(name: Column) -> Column:
     low = F.lower(name)
     ends = "|".join([*dims.DANGEROUS_EXT, *dims.ARCHIVE_EXT])
     padded = name.rlike(" {3}|_{3}") & low.rlike(rf"\.(?:{ends})$")
-    lured = low.rlike("|".join(dims.LURE_WORDS)) & extension(low).isin(dims.DANGEROUS_EXT)
+    lured = low.rlike("|".join(dims.LURE_WORDS)) & F.array_contains(
+        words(dims.DANGEROUS_EXT), extension(low)
+    )
     return F.coalesce(
         name.contains(RTLO) | name.contains("\x00") | padded | lured, F.lit(False)
     )
@@ -64,46 +66,45 @@ def latin(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1")
 
 
-def signature(content: Column, field: str) -> Column:
-    """Extension or mime of the first matching public file signature, null if none."""
-    out = F.lit(None).cast("string")
-    for prefix, offset, ext, mime in reversed(dims.FILE_SIGNATURES):
-        probe = F.hex(F.substring(content, offset + 1, len(prefix) // 2))
-        value = ext if field == "ext" else mime
-        out = F.when(probe == prefix, F.lit(value)).otherwise(out)
-    return out
-
-
-def magic_type(content: Column) -> Column:
-    """Coarse content type by leading bytes."""
-    head = _head(content, 16)
-    starts = lambda *hx: _any(head, hx)
-    early = latin(F.substring(content, 1, 1024))
-    zip_text = latin(F.substring(content, 1, 2048))
-    html = F.lower(F.trim(F.regexp_replace(latin(F.substring(content, 1, 512)), r"^\s+", "")))
-    return (
-        F.when(content.isNull() | (F.octet_length(content) == 0), F.lit("empty"))
-        .when(starts("4D5A"), F.lit("executable/pe"))
-        .when(starts("7F454C46"), F.lit("executable/elf"))
-        .when(starts("FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE"), F.lit("executable/macho"))
-        .when(starts("CAFEBABE"), F.lit("executable/java_class"))
-        .when(early.contains("%PDF-"), F.lit("document/pdf"))
-        .when(starts("D0CF11E0A1B11AE1"), F.lit("document/ole2"))
-        .when(starts("7B5C727466"), F.lit("document/rtf"))
-        .when(
-            is_zip(content),
-            F.when(
-                zip_text.rlike(r"\[Content_Types\]\.xml|word/|xl/|ppt/"), F.lit("document/ooxml")
-            ).otherwise("archive/zip"),
-        )
-        .when(starts("526172211A0700", "526172211A070100"), F.lit("archive/rar"))
-        .when(starts("377ABCAF271C"), F.lit("archive/7z"))
-        .when(starts("1F8B"), F.lit("archive/gzip"))
-        .when(starts("425A68"), F.lit("archive/bzip2"))
-        .when(_ustar(content), F.lit("archive/tar"))
-        .when(html.rlike("^(?:<!doctype html|<html|<\\?xml)"), F.lit("document/html"))
-        .when(starts("2321"), F.lit("script/shebang"))
-        .otherwise(F.coalesce(signature(content, "mime"), F.lit("unknown")))
+def signature(content: str, field: str) -> Column:
+    """Extension or mime of the first matching public file signature of a content
+    column, null if none."""
+    cases = " ".join(
+        f"WHEN hex(substring({content}, {offset + 1}, {len(prefix) // 2})) = '{prefix}'"
+        f" THEN {sql_text(ext if field == 'ext' else mime)}"
+        for prefix, offset, ext, mime in dims.FILE_SIGNATURES
+    )
+    return F.expr(f"CASE {cases} END")
+
+
+def magic_type(content: str) -> Column:
+    """Coarse content type of a content column by its leading bytes."""
+    head = f"hex(substring({content}, 1, 16))"
+    starts = lambda *hx: f"{head} RLIKE '^(?:{'|'.join(hx)})'"
+    early = lambda n: f"decode(substring({content}, 1, {n}), 'ISO-8859-1')"
+    return F.expr(
+        f"""CASE
+        WHEN {content} IS NULL OR octet_length({content}) = 0 THEN 'empty'
+        WHEN {starts("4D5A")} THEN 'executable/pe'
+        WHEN {starts("7F454C46")} THEN 'executable/elf'
+        WHEN {starts("FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE")} THEN 'executable/macho'
+        WHEN {starts("CAFEBABE")} THEN 'executable/java_class'
+        WHEN contains({early(1024)}, '%PDF-') THEN 'document/pdf'
+        WHEN {starts("D0CF11E0A1B11AE1")} THEN 'document/ole2'
+        WHEN {starts("7B5C727466")} THEN 'document/rtf'
+        WHEN {starts("504B0304", "504B0506", "504B0708")} THEN
+          CASE WHEN contains({early(2048)}, '[Content_Types].xml')
+                 OR {early(2048)} RLIKE 'word/|xl/|ppt/' THEN 'document/ooxml'
+               ELSE 'archive/zip' END
+        WHEN {starts("526172211A0700", "526172211A070100")} THEN 'archive/rar'
+        WHEN {starts("377ABCAF271C")} THEN 'archive/7z'
+        WHEN {starts("1F8B")} THEN 'archive/gzip'
+        WHEN {starts("425A68")} THEN 'archive/bzip2'
+        WHEN octet_length({content}) >= 512
+             AND hex(substring({content}, 258, 5)) = '7573746172' THEN 'archive/tar'
+        WHEN lower({early(512)}) RLIKE r'^\s*(?:<!doctype html|<html|<[?]xml)' THEN 'document/html'
+        WHEN {starts("2321")} THEN 'script/shebang'
+        END"""
     )
 
 
@@ -144,7 +145,7 @@ def type_mismatch(declared: Column, detected: Column) -> Column:
         | ((declared == "txt") & ~program & ~detected.startswith("archive/"))
     )
     clash = (
-        (declared.isin(dims.SAFE_DOC_EXT) & program)
+        (F.array_contains(words(dims.SAFE_DOC_EXT), declared) & program)
         | (
             declared.isin("pdf", "jpg", "jpeg", "png", "txt", "csv")
             & (detected == "archive/zip")
@@ -156,13 +157,13 @@ def type_mismatch(declared: Column, detected: Column) -> Column:
     return F.coalesce(known & ~fits & clash, F.lit(False))
 
 
-def extension_mismatch(content: Column, name: Column) -> Column:
+def extension_mismatch(content: str, name: Column) -> Column:
     """Detected and declared extension are both known and differ beyond aliases."""
     actual = signature(content, "ext")
     declared = F.lower(F.regexp_extract(name, r"[^/.][^/]*\.([^./]*)$", 1))
     alias = lookup(declared, dims.EXT_ALIASES, "")
     return F.coalesce(
-        (F.octet_length(content) > 0)
+        (F.octet_length(F.col(content)) > 0)
         & actual.isNotNull()
         & (declared != "")
         & (declared != actual)

@@ -13,14 +13,17 @@ from riskflow import dims
 from riskflow.functions.columns import (
     engine_result,
     evidence,
+    evidence_list,
     filled,
-    flag,
+    flag_list,
+    in_words,
     keep,
     lookup,
     no_evidence,
     no_flags,
     skipped_result,
     text_of,
+    words,
 )
 from riskflow.functions.files import (
     archive_listing,
@@ -30,6 +33,7 @@ from riskflow.functions.files import (
     is_zip,
     latin,
     magic_type,
+    signature,
     suspicious_name,
     type_mismatch,
     RTLO,
@@ -63,7 +67,10 @@ def with_attachment_signals(df: DataFrame) -> DataFrame:
     df = df.withColumns(
         {
             "_at_ext": F.when(c("name").contains("."), extension(c("name"))).otherwise(""),
-            "att_type": F.when(c("has"), magic_type(body)).otherwise("unknown"),
+            "att_type": F.when(
+                c("has"),
+                F.coalesce(magic_type("att_bytes"), signature("att_bytes", "mime"), F.lit("unknown")),
+            ).otherwise("unknown"),
             "_at_txt": F.when(c("has"), latin(body)),
         }
     )
@@ -72,7 +79,7 @@ def with_attachment_signals(df: DataFrame) -> DataFrame:
         archive_listing(F.when(c("has"), body), F.col("att_type"), c("ext")),
     )
     kind, ext = F.col("att_type"), c("ext")
-    office = (kind == "document/ooxml") | ext.isin(dims.OFFICE_EXT)
+    office = (kind == "document/ooxml") | F.expr(in_words("_at_ext", dims.OFFICE_EXT))
     df = df.withColumns(
         {
             "_at_zip": F.coalesce(is_zip(body), F.lit(False)),
@@ -95,7 +102,7 @@ def with_attachment_signals(df: DataFrame) -> DataFrame:
     plain_zip = c("zip") & F.substring(c("txt"), 1, 4).eqNullSafe(F.lit("PK\x03\x04"))
     first_name = lambda hits: clean_name(F.element_at(hits, 1)["name"])
     macro = F.when(
-        c("has") & ext.isin(dims.MACRO_EXT), text_of("macro_enabled_extension (.", ext, ")")
+        c("has") & F.expr(in_words("_at_ext", dims.MACRO_EXT)), text_of("macro_enabled_extension (.", ext, ")")
     ).when(
         c("has") & (kind.isin("document/ooxml", "archive/zip") | plain_zip) & (F.size(vba) > 0),
         text_of("ooxml_vba_part (", first_name(vba), ")"),
@@ -119,59 +126,68 @@ def with_attachment_signals(df: DataFrame) -> DataFrame:
     df = df.withColumns({"_at_macro": macro, "_at_script": script})
     df = _with_archive(df)
 
-    named = c("name") != ""
-    doubled = named & (double_extension(c("name")) | c("rtlo"))
-    odd_name = named & (suspicious_name(c("name")) | c("rtlo"))
-    evasive = named & ext.isin(dims.EVASION_EXT)
-    exe_ext, script_ext = named & ext.isin(dims.EXECUTABLE_EXT), named & ext.isin(dims.SCRIPT_EXT)
-    exe_magic = kind.startswith("executable/") & ~exe_ext
-    shebang = (kind == "script/shebang") & ~script_ext
-    clash = c("has") & named & type_mismatch(ext, kind)
-    has_macro, has_script = c("macro").isNotNull(), c("script").isNotNull()
+    df = df.withColumns(
+        {
+            "_at_double": double_extension(c("name")) | c("rtlo"),
+            "_at_odd": suspicious_name(c("name")) | c("rtlo"),
+            "_at_clash": c("has") & type_mismatch(ext, kind),
+        }
+    )
+    named = "_at_name <> '' AND "
+    exe_ext = named + in_words("_at_ext", dims.EXECUTABLE_EXT)
+    script_ext = named + in_words("_at_ext", dims.SCRIPT_EXT)
+    evasive = named + in_words("_at_ext", dims.EVASION_EXT)
+    exe_magic = f"startswith(att_type, 'executable/') AND NOT ({exe_ext})"
+    shebang = f"att_type = 'script/shebang' AND NOT ({script_ext})"
     flags = F.array_sort(
         F.array_distinct(
             F.concat(
-                keep(
-                    flag("DOUBLE_EXTENSION", doubled),
-                    flag("SUSPICIOUS_FILENAME", odd_name),
-                    flag("SUSPICIOUS_EXTENSION", evasive),
-                    flag("EXECUTABLE_ATTACHMENT", exe_ext | exe_magic),
-                    flag("SCRIPT_ATTACHMENT", script_ext | shebang),
-                    flag("ATTACHMENT_TYPE_MISMATCH", clash),
-                    flag("MACRO_PRESENT", has_macro),
-                    flag("EMBEDDED_SCRIPT", has_script),
+                flag_list(
+                    {
+                        "DOUBLE_EXTENSION": named + "_at_double",
+                        "SUSPICIOUS_FILENAME": named + "_at_odd",
+                        "SUSPICIOUS_EXTENSION": evasive,
+                        "EXECUTABLE_ATTACHMENT": f"({exe_ext}) OR ({exe_magic})",
+                        "SCRIPT_ATTACHMENT": f"({script_ext}) OR ({shebang})",
+                        "ATTACHMENT_TYPE_MISMATCH": named + "_at_clash",
+                        "MACRO_PRESENT": "_at_macro IS NOT NULL",
+                        "EMBEDDED_SCRIPT": "_at_script IS NOT NULL",
+                    }
                 ),
                 c("aflags"),
             )
         )
     )
-    name, dot_ext = c("name"), text_of(".", ext)
     items = F.concat(
-        keep(
-            evidence("double_extension", name, text_of(
-                "Attachment uses a deceptive double file extension: '", name, "'."), doubled),
-            evidence("suspicious_filename", name, text_of(
-                "Attachment filename matches deceptive lure pattern: '", name, "'."), odd_name),
-            evidence("suspicious_extension", dot_ext, text_of(
-                "Attachment uses a high-risk or suspicious file extension: '", dot_ext, "'."),
-                evasive),
-            evidence("executable_extension", dot_ext, text_of(
-                "Attachment declared as executable file type: '", dot_ext, "'."), exe_ext),
-            evidence("script_extension", dot_ext, text_of(
-                "Attachment declared as script file type: '", dot_ext, "'."), script_ext),
-            evidence("executable_magic_bytes", kind, text_of(
-                "Attachment binary header matches executable format: '", kind, "'."), exe_magic),
-            evidence("script_shebang", "script/shebang",
-                     "Attachment content begins with executable script shebang.", shebang),
-            evidence("attachment_type_mismatch",
-                     text_of("declared=", dot_ext, ", detected=", kind),
-                     text_of("Declared extension '", dot_ext,
-                             "' does not match detected type '", kind, "'."), clash),
-            evidence("macro_present", c("macro"),
-                     "Office document attachment contains embedded VBA macros.", has_macro),
-            evidence("embedded_script", c("script"), text_of(
-                "Attachment contains embedded script or launch action: ", c("script"), "."),
-                has_script),
+        evidence_list(
+            [
+                ("double_extension", "_at_name",
+                 "Attachment uses a deceptive double file extension: '{_at_name}'.",
+                 named + "_at_double"),
+                ("suspicious_filename", "_at_name",
+                 "Attachment filename matches deceptive lure pattern: '{_at_name}'.",
+                 named + "_at_odd"),
+                ("suspicious_extension", "concat('.', _at_ext)",
+                 "Attachment uses a high-risk or suspicious file extension: '.{_at_ext}'.", evasive),
+                ("executable_extension", "concat('.', _at_ext)",
+                 "Attachment declared as executable file type: '.{_at_ext}'.", exe_ext),
+                ("script_extension", "concat('.', _at_ext)",
+                 "Attachment declared as script file type: '.{_at_ext}'.", script_ext),
+                ("executable_magic_bytes", "att_type",
+                 "Attachment binary header matches executable format: '{att_type}'.", exe_magic),
+                ("script_shebang", "'script/shebang'",
+                 "Attachment content begins with executable script shebang.", shebang),
+                ("attachment_type_mismatch",
+                 "concat('declared=.', _at_ext, ', detected=', att_type)",
+                 "Declared extension '.{_at_ext}' does not match detected type '{att_type}'.",
+                 named + "_at_clash"),
+                ("macro_present", "_at_macro",
+                 "Office document attachment contains embedded VBA macros.",
+                 "_at_macro IS NOT NULL"),
+                ("embedded_script", "_at_script",
+                 "Attachment contains embedded script or launch action: {_at_script}.",
+                 "_at_script IS NOT NULL"),
+            ]
         ),
         c("aitems"),
     )
@@ -182,7 +198,7 @@ def with_attachment_signals(df: DataFrame) -> DataFrame:
         lambda acc, f: acc + lookup(f, dims.ATTACHMENT_WEIGHTS, dims.DEFAULT_ATTACHMENT_WEIGHT),
     )
     strong = F.arrays_overlap(
-        "att_flags", F.array(*[F.lit(f) for f in dims.STRONG_ATTACHMENT_FLAGS])
+        "att_flags", words(dims.STRONG_ATTACHMENT_FLAGS)
     )
     pick = lambda with_bytes, without: F.when(c("has"), with_bytes).otherwise(without)
     df = df.withColumns(
@@ -192,7 +208,7 @@ def with_attachment_signals(df: DataFrame) -> DataFrame:
             .when(strong, pick(0.95, 0.75))
             .otherwise(pick(0.85, 0.70)),
             "att_partial": c("arch") & c("list")["error"].isNotNull(),
-            "att_present": named | c("has") | filled(F.col("att_name")),
+            "att_present": (c("name") != "") | c("has") | filled(F.col("att_name")),
         }
     )
     return df.drop(*[x for x in df.columns if x.startswith("_at_")])
@@ -222,10 +238,12 @@ def _with_archive(df: DataFrame) -> DataFrame:
             ),
         ),
     )
-    payload = lambda x: x.isin([e for e in dims.DANGEROUS_EXT if e not in dims.ARCHIVE_EXT])
-    archive = lambda x: x.isin(dims.ARCHIVE_EXT)
+    payload = lambda x: F.array_contains(
+        words([e for e in dims.DANGEROUS_EXT if e not in dims.ARCHIVE_EXT]), x
+    )
+    archive = lambda x: F.array_contains(words(dims.ARCHIVE_EXT), x)
     runs = lambda x: F.when(
-        x.isin(dims.EXECUTABLE_EXT), F.lit("EXECUTABLE_ATTACHMENT")
+        F.array_contains(words(dims.EXECUTABLE_EXT), x), F.lit("EXECUTABLE_ATTACHMENT")
     ).otherwise("SCRIPT_ATTACHMENT")
     sus, deep = "SUSPICIOUS_ARCHIVE", "ARCHIVE_DEPTH_ANOMALY"
 
@@ -273,7 +291,7 @@ def _with_archive(df: DataFrame) -> DataFrame:
                          ).alias("ev"),
             ),
         ).when(
-            extension(n).isin(dims.DANGEROUS_EXT),
+            F.array_contains(words(dims.DANGEROUS_EXT), extension(n)),
             F.struct(
                 F.array(F.lit(sus), runs(extension(n))).alias("flags"),
                 evidence("nested_archive_payload", n, text_of(
@@ -298,7 +316,7 @@ def _with_archive(df: DataFrame) -> DataFrame:
     only = F.try_element_at(files, F.lit(1))
     dropper = (
         ok & (F.size(files) == 1)
-        & F.coalesce(only["ext"].isin(dims.DANGEROUS_EXT), F.lit(False))
+        & F.coalesce(F.array_contains(words(dims.DANGEROUS_EXT), only["ext"]), F.lit(False))
         & ~c("list")["too_many"]
     )
     one = lambda cond, name, ev: F.when(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow import dims
-from riskflow.functions.columns import lookup
+from riskflow.functions.columns import lookup, words
 from riskflow.operators.joins import dim_join
 from riskflow.schemas import PROFILES
 
@@ -24,7 +24,7 @@ def _factor(r: Column) -> Column:
 
 
 def _malware_signal(r: Column) -> Column:
-    flagged = F.arrays_overlap(r["flags"], F.array(*[F.lit(f) for f in dims.MALWARE_FLAGS]))
+    flagged = F.arrays_overlap(r["flags"], words(dims.MALWARE_FLAGS))
     strong = (r["engine_name"] == dims.MALWARE_ENGINE) & (r["risk_score"] >= 90.0)
     return (r["confidence"] >= 0.5) & (strong | F.coalesce(flagged, F.lit(False)))
 
@@ -185,7 +185,7 @@ def with_class(
     wanted = F.lower(F.trim(F.lit(None).cast("string") if profile_name is None else profile_name))
     if signal is None:
         signal = F.arrays_overlap(
-            F.col("flags"), F.array(*[F.lit(f) for f in dims.MALWARE_FLAGS])
+            F.col("flags"), words(dims.MALWARE_FLAGS)
         )
     known = profiles.select(
         F.col("name").alias("_pn"), F.struct(*[c for c in profiles.columns]).alias("_prof")

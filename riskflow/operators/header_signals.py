@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from riskflow import dims
 from riskflow.functions.columns import (
     engine_result,
-    evidence,
+    evidence_list,
     filled,
-    flag,
-    keep,
-
+    flag_list,
+    in_words,
     skipped_result,
-    text_of,
 )
 
 # canonical column -> header names in order of preference (fixed values)
@@ -106,25 +104,23 @@ def with_header_signals(df: DataFrame) -> DataFrame:
     reply = filled(col("h_reply_to")) & differs("_h_re", "_h_fe")
     reply_domain = reply & differs("_h_rd", "_h_fd")
     bounce = filled(col("h_return_path")) & differs("_h_pd", "_h_fd")
-    listed = lambda c, bad: F.coalesce(F.lower(c).isin(bad), F.lit(False))
-    mentioned = lambda n: col("_h_al").contains("fail") & col("_h_al").contains(n)
-    spf = listed("h_spf", dims.SPF_FAIL)
-    dkim = listed("h_dkim", dims.DKIM_FAIL)
-    dmarc = listed("h_dmarc", dims.DMARC_FAIL)
     # failures named by their own header come before those of the summary header
-    failures = F.array_distinct(
-        keep(
-            flag("SPF", spf), flag("DKIM", dkim), flag("DMARC", dmarc),
-            flag("SPF", mentioned("spf")), flag("DKIM", mentioned("dkim")),
-            flag("DMARC", mentioned("dmarc")),
-        )
+    summary = lambda n: f"contains(_h_al, 'fail') AND contains(_h_al, '{n}')"
+    failures = F.concat(
+        flag_list(
+            {
+                "SPF": in_words("lower(h_spf)", dims.SPF_FAIL),
+                "DKIM": in_words("lower(h_dkim)", dims.DKIM_FAIL),
+                "DMARC": in_words("lower(h_dmarc)", dims.DMARC_FAIL),
+            }
+        ),
+        flag_list({"SPF": summary("spf"), "DKIM": summary("dkim"), "DMARC": summary("dmarc")}),
     )
-    df = df.withColumn("_h_fails", failures)
+    df = df.withColumn("_h_fails", F.array_distinct(failures))
     failed = F.size("_h_fails") > 0
     id_missing = col("h_message_id").isNull()
     id_blank = ~id_missing & (F.trim("h_message_id") == "")
     id_other = ~id_missing & ~id_blank & differs("_h_md", "_h_fd")
-    id_odd = id_missing | id_blank | id_other
     late = F.lit(False)
     if "meta_ts" in df.columns:
         sent = mail_date_seconds(col("h_date"))
@@ -141,46 +137,53 @@ def with_header_signals(df: DataFrame) -> DataFrame:
             ),
             F.lit(False),
         )
-    points = lambda c, n: F.when(c, n).otherwise(0.0)
-    total = (
-        F.when(reply_domain, 0.3).when(reply, 0.1).otherwise(0.0)
-        + points(bounce, 0.3)
-        + points(failed, 0.4)
-        + points(id_odd, 0.1)
-        + points(late, 0.2)
-        + points(forged | hops, 0.3)
+    df = df.withColumns(
+        {
+            "_h_reply": reply, "_h_reply_dom": reply_domain, "_h_bounce": bounce,
+            "_h_failed": failed, "_h_missing": id_missing, "_h_blank": id_blank,
+            "_h_other": id_other, "_h_late": late, "_h_forged": forged, "_h_hops": forged | hops,
+        }
+    )
+    id_odd = "(_h_missing OR _h_blank OR _h_other)"
+    total = F.expr(
+        "CASE WHEN _h_reply_dom THEN 0.3D WHEN _h_reply THEN 0.1D ELSE 0.0D END"
+        " + if(_h_bounce, 0.3D, 0.0D) + if(_h_failed, 0.4D, 0.0D)"
+        f" + if({id_odd}, 0.1D, 0.0D) + if(_h_late, 0.2D, 0.0D) + if(_h_hops, 0.3D, 0.0D)"
     )
     flags = F.concat(
-        keep(flag("REPLY_TO_MISMATCH", reply), flag("RETURN_PATH_MISMATCH", bounce)),
-        F.transform("_h_fails", lambda f: F.concat(f, F.lit("_FAILURE"))),
-        keep(
-            flag("AUTHENTICATION_FAILURE", failed),
-            flag("MESSAGE_ID_ANOMALY", id_odd),
-            flag("TIMESTAMP_ANOMALY", late),
-            flag("RECEIVED_CHAIN_ANOMALY", forged | hops),
+        flag_list({"REPLY_TO_MISMATCH": "_h_reply", "RETURN_PATH_MISMATCH": "_h_bounce"}),
+        F.expr("transform(_h_fails, f -> concat(f, '_FAILURE'))"),
+        flag_list(
+            {
+                "AUTHENTICATION_FAILURE": "_h_failed",
+                "MESSAGE_ID_ANOMALY": id_odd,
+                "TIMESTAMP_ANOMALY": "_h_late",
+                "RECEIVED_CHAIN_ANOMALY": "_h_hops",
+            }
         ),
     )
-    items = keep(
-        evidence("reply_to_mismatch", col("h_reply_to"), F.when(reply_domain, text_of(
-            "Reply-To domain (", col("_h_rd"), ") differs from From domain (", col("_h_fd"), ")"))
-            .otherwise(text_of("Reply-To email (", col("_h_re"), ") differs from From email (",
-                               col("_h_fe"), ")")), reply),
-        evidence("return_path_mismatch", col("h_return_path"), text_of(
-            "Return-Path domain (", col("_h_pd"), ") differs from From domain (", col("_h_fd"),
-            ")"), bounce),
-        evidence("authentication_failure", F.array_join("_h_fails", ","), text_of(
-            "Authentication failed for: ", F.array_join("_h_fails", ", ")), failed),
-        evidence("message_id_anomaly", F.when(id_other, col("h_message_id")).otherwise(""),
-                 F.when(id_missing, F.lit("Message-ID header is missing entirely"))
-                 .when(id_blank, F.lit("Message-ID header is missing or empty"))
-                 .otherwise(text_of("Message-ID domain (", col("_h_md"),
-                                    ") does not match sender domain (", col("_h_fd"), ")")), id_odd),
-        evidence("timestamp_anomaly", col("h_date"),
-                 "Email Date header differs significantly from scan reference time", late),
-        evidence("received_chain_anomaly",
-                 F.when(forged, F.lit("forged")).otherwise("suspicious"),
-                 F.when(forged, F.lit("Received chain contains signs of forging"))
-                 .otherwise("Received chain indicates suspicious hops"), forged | hops),
+    items = evidence_list(
+        [
+            ("reply_to_mismatch", "h_reply_to",
+             "Reply-To domain ({_h_rd}) differs from From domain ({_h_fd})", "_h_reply_dom"),
+            ("reply_to_mismatch", "h_reply_to",
+             "Reply-To email ({_h_re}) differs from From email ({_h_fe})",
+             "_h_reply AND NOT _h_reply_dom"),
+            ("return_path_mismatch", "h_return_path",
+             "Return-Path domain ({_h_pd}) differs from From domain ({_h_fd})", "_h_bounce"),
+            ("authentication_failure", "array_join(_h_fails, ',')",
+             "Authentication failed for: {array_join(_h_fails, ', ')}", "_h_failed"),
+            ("message_id_anomaly", "''", "Message-ID header is missing entirely", "_h_missing"),
+            ("message_id_anomaly", "''", "Message-ID header is missing or empty", "_h_blank"),
+            ("message_id_anomaly", "h_message_id",
+             "Message-ID domain ({_h_md}) does not match sender domain ({_h_fd})", "_h_other"),
+            ("timestamp_anomaly", "h_date",
+             "Email Date header differs significantly from scan reference time", "_h_late"),
+            ("received_chain_anomaly", "'forged'", "Received chain contains signs of forging",
+             "_h_forged"),
+            ("received_chain_anomaly", "'suspicious'",
+             "Received chain indicates suspicious hops", "_h_hops AND NOT _h_forged"),
+        ]
     )
     df = df.withColumns(
         {
@@ -189,8 +192,7 @@ def with_header_signals(df: DataFrame) -> DataFrame:
             "header_evidence": items,
         }
     )
-    scratch = [f"_h_{x}{y}" for x in "frpm" for y in "ed"] + ["_h_al", "_h_fails"]
-    return df.drop(*scratch)
+    return df.drop(*[c for c in df.columns if c.startswith("_h_")])
 
 
 def header_result() -> Column:

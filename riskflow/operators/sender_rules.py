@@ -13,12 +13,10 @@ from pyspark.sql import functions as F
 from riskflow import dims
 from riskflow.functions.columns import (
     engine_result,
-    evidence,
+    evidence_list,
     filled,
-    flag,
-    keep,
+    flag_list,
     skipped_result,
-    text_of,
 )
 from riskflow.operators.anchors import SLICE_US, with_anchor
 from riskflow.operators.running import CHUNK_ROWS, with_running
@@ -109,71 +107,65 @@ def with_sender_history(
 
 def with_sender_signals(df: DataFrame) -> DataFrame:
     """Add ``sender_flags``, ``sender_score`` (0-100), ``sender_confidence``, evidence."""
-    col = F.col
-    is_new = col("prior_count") == 0
-    old = ~is_new
-    gap = (col("t_us") - col("prior_last_us")) / F.lit(1_000_000.0)
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    rapid = yes(old & (col("prior_last_us") > 0) & (gap < 60))
-    frequent = yes(old & (col("prior_count") > 5) & (col("recent_count") > 10))
-    seen_hour = F.expr("(shiftright(coalesce(prior_hours, 0L), hour) & 1L) = 1L")
-    odd_time = yes(old & (col("prior_count") > 5) & ~seen_hour)
-    moved = yes(
-        old
-        & (col("prior_domain") != "")
-        & (col("domain") != "")
-        & (col("prior_domain") != col("domain"))
-    )
-    link = yes(old & col("has_link") & (col("prior_links") == 0) & (col("prior_count") > 3))
-    file = yes(old & col("has_file") & (col("prior_files") == 0) & (col("prior_count") > 3))
-    drift = yes(
-        ~moved
-        & (col("display_name") != "")
-        & (col("domain") != "")
-        & (col("name_domain") != col("domain"))
-    )
-    points = lambda c, n: F.when(c, n).otherwise(0.0)
-    total = (
-        points(is_new, 0.2)
-        + points(rapid, 0.3)
-        + points(frequent, 0.2)
-        + points(odd_time, 0.2)
-        + points(moved, 0.4)
-        + points(link, 0.3)
-        + points(file, 0.3)
-        + points(drift, 0.4)
-    )
-    changed = lambda before: text_of(
-        "Sender domain changed from ", before, " to ", col("domain")
-    )
-    return df.withColumns(
+    # a value that is null before the first message counts as "rule not met"
+    rules = {
+        "_s_new": "prior_count = 0",
+        "_s_rapid": "prior_last_us > 0 AND _s_gap < 60",
+        "_s_often": "prior_count > 5 AND recent_count > 10",
+        "_s_hour": "prior_count > 5 AND (shiftright(prior_hours, hour) & 1L) = 0L",
+        "_s_moved": "prior_domain <> '' AND domain <> '' AND prior_domain <> domain",
+        "_s_link": "has_link AND prior_links = 0 AND prior_count > 3",
+        "_s_file": "has_file AND prior_files = 0 AND prior_count > 3",
+        "_s_name": "display_name <> '' AND domain <> '' AND name_domain <> domain",
+    }
+    df = df.withColumn("_s_gap", F.expr("(t_us - prior_last_us) / 1000000.0D"))
+    df = df.withColumns({k: F.expr(f"coalesce({v}, false)") for k, v in rules.items()})
+    drift = "_s_name AND NOT _s_moved"
+    points = [
+        ("_s_new", 0.2), ("_s_rapid", 0.3), ("_s_often", 0.2), ("_s_hour", 0.2),
+        ("_s_moved", 0.4), ("_s_link", 0.3), ("_s_file", 0.3), (drift, 0.4),
+    ]
+    total = F.expr(" + ".join(f"if({c}, {n}D, 0.0D)" for c, n in points))
+    out = df.withColumns(
         {
-            "sender_flags": keep(
-                flag("new_sender", is_new),
-                flag("rapid_sender_activity", rapid),
-                flag("unusual_frequency", frequent),
-                flag("unusual_time", odd_time),
-                flag("sender_change", moved),
-                flag("out_of_character_link", link),
-                flag("out_of_character_file", file),
-                flag("sender_change", drift),
+            "sender_flags": F.array_compact(
+                F.array_distinct(
+                    F.concat(
+                        flag_list(
+                            {
+                                "new_sender": "_s_new",
+                                "rapid_sender_activity": "_s_rapid",
+                                "unusual_frequency": "_s_often",
+                                "unusual_time": "_s_hour",
+                                "sender_change": "_s_moved",
+                                "out_of_character_link": "_s_link",
+                                "out_of_character_file": "_s_file",
+                            }
+                        ),
+                        flag_list({"sender_change": drift}),
+                    )
+                )
             ),
             "sender_score": F.least(total, F.lit(1.0)) * 100.0,
-            "sender_confidence": F.when(is_new, 0.5).otherwise(0.8),
-            "sender_evidence": keep(
-                evidence("new_sender", "true", "Sender has not been observed before", is_new),
-                evidence("rapid_sender_activity", gap, F.concat(
-                    F.lit("Message received "), F.format_string("%.1f", gap),
-                    F.lit("s after previous")), rapid),
-                evidence("unusual_sender_frequency", col("recent_count"),
-                         "Unusually high message volume recently", frequent),
-                evidence("unusual_sender_time", col("hour"),
-                         "Message arrived at an unusual hour for this sender", odd_time),
-                evidence("sender_domain_change", col("domain"), changed(col("prior_domain")), moved),
-                evidence("sender_domain_change", col("domain"), changed(col("name_domain")), drift),
+            "sender_confidence": F.expr("if(_s_new, 0.5D, 0.8D)"),
+            "sender_evidence": evidence_list(
+                [
+                    ("new_sender", "true", "Sender has not been observed before", "_s_new"),
+                    ("rapid_sender_activity", "_s_gap",
+                     "Message received {format_string('%.1f', _s_gap)}s after previous", "_s_rapid"),
+                    ("unusual_sender_frequency", "recent_count",
+                     "Unusually high message volume recently", "_s_often"),
+                    ("unusual_sender_time", "hour",
+                     "Message arrived at an unusual hour for this sender", "_s_hour"),
+                    ("sender_domain_change", "domain",
+                     "Sender domain changed from {prior_domain} to {domain}", "_s_moved"),
+                    ("sender_domain_change", "domain",
+                     "Sender domain changed from {name_domain} to {domain}", drift),
+                ]
             ),
         }
     )
+    return out.drop("_s_gap", *rules)
 
 
 def sender_result() -> Column:

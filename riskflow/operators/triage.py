@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add, or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow import dims
 from riskflow.functions.columns import (
     blank,
+    contains_any,
     engine_result,
-    evidence,
-    flag,
-    keep,
+    evidence_list,
+    flag_list,
+    in_words,
     lookup,
     matched_words,
     skipped_result,
-    text_of,
+    words,
 )
 from riskflow.functions.files import extension
 from riskflow.functions.urls import first_triage_url
@@ -27,8 +25,9 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 _IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 
 
-def _points(*pairs) -> Column:
-    return reduce(add, [F.when(c, F.lit(float(n)) if not isinstance(n, Column) else n).otherwise(0.0) for c, n in pairs])
+def _points(*pairs: tuple[str, object]) -> Column:
+    """Sum of the points whose SQL condition holds."""
+    return F.expr(" + ".join(f"if({c}, cast({n} AS DOUBLE), 0.0D)" for c, n in pairs))
 
 
 def _strict_host(url: Column) -> Column:
@@ -79,51 +78,58 @@ def with_triage_url(df: DataFrame, url: str = "url", text: str = "text") -> Data
             ),
         }
     )
-    ip = c("url").rlike(r"://\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}") | c("isip")
-    at = c("url").contains("@")
-    http = F.when(
-        c("url").rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"),
-        F.lower(F.substring_index(c("url"), ":", 1)) == "http",
-    ).otherwise(F.lit(True))
-    tld = F.coalesce(c("tld").isin(dims.TRIAGE_TLDS), F.lit(False))
-    words = F.size(c("words")) > 0
-    deep = (c("dots") >= 3) & ~c("isip")
-    random = c("entropy") > 4.0
-    digits = (c("ratio").cast("float") > F.lit(0.25).cast("float")) & ~c("isip")
+    df = df.withColumns(
+        {
+            p + "ip": c("url").rlike(r"://\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}") | c("isip"),
+            p + "http": F.when(
+                c("url").rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"),
+                F.lower(F.substring_index(c("url"), ":", 1)) == "http",
+            ).otherwise(F.lit(True)),
+            p + "badtld": F.expr(in_words("_tu_tld", dims.TRIAGE_TLDS)),
+            p + "two": F.format_string("%.2f", c("entropy")),
+            p + "pct": F.format_string("%.0f%%", c("ratio") * 100),
+        }
+    )
+    at, words, deep = "contains(_tu_url, '@')", "size(_tu_words) > 0", "_tu_dots >= 3 AND NOT _tu_isip"
+    random = "_tu_entropy > 4.0D"
+    digits = "cast(_tu_ratio AS FLOAT) > cast(0.25 AS FLOAT) AND NOT _tu_isip"
     score = _points(
-        (ip, 35), (at, 30), (http, 10), (tld, 25),
-        (words, F.least(F.lit(35.0), F.size(c("words")) * 10.0)),
+        ("_tu_ip", 35), (at, 30), ("_tu_http", 10), ("_tu_badtld", 25),
+        (words, "least(35.0D, size(_tu_words) * 10.0D)"),
         (deep, 20), (random, 15), (digits, 15),
     )
-    two = F.format_string("%.2f", c("entropy"))
-    percent = F.format_string("%.0f%%", c("ratio") * 100)
     result = engine_result(
         dims.URL_ENGINE,
         F.least(score, F.lit(100.0)),
         0.90,
-        keep(
-            flag("ip_based_host", ip), flag("at_symbol_present", at),
-            flag("http_without_https", http), flag("suspicious_tld", tld),
-            flag("suspicious_keywords", words), flag("subdomain_depth_anomaly", deep),
-            flag("high_shannon_entropy", random), flag("high_digit_ratio", digits),
+        flag_list(
+            {
+                "ip_based_host": "_tu_ip", "at_symbol_present": at,
+                "http_without_https": "_tu_http", "suspicious_tld": "_tu_badtld",
+                "suspicious_keywords": words, "subdomain_depth_anomaly": deep,
+                "high_shannon_entropy": random, "high_digit_ratio": digits,
+            }
         ),
-        keep(
-            evidence("HOST_TYPE", "IPv4",
-                     "Host utilizes an IP address instead of a standard domain name.", ip),
-            evidence("URL_OBFUSCATION", "@ Symbol",
-                     "URL contains '@' userinfo symbol used to mask true destination.", at),
-            evidence("PROTOCOL", "Insecure HTTP", "Protocol defaults to unencrypted HTTP.", http),
-            evidence("TOP_LEVEL_DOMAIN", text_of(".", c("tld")), text_of(
-                "Uses TLD associated with spam and malware campaigns: .", c("tld")), tld),
-            evidence("SUSPICIOUS_KEYWORDS", F.to_json(c("words")), text_of(
-                "Detected credential and security keywords in URL: ",
-                F.array_join(c("words"), ", ")), words),
-            evidence("SUBDOMAIN_DEPTH", c("dots"), text_of(
-                "Hostname exhibits excessive subdomain nesting: ", c("dots"), " levels."), deep),
-            evidence("SHANNON_ENTROPY", two, text_of(
-                "Hostname exhibits high randomness entropy: ", two), random),
-            evidence("DIGIT_RATIO", percent, text_of(
-                "Unusually high digit density in domain: ", percent), digits),
+        evidence_list(
+            [
+                ("HOST_TYPE", "'IPv4'",
+                 "Host utilizes an IP address instead of a standard domain name.", "_tu_ip"),
+                ("URL_OBFUSCATION", "'@ Symbol'",
+                 "URL contains '@' userinfo symbol used to mask true destination.", at),
+                ("PROTOCOL", "'Insecure HTTP'", "Protocol defaults to unencrypted HTTP.",
+                 "_tu_http"),
+                ("TOP_LEVEL_DOMAIN", "concat('.', _tu_tld)",
+                 "Uses TLD associated with spam and malware campaigns: .{_tu_tld}", "_tu_badtld"),
+                ("SUSPICIOUS_KEYWORDS", "to_json(_tu_words)",
+                 "Detected credential and security keywords in URL: {array_join(_tu_words, ', ')}",
+                 words),
+                ("SUBDOMAIN_DEPTH", "_tu_dots",
+                 "Hostname exhibits excessive subdomain nesting: {_tu_dots} levels.", deep),
+                ("SHANNON_ENTROPY", "_tu_two",
+                 "Hostname exhibits high randomness entropy: {_tu_two}", random),
+                ("DIGIT_RATIO", "_tu_pct",
+                 "Unusually high digit density in domain: {_tu_pct}", digits),
+            ]
         ),
     )
     df = df.withColumn(
@@ -135,99 +141,138 @@ def with_triage_url(df: DataFrame, url: str = "url", text: str = "text") -> Data
     return df.drop(*[x for x in df.columns if x.startswith(p)])
 
 
-def triage_text(text: Column) -> Column:
-    low = F.lower(text)
-    urgent = matched_words(low, dims.TRIAGE_URGENCY)
-    harvest = matched_words(low, dims.TRIAGE_HARVEST)
-    has_u, has_h = F.size(urgent) > 0, F.size(harvest) > 0
-    link = first_triage_url(text)
+def with_triage_text(df: DataFrame, text: str = "text") -> DataFrame:
     tlds = "|".join(dims.TRIAGE_TLDS)
-    risky = F.coalesce(F.lower(link).rlike(rf"@|\.(?:{tlds})|^{_IP}$"), F.lit(False))
-    score = _points(
-        (has_u, F.least(F.lit(40.0), 25.0 + F.size(urgent) * 10.0)),
-        (has_h, F.least(F.lit(40.0), 30.0 + F.size(harvest) * 10.0)),
-        (risky, 25),
+    df = df.withColumns(
+        {
+            "_tt_low": F.lower(text),
+            "_tt_link": first_triage_url(F.col(text)),
+        }
     )
+    df = df.withColumns(
+        {
+            "_tt_u": matched_words(F.col("_tt_low"), dims.TRIAGE_URGENCY),
+            "_tt_h": matched_words(F.col("_tt_low"), dims.TRIAGE_HARVEST),
+            "_tt_risky": F.coalesce(
+                F.lower("_tt_link").rlike(rf"@|\.(?:{tlds})|^{_IP}$"), F.lit(False)
+            ),
+        }
+    )
+    urgent, harvest = "size(_tt_u) > 0", "size(_tt_h) > 0"
     result = engine_result(
         dims.TEXT_ENGINE,
-        F.least(score, F.lit(100.0)),
+        F.least(
+            _points(
+                (urgent, "least(40.0D, 25.0D + size(_tt_u) * 10.0D)"),
+                (harvest, "least(40.0D, 30.0D + size(_tt_h) * 10.0D)"),
+                ("_tt_risky", 25),
+            ),
+            F.lit(100.0),
+        ),
         0.88,
-        keep(
-            flag("urgency_and_fear_cues", has_u),
-            flag("credential_harvesting_intent", has_h),
-            flag("embedded_suspicious_url", risky),
+        flag_list(
+            {
+                "urgency_and_fear_cues": urgent,
+                "credential_harvesting_intent": harvest,
+                "embedded_suspicious_url": "_tt_risky",
+            }
         ),
-        keep(
-            evidence("URGENCY_TRIGGERS", F.to_json(urgent), text_of(
-                "Urgent psychological intimidation phrases: ", F.array_join(urgent, ", ")), has_u),
-            evidence("HARVESTING_TRIGGERS", F.to_json(harvest), text_of(
-                "Demands sensitive credentials or verification: ", F.array_join(harvest, ", ")),
-                has_h),
-            evidence("EMBEDDED_LINK", link,
-                     "Message contains deceptive or high-risk embedded link.", risky),
+        evidence_list(
+            [
+                ("URGENCY_TRIGGERS", "to_json(_tt_u)",
+                 "Urgent psychological intimidation phrases: {array_join(_tt_u, ', ')}", urgent),
+                ("HARVESTING_TRIGGERS", "to_json(_tt_h)",
+                 "Demands sensitive credentials or verification: {array_join(_tt_h, ', ')}",
+                 harvest),
+                ("EMBEDDED_LINK", "_tt_link",
+                 "Message contains deceptive or high-risk embedded link.", "_tt_risky"),
+            ]
         ),
     )
-    return F.when(blank(text), skipped_result(dims.TEXT_ENGINE, "No text provided")).otherwise(
-        result
-    )
+    none = skipped_result(dims.TEXT_ENGINE, "No text provided")
+    return df.withColumn(
+        "triage_text", F.when(blank(F.col(text)), none).otherwise(result)
+    ).drop("_tt_low", "_tt_link", "_tt_u", "_tt_h", "_tt_risky")
 
 
-def triage_file(name: Column, has_bytes: Column) -> Column:
-    low = F.lower(F.coalesce(name, F.lit("")))
-    ext = F.when(low.contains("."), extension(low)).otherwise("")
-    inner = F.when(
-        F.regexp_count(low, F.lit(r"\.")) >= 2,
-        F.substring_index(F.substring_index(low, ".", -2), ".", 1),
-    ).otherwise("")
-    bad = ext.isin(dims.TRIAGE_DANGEROUS_EXT)
-    double = inner.isin(dims.TRIAGE_DOC_EXT) & bad
-    macro = ext.isin(dims.TRIAGE_MACRO_EXT)
-    pair = text_of(inner, ".", ext)
+def with_triage_file(df: DataFrame, name: str = "file_name", content: str = "file_bytes") -> DataFrame:
+    df = df.withColumn("_tf_low", F.lower(F.coalesce(name, F.lit(""))))
+    low = F.col("_tf_low")
+    df = df.withColumns(
+        {
+            "_tf_ext": F.when(low.contains("."), extension(low)).otherwise(""),
+            "_tf_inner": F.when(
+                F.regexp_count(low, F.lit(r"\.")) >= 2,
+                F.substring_index(F.substring_index(low, ".", -2), ".", 1),
+            ).otherwise(""),
+        }
+    )
+    bad = in_words("_tf_ext", dims.TRIAGE_DANGEROUS_EXT)
+    double = f"{in_words('_tf_inner', dims.TRIAGE_DOC_EXT)} AND {bad}"
+    macro = in_words("_tf_ext", dims.TRIAGE_MACRO_EXT)
     result = engine_result(
         dims.MALWARE_ENGINE,
         F.least(_points((bad, 75), (double, 85), (macro, 45)), F.lit(100.0)),
         0.95,
-        keep(
-            flag("dangerous_executable_extension", bad),
-            flag("double_extension_anomaly", double),
-            flag("macro_enabled_document", macro),
+        flag_list(
+            {
+                "dangerous_executable_extension": bad,
+                "double_extension_anomaly": double,
+                "macro_enabled_document": macro,
+            }
         ),
-        keep(
-            evidence("FILE_EXTENSION", F.upper(ext), text_of(
-                "High-risk executable or script format: .", ext), bad),
-            evidence("DECEPTIVE_EXTENSION", pair, text_of(
-                "Double extension masquerade attempting to mimic a document: ", pair), double),
-            evidence("FILE_EXTENSION", F.upper(ext), text_of(
-                "Macro-enabled document format frequently leveraged for droppers: .", ext), macro),
+        evidence_list(
+            [
+                ("FILE_EXTENSION", "upper(_tf_ext)",
+                 "High-risk executable or script format: .{_tf_ext}", bad),
+                ("DECEPTIVE_EXTENSION", "concat(_tf_inner, '.', _tf_ext)",
+                 "Double extension masquerade attempting to mimic a document: {_tf_inner}.{_tf_ext}",
+                 double),
+                ("FILE_EXTENSION", "upper(_tf_ext)",
+                 "Macro-enabled document format frequently leveraged for droppers: .{_tf_ext}",
+                 macro),
+            ]
         ),
     )
-    return F.when(
-        blank(name) & ~has_bytes, skipped_result(dims.MALWARE_ENGINE, "No file data provided")
-    ).otherwise(result)
+    has_bytes = F.coalesce(F.octet_length(content) > 0, F.lit(False))
+    none = skipped_result(dims.MALWARE_ENGINE, "No file data provided")
+    return df.withColumn(
+        "triage_file", F.when(blank(F.col(name)) & ~has_bytes, none).otherwise(result)
+    ).drop("_tf_low", "_tf_ext", "_tf_inner")
 
 
-def triage_sender(sender: Column) -> Column:
+def with_triage_sender(df: DataFrame, sender: str = "sender_id") -> DataFrame:
     low = F.lower(F.trim(sender))
-    domain = F.when(low.contains("@"), F.substring_index(low, "@", -1)).otherwise("")
-    tld = F.when(domain.contains("."), F.substring_index(domain, ".", -1)).otherwise("")
-    risky = tld.isin(dims.TRIAGE_TLDS)
-    has = lambda words: reduce(or_, [domain.contains(w) for w in words])
-    mimic = has(dims.TRIAGE_URL_WORDS) & has(["update", "alert", "verify"])
+    df = df.withColumn(
+        "_td_dom", F.when(low.contains("@"), F.substring_index(low, "@", -1)).otherwise("")
+    )
+    dom = F.col("_td_dom")
+    df = df.withColumns(
+        {
+            "_td_tld": F.when(dom.contains("."), F.substring_index(dom, ".", -1)).otherwise(""),
+            "_td_mimic": contains_any(dom, dims.TRIAGE_URL_WORDS)
+            & contains_any(dom, ["update", "alert", "verify"]),
+        }
+    )
+    risky = in_words("_td_tld", dims.TRIAGE_TLDS)
     result = engine_result(
         dims.SENDER_ENGINE,
-        _points((risky, 30), (mimic, 35)),
+        _points((risky, 30), ("_td_mimic", 35)),
         0.85,
-        keep(flag("suspicious_sender_tld", risky), flag("sender_impersonation_mismatch", mimic)),
-        keep(
-            evidence("SENDER_DOMAIN", domain, text_of(
-                "Sender uses high-abuse top-level domain: .", tld), risky),
-            evidence("SENDER_REPUTATION", domain,
-                     "Sender domain mimics official alert/security infrastructure.", mimic),
+        flag_list({"suspicious_sender_tld": risky, "sender_impersonation_mismatch": "_td_mimic"}),
+        evidence_list(
+            [
+                ("SENDER_DOMAIN", "_td_dom",
+                 "Sender uses high-abuse top-level domain: .{_td_tld}", risky),
+                ("SENDER_REPUTATION", "_td_dom",
+                 "Sender domain mimics official alert/security infrastructure.", "_td_mimic"),
+            ]
         ),
     )
-    return F.when(
-        blank(sender), skipped_result(dims.SENDER_ENGINE, "No sender provided")
-    ).otherwise(result)
+    none = skipped_result(dims.SENDER_ENGINE, "No sender provided")
+    return df.withColumn(
+        "triage_sender", F.when(blank(F.col(sender)), none).otherwise(result)
+    ).drop("_td_dom", "_td_tld", "_td_mimic")
 
 
 def triage(df: DataFrame) -> DataFrame:
@@ -240,17 +285,9 @@ def triage(df: DataFrame) -> DataFrame:
                        ("file_bytes", "binary"), ("sender_id", "string")):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(kind))
-    has_bytes = F.coalesce(F.octet_length("file_bytes") > 0, F.lit(False))
-    df = with_triage_url(df)
-    df = df.withColumns(
-        {
-            "_tg_text": triage_text(F.col("text")),
-            "_tg_file": triage_file(F.col("file_name"), has_bytes),
-            "_tg_sender": triage_sender(F.col("sender_id")),
-        }
-    )
+    df = with_triage_sender(with_triage_file(with_triage_text(with_triage_url(df))))
     df = df.withColumn(
-        "results", F.array("triage_url", "_tg_text", "_tg_file", "_tg_sender")
+        "results", F.array("triage_url", "triage_text", "triage_file", "triage_sender")
     )
     df = df.withColumn("_tg_ok", F.filter("results", lambda r: r["status"] == "success"))
     best = F.coalesce(
@@ -269,8 +306,8 @@ def triage(df: DataFrame) -> DataFrame:
         }
     )
     s = F.col("risk_score")
-    from_file = (F.col("_tg_file")["status"] == "success") & (
-        F.col("_tg_file")["risk_score"] >= 80.0
+    from_file = (F.col("triage_file")["status"] == "success") & (
+        F.col("triage_file")["risk_score"] >= 80.0
     )
     df = df.withColumn(
         "classification",
@@ -301,7 +338,7 @@ def triage(df: DataFrame) -> DataFrame:
             ),
             "warnings": F.array(F.lit(dims.TRIAGE_WARNING)),
         }
-    ).drop("triage_url", "_tg_text", "_tg_file", "_tg_sender", "_tg_ok", "_tg_reasons")
+    ).drop("triage_url", "triage_text", "triage_file", "triage_sender", "_tg_ok", "_tg_reasons")
 
 
 def with_fallback(triaged: DataFrame, verdicts: DataFrame, key: str = "scan_id") -> DataFrame:

@@ -10,8 +10,10 @@ from riskflow.functions.columns import (
     contains_any,
     engine_result,
     evidence,
+    evidence_list,
     filled,
     flag,
+    flag_list,
     keep,
     matched_words,
     no_flags,
@@ -77,68 +79,73 @@ def with_url_signals(df: DataFrame, url: str = "url") -> DataFrame:
             p + "tld": c("nh").rlike(r"\.(?:" + "|".join(dims.SUSPICIOUS_TLDS) + r")$"),
         }
     )
-    long_url, long_path = c("length") >= 75, c("path_len") >= 20
-    deep, worded = c("depth") >= 2, F.size(c("words")) > 0
-    slashed, plain = c("slashes") >= 0, c("scheme") == "http"
-    odd_port = F.coalesce((c("port") > 0) & ~c("port").isin(80, 443), F.lit(False))
-    spoofed = F.lower(c("nh")).contains("http")
-    random, digity = c("entropy") >= 4.0, c("ratio") >= 0.2
-    special = c("specials") >= 5
-    entropy2 = F.round(c("entropy"), 2)
-    points = lambda cond, n: F.when(cond, n).otherwise(0.0)
-    score = (
-        points(c("ip"), 0.3)
-        + points(c("at"), 0.2)
-        + points(c("hyphens") >= 3, 0.2)
-        + points(c("tld"), 0.4)
+    df = df.withColumns(
+        {
+            p + "odd_port": F.expr("coalesce(_us_port > 0 AND _us_port NOT IN (80, 443), false)"),
+            p + "short": contains_any(c("nh"), dims.SHORTENERS),
+            p + "spoofed": F.lower(c("nh")).contains("http"),
+            p + "entropy2": F.round(c("entropy"), 2),
+            p + "ratio_pct": F.round(c("ratio") * 100, 1),
+        }
     )
-    flags = keep(
-        flag("ip_based_host", c("ip")),
-        flag("at_symbol_present", c("at")),
-        flag(text_of("high_hyphen_count(", c("hyphens"), ")"), c("hyphens") >= 3),
-        flag("suspicious_tld", c("tld")),
-        flag("url_shortener", contains_any(c("nh"), dims.SHORTENERS)),
-        flag("url_length_anomaly", long_url),
-        flag("path_length_anomaly", long_path),
-        flag("subdomain_depth_anomaly", deep),
-        flag("suspicious_keywords", worded),
-        flag("double_slash_redirect", slashed),
-        flag("http_without_https", plain),
-        flag("non_standard_port", odd_port),
-        flag("https_in_hostname", spoofed),
-        flag("high_shannon_entropy", random),
-        flag("high_digit_ratio", digity),
-        flag("special_char_overload", special),
-        flag("base64_obfuscation", c("b64")),
+    score = F.expr(
+        "if(_us_ip, 0.3D, 0.0D) + if(_us_at, 0.2D, 0.0D)"
+        " + if(_us_hyphens >= 3, 0.2D, 0.0D) + if(_us_tld, 0.4D, 0.0D)"
+    )
+    deep, worded, slashed = "_us_depth >= 2", "size(_us_words) > 0", "_us_slashes >= 0"
+    plain, random, digity = "_us_scheme = 'http'", "_us_entropy >= 4.0D", "_us_ratio >= 0.2D"
+    special = "_us_specials >= 5"
+    flags = flag_list(
+        {
+            "ip_based_host": "_us_ip",
+            "at_symbol_present": "_us_at",
+            "high_hyphen_count({_us_hyphens})": "_us_hyphens >= 3",
+            "suspicious_tld": "_us_tld",
+            "url_shortener": "_us_short",
+            "url_length_anomaly": "_us_length >= 75",
+            "path_length_anomaly": "_us_path_len >= 20",
+            "subdomain_depth_anomaly": deep,
+            "suspicious_keywords": worded,
+            "double_slash_redirect": slashed,
+            "http_without_https": plain,
+            "non_standard_port": "_us_odd_port",
+            "https_in_hostname": "_us_spoofed",
+            "high_shannon_entropy": random,
+            "high_digit_ratio": digity,
+            "special_char_overload": special,
+            "base64_obfuscation": "_us_b64",
+        }
     )
-    items = keep(
-        evidence("URL_LENGTH", c("length"), text_of(
-            "Total URL length is ", c("length"), " characters, exceeding normal limits."), long_url),
-        evidence("PATH_LENGTH", c("path_len"), text_of(
-            "URL path depth is ", c("path_len"), " characters."), long_path),
-        evidence("SUBDOMAIN_DEPTH", c("depth"), text_of(
-            "Hostname exhibits excessive subdomain nesting: ", c("depth"), " layers."), deep),
-        evidence("SUSPICIOUS_KEYWORDS", F.to_json(c("words")), text_of(
-            "Security-critical keywords detected in URL path/subdomain: ",
-            F.array_join(c("words"), ", "), "."), worded),
-        evidence("DOUBLE_SLASH_REDIRECT", c("slashes"), text_of(
-            "Double-slash redirect artifact detected at index ", c("slashes"), "."), slashed),
-        evidence("HTTP_WITHOUT_HTTPS", "true",
-                 "Protocol defaults to unencrypted HTTP.", plain),
-        evidence("NON_STANDARD_PORT", c("port"), text_of(
-            "URL points to non-standard HTTP port: ", c("port"), "."), odd_port),
-        evidence("HTTPS_IN_HOSTNAME", "true",
-                 "Deceptive 'http/https' string found within the hostname payload.", spoofed),
-        evidence("SHANNON_ENTROPY", entropy2, text_of(
-            "Hostname strings exhibits high character entropy: ", entropy2, "."), random),
-        evidence("DIGIT_TO_LETTER_RATIO", F.round(c("ratio"), 3), text_of(
-            "Hostname comprises an unusual high density of numerical digits: ",
-            F.round(c("ratio") * 100, 1), "%."), digity),
-        evidence("SPECIAL_CHAR_COUNT", c("specials"), text_of(
-            "Detected a massive load of query-modifier characters: ", c("specials"),
-            " occurrences."), special),
-        evidence("BASE64_OBFUSCATION", "true",
-                 "Detected Base64-encoded execution string inside the URL query payload.", c("b64")),
+    items = evidence_list(
+        [
+            ("URL_LENGTH", "_us_length",
+             "Total URL length is {_us_length} characters, exceeding normal limits.",
+             "_us_length >= 75"),
+            ("PATH_LENGTH", "_us_path_len",
+             "URL path depth is {_us_path_len} characters.", "_us_path_len >= 20"),
+            ("SUBDOMAIN_DEPTH", "_us_depth",
+             "Hostname exhibits excessive subdomain nesting: {_us_depth} layers.", deep),
+            ("SUSPICIOUS_KEYWORDS", "to_json(_us_words)",
+             "Security-critical keywords detected in URL path/subdomain: "
+             "{array_join(_us_words, ', ')}.", worded),
+            ("DOUBLE_SLASH_REDIRECT", "_us_slashes",
+             "Double-slash redirect artifact detected at index {_us_slashes}.", slashed),
+            ("HTTP_WITHOUT_HTTPS", "true", "Protocol defaults to unencrypted HTTP.", plain),
+            ("NON_STANDARD_PORT", "_us_port",
+             "URL points to non-standard HTTP port: {_us_port}.", "_us_odd_port"),
+            ("HTTPS_IN_HOSTNAME", "true",
+             "Deceptive 'http/https' string found within the hostname payload.", "_us_spoofed"),
+            ("SHANNON_ENTROPY", "_us_entropy2",
+             "Hostname strings exhibits high character entropy: {_us_entropy2}.", random),
+            ("DIGIT_TO_LETTER_RATIO", "round(_us_ratio, 3)",
+             "Hostname comprises an unusual high density of numerical digits: {_us_ratio_pct}%.",
+             digity),
+            ("SPECIAL_CHAR_COUNT", "_us_specials",
+             "Detected a massive load of query-modifier characters: {_us_specials} occurrences.",
+             special),
+            ("BASE64_OBFUSCATION", "true",
+             "Detected Base64-encoded execution string inside the URL query payload.", "_us_b64"),
+        ]
     )
     present = filled(link)
     df = df.withColumns(
@@ -150,7 +157,8 @@ def with_url_signals(df: DataFrame, url: str = "url") -> DataFrame:
     )
     scratch = [
         "nh", "hyphens", "length", "path_len", "depth", "words", "slashes", "port", "entropy",
-        "ratio", "specials", "b64", "ip", "at", "tld",
+        "ratio", "specials", "b64", "ip", "at", "tld", "odd_port", "short", "spoofed", "entropy2",
+        "ratio_pct",
     ]
     return drop_url_parts(df, p).drop(*[p + s for s in scratch])
 

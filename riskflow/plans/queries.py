@@ -308,8 +308,8 @@ def file_type_check(spark, sf):
     df = _file_rows(spark, sf)
     return df.select(
         "doc_id",
-        F.coalesce(files.signature(F.col("att_bytes"), "ext"), F.lit("unknown")).alias("actual_ext"),
-        files.extension_mismatch(F.col("att_bytes"), F.col("att_name")).alias("mismatch"),
+        F.coalesce(files.signature("att_bytes", "ext"), F.lit("unknown")).alias("actual_ext"),
+        files.extension_mismatch("att_bytes", F.col("att_name")).alias("mismatch"),
     )
 
 

@@ -45,6 +45,21 @@ from riskflow.sources.scans import preprocess, profile_name
 Engine = Callable[[DataFrame], tuple[DataFrame, Column]]
 
 
+def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter behind a generator.
+
+    A plain filter on a column with a long derivation is pushed below every
+    projection it came from, and its text grows at each of them until planning
+    takes longer than the job. A generator that emits one row or none stops that.
+    """
+    one_or_none = F.expr("array(true)")
+    return (
+        df.withColumn("_keep", condition)
+        .select("*", F.explode(F.when(F.col("_keep"), one_or_none)).alias("_kept"))
+        .drop("_keep", "_kept")
+    )
+
+
 # ------------------------------------------------------------------ built-in engines
 def _url_engine(tables: Indicators, reputation=None, registrations=None, suffixes=None, as_of=None):
     def run(df: DataFrame):
@@ -84,7 +99,7 @@ def _sender_engine(compat: bool):
         # narrow copy of the rows that have a sender; only features come back
         has = filled(F.col("sender_id"))
         raw = F.col("sender_id") if compat else F.col("sender_raw")
-        messages = df.where(has).select(
+        messages = keep_rows(df, has).select(
             "scan_id",
             "arrival_seq",
             "client_id",
@@ -182,8 +197,8 @@ def scan(
     projection around look-up joins.
     """
     prepared = preprocess(scans)
-    rejected = prepared.where("prep_status = 'rejected'")
-    df = prepared.where("prep_status <> 'rejected'")
+    rejected = keep_rows(prepared, F.col("prep_status") == "rejected")
+    df = keep_rows(prepared, F.col("prep_status") != "rejected")
 
     with_images = dims.VISUAL_ENGINE not in set(exclude)
     if with_images:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskflow import dims
-from riskflow.functions.columns import filled, lookup
+from riskflow.functions.columns import filled, lookup, words
 from riskflow.schemas import FEEDBACK
 
 FIELDS = [f.split()[0] for f in FEEDBACK.split(", ")]

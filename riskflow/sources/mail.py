@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.functions.columns import blank, filled
+from riskflow.functions.columns import blank, filled, keep
 from riskflow.functions.text import html_to_text
 from riskflow.functions.urls import extract_mail_urls
 

@@ -196,7 +196,7 @@ def preprocess(df: DataFrame, max_chars: int | None = 50_000) -> DataFrame:
         }
     )
     df = df.withColumn(
-        "extension_mismatch", extension_mismatch(F.col("file_bytes"), F.col("file_name"))
+        "extension_mismatch", extension_mismatch("file_bytes", F.col("file_name"))
     )
     return df.drop(*[c for c in df.columns if c.startswith("_pp_")])
 
