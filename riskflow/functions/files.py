@@ -102,7 +102,7 @@ def magic_type(content: str) -> Column:
         WHEN {starts("425A68")} THEN 'archive/bzip2'
         WHEN octet_length({content}) >= 512
              AND hex(substring({content}, 258, 5)) = '7573746172' THEN 'archive/tar'
-        WHEN lower({early(512)}) RLIKE r'^\s*(?:<!doctype html|<html|<[?]xml)' THEN 'document/html'
+        WHEN lower({early(512)}) RLIKE '^[ \\t\\r\\n]*(?:<!doctype html|<html|<[?]xml)' THEN 'document/html'
         WHEN {starts("2321")} THEN 'script/shebang'
         END"""
     )
