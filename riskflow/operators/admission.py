@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskflow.operators.running import CHUNK_ROWS, with_running
+from riskflow.session import cut
 
 
 def admission_step(
@@ -52,7 +53,7 @@ def admit(
     df = with_running(df, keys, seq, {"_prev": ("max", F.col(time_us))}, chunk_rows)
     quiet = F.col("_prev").isNull() | (F.col(time_us) - F.col("_prev") > window_us)
     df = with_running(
-        df.withColumn("_starts", quiet.cast("bigint")),
+        cut(df.withColumn("_starts", quiet.cast("bigint"))),
         keys,
         seq,
         {"_before": ("sum", F.col("_starts"))},
@@ -105,6 +106,7 @@ def admit_request(
     by_ip = admit(df, [ip], time_us, seq, **limits).withColumnsRenamed(
         {"allowed": "ip_allowed", "retry_after": "ip_retry_after"}
     )
+    by_ip = cut(by_ip)
     passed = admit(by_ip.where("ip_allowed"), [api_key], time_us, seq, **limits)
     denied = by_ip.where("not ip_allowed").withColumns(
         {"allowed": F.lit(False), "retry_after": F.col("ip_retry_after")}

@@ -20,6 +20,7 @@ from riskflow.functions.columns import (
 )
 from riskflow.operators.anchors import SLICE_US, with_anchor
 from riskflow.operators.running import CHUNK_ROWS, with_running
+from riskflow.session import cut
 
 KEYS = ["client_id", "profile_key"]
 HOUR_US = 3_600_000_000
@@ -82,8 +83,9 @@ def with_sender_history(
     )
     # late rows never restart the hour, so the running maximum decides as well
     df = df.withColumn("_clock", F.greatest("prior_last_us", "t_us"))
+    # each step below reads its input twice, so the narrow rows are written once
     df = with_anchor(
-        df, KEYS, "_clock", ["arrival_seq"], HOUR_US, strict=True, slice_us=slice_us
+        cut(df), KEYS, "_clock", ["arrival_seq"], HOUR_US, strict=True, slice_us=slice_us
     )
     df = df.withColumn(
         "recent_start_us", F.when(F.col("is_anchor"), F.col("_clock")).otherwise(
@@ -92,7 +94,7 @@ def with_sender_history(
         "_clock", "anchor_before", "is_anchor"
     )
     return with_running(
-        df,
+        cut(df),
         ["client_id", "display_name"],
         "arrival_seq",
         {

@@ -382,7 +382,7 @@ SELECT *, positive_count + negative_count AS total_count,
   coalesce(round(negative_count / nullif(positive_count + negative_count, 0), 4), 0.0)::DOUBLE AS negative_rate FROM c"""
 SQL["feedback_by_source"] = f"""WITH {_VOTES}, d AS (SELECT unnest({_LIST(dims.FEEDBACK_SOURCES)}) AS source_type)
 SELECT d.source_type, count(g.src) AS feedback_count FROM d LEFT JOIN g ON g.src = d.source_type GROUP BY 1"""
-_HIST = f"hs AS (SELECT * EXCLUDE (ts), epoch_ms(ts) AS timestamp_millis FROM ({v.view_sql(v.HISTORY)}))"
+_HIST = f"hs AS (SELECT * EXCLUDE (ts), epoch_us(ts) // 1000 AS timestamp_millis FROM ({v.view_sql(v.HISTORY)}))"
 SQL["history_page"] = f"""WITH {_HIST} SELECT * FROM hs WHERE classification = 'Phishing' AND source_type = 'url'
 ORDER BY timestamp_millis DESC, scan_id DESC LIMIT 50 OFFSET 10"""
 SQL["history_lookup"] = f"WITH {_HIST} SELECT * FROM hs WHERE scan_id = '00000000-0000-4000-8000-000000000042' LIMIT 1"

@@ -39,6 +39,7 @@ from riskflow.operators.url_signals import (
     with_url_signals,
 )
 from riskflow.operators.visual_rules import visual_backfill, with_visual_signals
+from riskflow.session import cut
 from riskflow.sources.feeds import Indicators
 from riskflow.sources.scans import preprocess, profile_name
 
@@ -114,11 +115,11 @@ def _sender_engine(compat: bool):
                 | F.coalesce(F.octet_length("file_bytes") > 0, F.lit(False))
             ).alias("has_file"),
         )
-        scored = with_sender_signals(with_sender_history(messages)).select(
+        scored = with_sender_signals(with_sender_history(cut(messages))).select(
             "scan_id", "sender_flags", "sender_score", "sender_confidence", "sender_evidence",
             "prior_count",
         )
-        return df.join(scored, "scan_id", "left"), sender_result()
+        return df.join(cut(scored), "scan_id", "left"), sender_result()
 
     return run
 

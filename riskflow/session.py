@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -47,3 +47,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="riskflow-checkpoint-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialize narrow rows in the shared checkpoint folder and continue from there.
+
+    Used where several steps read the same intermediate rows more than once; the
+    written rows survive the loss of executors.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_root(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -36,8 +36,8 @@ def history_records(verdicts: DataFrame, source_type: Column, timestamp_millis:
         "risk_score",
         "confidence",
         redact(F.col("recommended_action")).alias("recommended_action"),
-        tidy(F.transform("reasons", redact), MAX_REASONS).alias("reasons"),
-        tidy(F.transform("flags", safe_key), MAX_KEYS).alias("flags"),
+        tidy(F.transform("reasons", lambda r: redact(r)), MAX_REASONS).alias("reasons"),
+        tidy(F.transform("flags", lambda f: safe_key(f)), MAX_KEYS).alias("flags"),
         tidy(F.transform("evidence", lambda e: safe_key(e["key"])), MAX_KEYS).alias(
             "evidence_keys"
         ),
