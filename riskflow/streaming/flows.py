@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from riskflow.plans.scan import scan
 from riskflow.sources import feeds
 from riskflow.sources.history import history_records, new_records
 from riskflow.sources.mail import mail_to_scans
+from riskflow.schemas import HISTORY
 from riskflow.streaming.state import WatchGate, keyed
 
 
@@ -91,18 +93,13 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+def read_other_batches(spark: SparkSession, path: str, ddl: str, batch_id: int) -> DataFrame:
+    """Rows written by other batches; a repeated batch must not see its own first try."""
     try:
-        return spark.read.schema(ddl + ", batch int").parquet(path).drop("batch")
-    except Exception:  # noqa: BLE001 - nothing written yet
+        found = spark.read.schema(ddl + ", batch int").parquet(path)
+    except AnalysisException:  # nothing written yet
         return spark.createDataFrame([], ddl)
-
-
-HISTORY_DDL = (
-    "scan_id string, timestamp_millis bigint, source_type string, classification string,"
-    " risk_score double, confidence double, recommended_action string, reasons array<string>,"
-    " flags array<string>, evidence_keys array<string>, feedback_state string"
-)
+    return found.where(F.col("batch") != batch_id).drop("batch")
 
 
 def inbox_batch(tables: feeds.Indicators, root: str, as_scan_id=None) -> Callable[[DataFrame, int], None]:
@@ -114,9 +111,7 @@ def inbox_batch(tables: feeds.Indicators, root: str, as_scan_id=None) -> Callabl
 
     def run(mails: DataFrame, batch_id: int) -> None:
         spark = mails.sparkSession
-        done = read_or_empty(spark, f"{root}/processed", "message_id string, batch_seen int").where(
-            F.col("batch_seen") != batch_id
-        )
+        done = read_other_batches(spark, f"{root}/processed", "message_id string", batch_id)
         fresh = pending(mails.dropDuplicates(["message_id"]), done)
         rows = mail_to_scans(fresh)
         if as_scan_id is not None:
@@ -124,7 +119,7 @@ def inbox_batch(tables: feeds.Indicators, root: str, as_scan_id=None) -> Callabl
         verdicts, _ = scan(rows, tables)
         verdicts = verdicts.persist()
         try:
-            stored = read_or_empty(spark, f"{root}/history", HISTORY_DDL)
+            stored = read_other_batches(spark, f"{root}/history", HISTORY, batch_id)
             records = history_records(verdicts, F.lit("gmail"), F.unix_millis("ts"))
             put = lambda df, name: batch_writer(f"{root}/{name}")(df, batch_id)
             put(new_records(records, stored), "history")
@@ -135,7 +130,7 @@ def inbox_batch(tables: feeds.Indicators, root: str, as_scan_id=None) -> Callabl
                 "alerts",
             )
             marks = fresh.where("status = 'extracted'").select("message_id")
-            put(marks.withColumn("batch_seen", F.lit(batch_id)), "processed")
+            put(marks, "processed")
         finally:
             verdicts.unpersist()
 
