@@ -379,14 +379,24 @@ SEED_DOMAINS = [
     "bitbucket.org", "docker.com", "python.org", "pypi.org",
 ]
 
-# Literals of which at least one occurs in any match of the category; a cheap test
-# that spares most texts the regular expressions.
+# Literals that occur in any match of the category: at least one entry with all of its
+# parts. A cheap test that spares most texts the regular expressions.
 TEXT_STEMS = {
-    "urgency": ["now", "action", "urgen", "immediate", "asap", "running", "24"],
-    "credential_request": ["passw", "passcode", "log", "verif", "ssn", "social", "otp", "one"],
-    "account_suspension": ["suspen", "lock", "unauthori", "clos", "deactivat", "restrict"],
-    "prize_lottery": ["giveaway", "lotter", "win", "claim", "free", "selected"],
+    "urgency": [
+        ["act", "now"], ["action", "required"], ["urgen"], ["immediate"], ["asap"],
+        ["time", "running"], ["24", "hours"],
+    ],
+    "credential_request": [
+        ["password"], ["passcode"], ["log", "in"], ["logging"], ["verif"], ["ssn"],
+        ["social", "security"], ["otp"], ["one", "time"],
+    ],
+    "account_suspension": [
+        ["suspen"], ["lock"], ["unauthori", "access"], ["clos", "account"], ["deactivat"],
+        ["restrict"],
+    ],
+    "prize_lottery": [["giveaway"], ["lotter"], ["win"], ["claim", "prize"], ["free", "gift"]],
     "unusual_payment": [
-        "gift", "wire", "western", "bitcoin", "crypto", "usdt", "apple", "cash",
+        ["gift", "card"], ["wire", "transfer"], ["western", "union"], ["bitcoin"], ["crypto"],
+        ["usdt"], ["apple", "pay"], ["cash", "app"],
     ],
 }

@@ -13,6 +13,11 @@ from riskflow import dims
 from riskflow.functions.columns import contains_any, keep
 
 
+# blank characters other than the line feed (fixed values)
+_BLANK = r" \t\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_NEVER = "(?!)"
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc_series(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
@@ -33,7 +38,8 @@ def normalize_text(text: Column, max_chars: int | None = 50_000) -> Column:
     clean = F.regexp_replace(nfkc(bounded), controls, "")
     clean = F.regexp_replace(clean, r"\r\n?", "\n")
     # runs of blanks become one blank, blanks around line ends disappear
-    clean = F.regexp_replace(clean, r"(?U)[^\S\n]+", " ")
+    # (a single plain blank already has the right form and is not matched)
+    clean = F.regexp_replace(clean, rf"[{_BLANK}]{{2,}}|[{_BLANK}&&[^ ]]", " ")
     clean = F.regexp_replace(clean, r" ?\n ?", "\n")
     clean = F.regexp_replace(clean, r"\n{3,}", "\n\n")
     clean = F.regexp_replace(clean, r"^[ \n]+|[ \n]+$", "")
@@ -47,18 +53,31 @@ def normalize_text(text: Column, max_chars: int | None = 50_000) -> Column:
     )
 
 
+# every word the secret pattern can start with holds one of these (fixed values)
+_SECRET_MARKS = ["passw", "passc", "otp", "code", "pin", "cvv", "cvc", "token", "api key"]
+
+
 def redact(text: Column, max_chars: int | None = 320) -> Column:
     """Mask secrets, links, addresses, phone numbers, tokens and short codes.
 
     The order of the replacements is part of the result. ``max_chars`` bounds the
     displayed output only; the whole text is masked first.
     """
-    out = F.regexp_replace(text, dims.REDACT_SECRET, "$1: [redacted]")
-    out = F.regexp_replace(out, dims.REDACT_URL, "[link]")
-    out = F.regexp_replace(out, dims.REDACT_EMAIL, "[address]")
-    out = F.regexp_replace(out, dims.REDACT_PHONE, "[number]")
-    out = F.regexp_replace(out, dims.REDACT_TOKEN, "[redacted]")
-    out = F.regexp_replace(out, dims.REDACT_DIGITS, "[number]")
+    low = F.lower(text)
+    # a pattern whose marks do not occur in the text is replaced by one that never matches
+    only_if = lambda seen, pattern: F.when(seen, F.lit(pattern)).otherwise(F.lit(_NEVER))
+    out = F.regexp_replace(
+        text, only_if(contains_any(low, _SECRET_MARKS), dims.REDACT_SECRET), F.lit("$1: [redacted]")
+    )
+    links = low.contains("://") | low.contains("www.")
+    out = F.regexp_replace(out, only_if(links, dims.REDACT_URL), F.lit("[link]"))
+    out = F.regexp_replace(out, only_if(text.contains("@"), dims.REDACT_EMAIL), F.lit("[address]"))
+    digits = text.rlike(r"\d")
+    out = F.regexp_replace(out, only_if(digits, dims.REDACT_PHONE), F.lit("[number]"))
+    out = F.regexp_replace(
+        out, only_if(text.rlike(r"[A-Za-z0-9_+/=-]{32}"), dims.REDACT_TOKEN), F.lit("[redacted]")
+    )
+    out = F.regexp_replace(out, only_if(digits, dims.REDACT_DIGITS), F.lit("[number]"))
     out = F.regexp_replace(out, r"[\x00-\x08\x0b-\x1f]", "")
     out = F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
     return F.substring(out, 1, max_chars) if max_chars else out

@@ -27,7 +27,12 @@ def with_text_signals(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_tx_low", F.lower(F.col(text)))
 
     def found(category: str) -> Column:
-        stems = reduce(or_, [low.contains(s) for s in dims.TEXT_STEMS[category]])
+        stems = F.expr(
+            " OR ".join(
+                "(" + " AND ".join(f"contains(_tx_low, '{s}')" for s in parts) + ")"
+                for parts in dims.TEXT_STEMS[category]
+            )
+        )
         hits = F.concat(
             *[
                 F.regexp_extract_all(low, F.lit("(?U)" + p), 1)

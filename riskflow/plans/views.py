@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskflow.session import spread
+
 SCAN_URLS = ("pages", {
     "page_id": "page_id",
     "url": """CASE page_id % 10
@@ -151,7 +153,9 @@ _FEEDBACK = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # long texts and pages cost far more to score than to move
+    return spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 def view(spark: SparkSession, sf_dir: str, spec) -> DataFrame:

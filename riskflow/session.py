@@ -6,6 +6,8 @@ setting that the cluster already made.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +34,33 @@ def local_session(cores: str = "8", app: str = "riskflow") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_riskflow_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="riskflow-code-"), "riskflow")
+    archive = shutil.make_archive(
+        target, "zip", root_dir=os.path.dirname(home), base_dir=os.path.basename(home)
+    )
+    context.addPyFile(archive)
+    context._riskflow_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when a source has fewer splits than the cluster has cores.
+
+    A large source has far more splits than cores and passes through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and streaming progress.
 
