@@ -1,4 +1,4 @@
-"""Joins against reference tables whose size is checked before broadcasting."""
+"""Joins against reference tables of checked size, and filters on derived columns."""
 
 from __future__ import annotations
 
@@ -31,3 +31,18 @@ def dim_join(
     if is_small(dim) if small is None else small:
         dim = F.broadcast(dim)
     return facts.join(dim, on, how)
+
+
+def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter behind a generator.
+
+    A plain filter on a column with a long derivation is pushed below every
+    projection it came from, and its text grows at each of them until planning
+    takes longer than the job. A generator that emits one row or none stops that.
+    """
+    one_or_none = F.expr("array(true)")
+    return (
+        df.withColumn("_keep", condition)
+        .select("*", F.explode(F.when(F.col("_keep"), one_or_none)).alias("_kept"))
+        .drop("_keep", "_kept")
+    )

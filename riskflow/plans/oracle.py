@@ -134,7 +134,7 @@ _EXTRACT = lambda col: (
 _DISTINCT = lambda lst: f"list_filter({lst}, lambda x, i: list_position({lst}, x) = i)"
 SQL["url_extract"] = f"""WITH t AS ({v.view_sql(v.LINK_TEXT)}), e AS (SELECT doc_id, {_EXTRACT('text')} AS l FROM t)
 SELECT doc_id, array_to_string({_DISTINCT('l')}, ' ') AS urls, l[1] AS first_url FROM e"""
-SQL["url_extract_html"] = f"""WITH e AS (SELECT page_id, {_EXTRACT('html')} AS l FROM pages),
+SQL["url_extract_html"] = f"""WITH e AS (SELECT page_id, {_EXTRACT("concat(html, ' source ', url, '.')")} AS l FROM pages),
 d AS (SELECT page_id, {_DISTINCT('l')} AS l FROM e)
 SELECT page_id, unnest(range(len(l)))::BIGINT AS pos, unnest(l) AS link FROM d"""
 _SCREEN = ("(?i)\\b(?:https?://[^\\s<>\"'']+|www\\d{0,3}\\.[^\\s<>\"'']+|\\b[a-zA-Z0-9.-]+\\.(?:"

@@ -182,7 +182,8 @@ def url_extract(spark, sf):
 
 def url_extract_html(spark, sf):
     df = views.table(spark, sf, "pages")
-    found = df.select("page_id", F.posexplode(urls.extract_mail_urls(F.col("html"))))
+    body = F.concat("html", F.lit(" source "), "url", F.lit("."))
+    found = df.select("page_id", F.posexplode(urls.extract_mail_urls(body)))
     return found.select("page_id", F.col("pos").cast("bigint").alias("pos"), F.col("col").alias("link"))
 
 

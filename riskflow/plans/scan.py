@@ -25,6 +25,7 @@ from riskflow.operators.file_signals import (
 from riskflow.operators.fusion import default_profiles, fuse, with_class
 from riskflow.operators.header_signals import header_result, with_header_signals, with_headers
 from riskflow.operators.indicators import with_allow_list, with_feed_hit, with_hash_hit
+from riskflow.operators.joins import keep_rows
 from riskflow.operators.redirects import resolve_redirects
 from riskflow.operators.sender_rules import (
     sender_result,
@@ -46,21 +47,6 @@ from riskflow.sources.scans import preprocess, profile_name
 Engine = Callable[[DataFrame], tuple[DataFrame, Column]]
 
 
-def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
-    """Filter behind a generator.
-
-    A plain filter on a column with a long derivation is pushed below every
-    projection it came from, and its text grows at each of them until planning
-    takes longer than the job. A generator that emits one row or none stops that.
-    """
-    one_or_none = F.expr("array(true)")
-    return (
-        df.withColumn("_keep", condition)
-        .select("*", F.explode(F.when(F.col("_keep"), one_or_none)).alias("_kept"))
-        .drop("_keep", "_kept")
-    )
-
-
 # ------------------------------------------------------------------ built-in engines
 def _url_engine(tables: Indicators, reputation=None, registrations=None, suffixes=None, as_of=None):
     def run(df: DataFrame):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskflow import dims
 from riskflow.functions.text import redact, safe_key
-from riskflow.operators.joins import dim_join
+from riskflow.operators.joins import dim_join, keep_rows
 
 MAX_REASONS = 12
 MAX_KEYS = 40
@@ -28,7 +28,7 @@ def history_records(verdicts: DataFrame, source_type: Column, timestamp_millis:
         F.array_distinct(F.filter(items, lambda x: F.trim(x) != "")), 1, n
     )
     source = F.lower(source_type)
-    return verdicts.where(valid).select(
+    return keep_rows(verdicts, valid).select(
         "scan_id",
         timestamp_millis.cast("bigint").alias("timestamp_millis"),
         F.when(source.isin(dims.HISTORY_SOURCES), source).otherwise("unknown").alias("source_type"),

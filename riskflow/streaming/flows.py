@@ -12,6 +12,7 @@ from riskflow.functions.columns import no_flags
 from riskflow.functions.text import mostly_redacted, redact, suspicious_snippet
 from riskflow.functions.urls import extract_screen_urls
 from riskflow.operators.dedup import pending
+from riskflow.operators.joins import keep_rows
 from riskflow.operators.triage import triage
 from riskflow.plans.scan import scan
 from riskflow.sources import feeds
@@ -22,11 +23,11 @@ from riskflow.streaming.state import WatchGate, keyed
 
 
 def watch_alerts(verdicts: DataFrame) -> DataFrame:
-    return verdicts.where(F.col("classification") != "Safe")
+    return keep_rows(verdicts, F.col("classification") != "Safe")
 
 
 def inbox_alerts(verdicts: DataFrame) -> DataFrame:
-    return verdicts.where(F.col("classification").isin("Phishing", "Malware"))
+    return keep_rows(verdicts, F.col("classification").isin("Phishing", "Malware"))
 
 
 def watch_targets(screens: DataFrame) -> DataFrame:
