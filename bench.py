@@ -1,6 +1,6 @@
 """Timed headline queries; prints one JSON line.
 
-``BENCH_SF_DIR`` (default sf0.1), ``BENCH_CPUS`` (default 8), ``BENCH_RUNS`` (default 3).
+``BENCH_SF_DIR`` (default sf0.1), ``BENCH_CPUS`` (default 8), ``BENCH_RUNS`` (default 2).
 Each query runs once to warm up; the median of the timed runs is reported. A run
 covers building the plan and computing every output column.
 """
@@ -26,7 +26,7 @@ HEADLINE = [
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     only = os.environ.get("BENCH_QUERIES")
     spark = local_session(cpus, "riskflow-bench")
     times: dict[str, float] = {}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow import dims
-from riskflow.functions.columns import filled
+from riskflow.functions.columns import engine_result, error_result, filled
 from riskflow.functions.urls import normalize_url
 from riskflow.functions.text import normalize_text
 from riskflow.operators.attachment_rules import (
@@ -110,6 +111,37 @@ def _sender_engine(compat: bool):
     return run
 
 
+def python_engine(name: str, score: Callable[[dict], dict], columns: list[str]) -> Engine:
+    """Engine from a Python function of one row.
+
+    ``score`` gets the named columns and returns ``risk_score``, ``confidence`` and
+    ``flags``. A row that raises becomes an error result and leaves the others alone.
+    """
+    kind = "struct<risk_score:double,confidence:double,flags:array<string>,error:string>"
+
+    def run(df: DataFrame):
+        @F.pandas_udf(kind)
+        def score_rows(rows: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for row in rows.to_dict("records"):
+                try:
+                    out.append({"flags": [], **score(row), "error": None})
+                except Exception as exc:  # noqa: BLE001 - one bad row must not end the job
+                    message = f"Unhandled exception: {type(exc).__name__}: {exc}"
+                    out.append({"risk_score": 0.0, "confidence": 0.0, "flags": [], "error": message})
+            return pd.DataFrame(out, columns=["risk_score", "confidence", "flags", "error"])
+
+        own = f"_py_{name}"
+        df = df.withColumn(own, score_rows(F.struct(*columns)))
+        found = F.col(own)
+        good = engine_result(name, found["risk_score"], found["confidence"], found["flags"])
+        return df, F.when(found["error"].isNull(), good).otherwise(
+            error_result(name, found["error"])
+        )
+
+    return run
+
+
 class EngineRegistry:
     """Named engines: functions from rows to (rows with features, result Column)."""
 

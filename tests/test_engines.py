@@ -16,7 +16,7 @@ from riskflow.operators import (
     indicators as ind, redirects as rd, sender_rules as sr, text_signals as ts, triage as tr,
     url_signals as us, visual_rules as vr,
 )
-from riskflow.plans.scan import EngineRegistry, default_registry, scan
+from riskflow.plans.scan import EngineRegistry, default_registry, python_engine, scan
 from riskflow.sources import feeds, scans
 
 
@@ -348,6 +348,12 @@ def test_registry(spark):
     assert df.select(results.alias("r")).first().r[0].engine_name == "mine"
     reg.unregister("mine")
     assert len(reg) == 0
+    rate = lambda row: {"risk_score": 100.0 / row["n"], "confidence": 1.0, "flags": ["own"]}
+    reg.register("own", python_engine("own", rate, ["n"]))
+    df, results = reg.run_all(spark.createDataFrame([(4,), (0,)], "n int"))
+    rows = {r.n: r.r[0] for r in df.select("n", results.alias("r")).collect()}
+    assert rows[4].risk_score == 25.0 and rows[4].flags == ["own"]
+    assert rows[0].status == "error" and "ZeroDivisionError" in rows[0].error_message
 
 
 def test_redirects(spark):
