@@ -25,7 +25,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import encoded
 
 #: A space between two visible characters always starts a new piece.
 CUT = re.compile(r" (?<=\S )(?=\S)")
@@ -39,145 +38,206 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes bytes under merge ranks, one table look-up per byte once states are known."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, wait: int = 24):
         self.ranks = ranks
+        self.wait = wait
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.max_states = max_states
-        self.open = {b[:n] for b in ranks for n in range(1, len(b))}
+        # trie of the vocabulary: (token or -1) * 2 + (1 if longer tokens begin like this)
+        self.nodes = {b[:n]: -1 for b in ranks for n in range(1, len(b))}
+        for b, i in ranks.items():
+            self.nodes[b] = 2 * i + (b in self.nodes)
+        self.parts: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self._reset()
 
     def _reset(self) -> None:
+        #: last emitted token, open bytes, last token at each open position, live positions
+        self.states: list[tuple[int, bytes, tuple, tuple]] = [(-1, b"", (), (0,))]
         self.ids: dict[tuple[int, bytes], int] = {}
-        self.states: list[tuple[int, bytes, tuple]] = []
-        self.moves: list[dict[int, tuple[int, tuple]]] = []
-        self.ends: list[tuple | None] = []
-        self._state(-1, b"", ())
-
-    def _state(self, last: int, rest: bytes, back: tuple) -> int:
-        key = (last, rest)
-        if key not in self.ids:
-            self.ids[key] = len(self.states)
-            self.states.append((last, rest, back))
-            self.moves.append({})
-            self.ends.append(None)
-        return self.ids[key]
+        self.moves: dict[int, tuple[int, tuple]] = {}
+        self.ends: dict[int, tuple] = {}
+
+    def _split(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The two parts whose merge made the token; None for a single byte."""
+        if token not in self.parts:
+            parts, limit = [token[i : i + 1] for i in range(len(token))], self.ranks[token]
+            while len(parts) > 2:
+                ranks = [self.ranks.get(a + b, limit) for a, b in zip(parts, parts[1:])]
+                i = ranks.index(min(ranks))
+                if ranks[i] >= limit:
+                    raise ValueError(f"token {token!r} cannot be made by merges")
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self.parts[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self.parts[token]
+
+    def _edge(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
+        """Tokens that once stood at one edge of ``token``, each with the rank that ended it."""
+        out, until = [(token, 1 << 60)], self.ranks[token]
+        while (parts := self._split(token)) is not None:
+            token = parts[side]
+            out.append((token, until))
+            until = self.ranks[token]
+        return out
 
     def _stable(self, a: int, b: int) -> bool:
-        """Does the merged form of the two tokens' bytes consist of the same two tokens?"""
+        """Do two neighbouring tokens stay apart? No merge over their border may come first.
+
+        Of equal merges the left one goes first.
+        """
         key = (a, b)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
-            left, right = self.bytes_of[a], self.bytes_of[b]
-            known = self.pairs[key] = self._merge(left + right) == [left, right]
-        return known
-
-    def _merge(self, text: bytes) -> list[bytes]:
-        parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
-            best = min(
-                (self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i)
-                for i in range(len(parts) - 1)
+            rights = self._edge(self.bytes_of[b], 0)
+            known = self.pairs[key] = not any(
+                (rank := self.ranks.get(left + right)) is not None
+                and rank < left_until
+                and rank <= right_until
+                for left, left_until in self._edge(self.bytes_of[a], 1)
+                for right, right_until in rights
             )
-            if best[0] == 1 << 60:
-                break
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def _path(self, back: tuple, at: int) -> list[tuple[int, int]]:
-        """(token, end) from the first open byte to position ``at``."""
-        out = []
-        while at:
-            start, token = back[at - 1]
-            out.append((token, at))
-            at = start
-        return out[::-1]
+        return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        last, rest, back = self.states[state]
+        last, rest, back, live = self.states[state]
         rest += bytes((byte,))
-        n = len(rest)
-        for start in range(n):
-            token = self.ranks.get(rest[start:])
-            if token is None:
+        find, token, still = self.nodes.get, -1, []
+        for start in live:  # longest token first
+            node = find(rest[start:])
+            if node is None:
                 continue
-            before = back[start - 1][1] if start else last
-            if before < 0 or self._stable(before, token):
-                back += ((start, token),)
-                break
-        else:
+            if node & 1:
+                still.append(start)
+            if token < 0 and node > 0:
+                before = back[start - 1] if start else last
+                if before < 0 or self._stable(before, node >> 1):
+                    token = node >> 1
+        if token < 0:
             raise ValueError("the ranks do not cover every byte")
-        alive = [i for i in range(n) if rest[i:] in self.open] + [n]
-        paths = [self._path(back, i) for i in alive]
+        still.append(len(rest))
+        back += (token,)
+        if len(rest) < self.wait:  # reached by one way only
+            self.states.append((last, rest, back, tuple(still)))
+            return len(self.states) - 1, ()
+        return self._emit(last, rest, back, still)
+
+    def _path(self, back: tuple, at: int) -> list[int]:
+        path = []
+        while at:
+            path.append(back[at - 1])
+            at -= len(self.bytes_of[back[at - 1]])
+        return path[::-1]
+
+    def _emit(self, last: int, rest: bytes, back: tuple, live: list[int]) -> tuple[int, tuple]:
+        """Emit what the paths of all live positions share; equal remainders are one state."""
+        paths = [self._path(back, i) for i in live]
         done = 0
         while all(len(p) > done for p in paths) and len({p[done] for p in paths}) == 1:
             done += 1
-        if not done:
-            return self._state(last, rest, back), ()
-        cut = paths[0][done - 1][1]
-        left = tuple((max(s - cut, 0), t) for s, t in back[cut:])
-        out = tuple(t for t, _ in paths[0][:done])
-        return self._state(out[-1], rest[cut:], left), out
+        out = tuple(paths[0][:done])
+        cut = sum(len(self.bytes_of[t]) for t in out)
+        key = (out[-1] if out else last, rest[cut:])
+        if key not in self.ids:
+            self.ids[key] = len(self.states)
+            self.states.append((*key, back[cut:], tuple(i - cut for i in live)))
+        return self.ids[key], out
+
+    def _finish(self, state: int, tail: bytes) -> list[int]:
+        """Tokens of a short text's end, without new states."""
+        last, rest, back, live = self.states[state]
+        find, pairs, stable = self.nodes.get, self.pairs.get, self._stable
+        rest, back = rest + tail, list(back)
+        for end in range(len(back) + 1, len(rest) + 1):
+            token, still = -1, []
+            for start in live:
+                node = find(rest[start:end])
+                if node is None:
+                    continue
+                if node & 1:
+                    still.append(start)
+                if token < 0 and node > 0:
+                    before = back[start - 1] if start else last
+                    if before >= 0:
+                        apart = pairs((before, node >> 1))
+                        if not (stable(before, node >> 1) if apart is None else apart):
+                            continue
+                    token = node >> 1
+            if token < 0:
+                raise ValueError("the ranks do not cover every byte")
+            back.append(token)
+            still.append(end)
+            live = still
+        return self._path(back, len(back))
 
     def encode(self, text: bytes) -> list[int]:
         if len(self.states) > self.max_states:
             self._reset()
         out: list[int] = []
-        state, moves = 0, self.moves
-        for byte in text:
-            step = moves[state].get(byte)
+        state, moves, learned = 0, self.moves, 0
+        short = len(text) < self.wait
+        for at, byte in enumerate(text):
+            step = moves.get(state << 8 | byte)
             if step is None:
-                step = moves[state][byte] = self._move(state, byte)
+                if learned and short:  # a short text adds one state, so its parts pay off
+                    return self._finish(state, text[at:])
+                learned = 1
+                step = moves[state << 8 | byte] = self._move(state, byte)
             state, tokens = step
             if tokens:
                 out += tokens
-        end = self.ends[state]
+        end = self.ends.get(state)
         if end is None:
-            _, rest, back = self.states[state]
-            end = self.ends[state] = tuple(t for t, _ in self._path(back, len(rest)))
+            back = self.states[state][2]
+            end = self.ends[state] = tuple(self._path(back, len(back)))
         out += end
         return out
 
 
+class Recent(dict):
+    """Look-up of bounded size in two generations, so that what is used often stays."""
+
+    def __init__(self, most: int, make):
+        super().__init__()
+        self.most, self.make, self.older = most, make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
     """Cuts a text into pieces by ``pattern`` and encodes each by the transducer.
 
-    Stretches between two lone spaces are remembered with their ids, up to a bound.
+    Ids (int32) of pieces, and of stretches between two lone spaces, are remembered.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 120_000):
         self.find = regex.compile(pattern).findall
         self.machine = Transducer(ranks)
-        self.known: dict[str, list[int]] = {}
-        self.remembered = remembered
+        self.pieces = Recent(remembered, self._piece)
+        self.stretches = Recent(remembered, lambda stretch: self._cut(" " + stretch))
 
-    def _pieces(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.find(text):
-            out += self.machine.encode(piece.encode("utf-8", "replace"))
-        return out
+    def _piece(self, piece: str) -> bytes:
+        return array("i", self.machine.encode(piece.encode("utf-8", "replace"))).tobytes()
 
-    def _learn(self, stretch: str) -> list[int]:
-        ids = self._pieces(" " + stretch)
-        if len(stretch) <= 64:
-            if len(self.known) >= self.remembered:
-                self.known.clear()
-            self.known[stretch] = ids
-        return ids
+    def _cut(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
-    def encode(self, text: str) -> array:
-        out = array("i")
+    def encode(self, text: str) -> np.ndarray:
         if not text:
-            return out
-        stretches = CUT.split(text)
-        out.extend(self._pieces(stretches[0]))
-        known = self.known
-        for stretch in stretches[1:]:
-            out.extend(known.get(stretch) or self._learn(stretch))
-        return out
+            return np.empty(0, np.int32)
+        first, *stretches = CUT.split(text)
+        rest = map(self.stretches.__getitem__, stretches)
+        return np.frombuffer(self._cut(first) + b"".join(rest), np.int32)
 
 
 class Utf8Machine:
@@ -248,60 +308,55 @@ def _table(path: str) -> list[bytes]:
     return _MODELS[key]
 
 
-def _with_column(batch: pa.RecordBatch, source: str, name: str, values: pa.Array) -> pa.RecordBatch:
-    at = batch.schema.get_field_index(source)
-    cols, names = list(batch.columns), list(batch.schema.names)
-    cols[at], names[at] = values, name
-    return pa.RecordBatch.from_arrays(cols, names)
-
-
-def _swap(df: DataFrame, source: str, name: str, kind: str, fn) -> DataFrame:
-    """``df`` with column ``source`` replaced by ``name`` (all other columns stay)."""
-    fields = ", ".join(
-        f"`{name}` {kind}" if f.name == source else f"`{f.name}` {f.dataType.simpleString()}"
-        for f in df.schema
-    )
+def _swap(df: DataFrame, source: str, new: dict[str, str], fn) -> DataFrame:
+    """``df`` with column ``source`` replaced by the columns ``new`` (all others stay)."""
+    rest = [f for f in df.schema if f.name != source]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest]
+    fields += [f"`{name}` {kind}" for name, kind in new.items()]
+    names = [f.name for f in rest] + list(new)
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                values = fn(part.column(part.schema.get_field_index(source)))
-                yield _with_column(part, source, name, values)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                at = part.schema.get_field_index(source)
+                kept = [c for i, c in enumerate(part.columns) if i != at]
+                yield pa.RecordBatch.from_arrays(kept + fn(part.column(at)), names)
 
-    return df.mapInArrow(run, fields)
+    return df.mapInArrow(run, ", ".join(fields))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Replace column ``text`` by the array of its ids. ``path``: rank file all workers can read."""
+def encode(
+    df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids",
+    decoded: str | None = None,
+) -> DataFrame:
+    """Replace column ``text`` by the array of its ids.
 
-    def ids_of(texts: pa.Array) -> pa.Array:
-        encoder, flat, ends = _encoder(path, pattern), array("i"), [0]
-        for t in texts.to_pylist():
-            if t:
-                flat.extend(encoder.encode(t))
-            ends.append(len(flat))
-        return pa.ListArray.from_arrays(
-            pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32())
-        )
+    ``path``: rank file that all workers can read. ``decoded``: name of a further column with
+    the text decoded back from the ids.
+    """
 
-    return _swap(df, text, out, "array<int>", ids_of)
+    def ids_of(texts: pa.Array) -> list[pa.Array]:
+        encoder = _encoder(path, pattern)
+        ids = [encoder.encode(t.as_py() or "") for t in texts]
+        ends = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+        return [lists] + ([_decoded(lists, path)] if decoded else [])
 
+    new = {out: "array<int>"} | ({decoded: "string"} if decoded else {})
+    return _swap(df, text, new, ids_of)
 
-def decode(
-    df: DataFrame, path: str, ids: str = "ids", out: str = "text", block: int = 4096
-) -> DataFrame:
-    """Replace column ``ids`` by its text, decoded block by block."""
-
-    def text_of(lists: pa.Array) -> pa.Array:
-        table, texts = _table(path), []
-        flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        for a, b in zip(ends[:-1], ends[1:]):
-            blocks = (flat[i : min(i + block, b)] for i in range(a, b, block))
-            texts.append("".join(decode_stream(blocks, table)))
-        return pa.array(texts, pa.string())
 
-    return _swap(df.withColumn(ids, F.coalesce(F.col(ids), F.array().cast("array<int>"))), ids, out, "string", text_of)
+def _decoded(lists: pa.Array, path: str, block: int = 4096) -> pa.Array:
+    table, texts = _table(path), []
+    flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    for a, b in zip(ends[:-1], ends[1:]):
+        blocks = (flat[i : min(i + block, b)] for i in range(a, b, block))
+        texts.append("".join(decode_stream(blocks, table)))
+    return pa.array(texts, pa.string())
 
 
-__all__ = ["Encoder", "Transducer", "Utf8Machine", "decode", "decode_stream", "encode", "encoded", "load_ranks"]
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
+    """Replace column ``ids`` by its text, decoded block by block."""
+    whole = df.withColumn(ids, F.coalesce(F.col(ids), F.array().cast("array<int>")))
+    return _swap(whole, ids, {out: "string"}, lambda lists: [_decoded(lists, path)])

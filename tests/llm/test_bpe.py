@@ -46,6 +46,14 @@ def test_utf8_machine_equals_whole_decoding(data, step):
     assert got + machine.finish() == data.decode("utf-8", "replace")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abeinthrsé"), max_size=60), st.integers(1, 9))
+def test_early_output_changes_nothing(text, wait):
+    machine = bpe.Transducer(RANKS, wait=wait)
+    expected = ORACLE.encode_ordinary(text)
+    assert machine.encode(text.encode()) == machine.encode(text.encode()) == expected
+
+
 def test_tables_stay_bounded():
     machine = bpe.Transducer(RANKS, max_states=50)
     for word in (b"tokenization", b"indivisible", b"unbelievable") * 3:
