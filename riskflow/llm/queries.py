@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe
+from riskflow.llm import bpe, hilbert, url_filter, warc
 from riskflow.llm.common import read
 
 
@@ -24,6 +24,47 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    entries = F.array_sort(F.transform(F.map_entries("merged"), lambda e: F.concat_ws("=", e.key, e.value)))
+    return warc.resolve(warc.records_of_pages(pages)).select(
+        "record_id", "canonical_url", "response_id", "outcome",
+        F.when(F.col("merged").isNotNull(), F.array_join(entries, ";")).alias("merged"),
+        "response_digest",
+    )
+
+
+def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    narrow = docs.select(
+        "doc_id", "lang", "source", (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+    )
+    indexed = hilbert.with_index(narrow, ["source", "lang", "size"], bits=5).drop("lang", "source")
+    return hilbert.shard(indexed, 24, "hilbert", "doc_id").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "hilbert",
+    )
+
+
+#: rules of the URL query: verdict, host, path
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).drop("url")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op7_revisits": op7_revisits,
+    "op8_hilbert": op8_hilbert,
+    "op10_urls": op10_urls,
+}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_revisits": warc.SQL}
