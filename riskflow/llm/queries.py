@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, hilbert, url_filter, warc
+from riskflow.llm import bpe, decontam, hilbert, quality, url_filter, warc
 from riskflow.llm.common import read
 
 
@@ -24,6 +24,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
+        "doc_id", *quality.NAMES, "base_failed", "kept"
+    )
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (read(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontam.search(docs, items).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     entries = F.array_sort(F.transform(F.map_entries("merged"), lambda e: F.concat_ws("=", e.key, e.value)))
@@ -62,9 +73,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_quality": op3_quality,
+    "op4_decontaminate": op4_decontaminate,
     "op7_revisits": op7_revisits,
     "op8_hilbert": op8_hilbert,
     "op10_urls": op10_urls,
 }
 
-SQL: dict[str, str] = {"op7_revisits": warc.SQL}
+SQL: dict[str, str] = {"op4_decontaminate": decontam.SQL, "op7_revisits": warc.SQL}
