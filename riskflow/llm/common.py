@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskflow.session import checkpoint_root, ship_package
 
@@ -58,6 +59,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def flags(df: DataFrame, slot: str, bits: int) -> np.ndarray:
+    """Which of the numbers ``0 .. 2**bits - 1`` occur in column ``slot``.
+
+    Aggregated as bitmaps map-side; the driver receives at most ``2**bits`` bits.
+    """
+    one = F.col(slot).cast("long") + 1
+    rows = df.groupBy(F.bitmap_bucket_number(one).alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits")
+    )
+    out = np.zeros(max(1 << bits, 32768), bool)
+    for r in rows.collect():
+        at = (r.b - 1) * 32768
+        out[at : at + 32768] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")[:32768].astype(bool)
+    return out[: 1 << bits]
+
+
 def encoded(text: str | None) -> bytes:
     """UTF-8 bytes; a lone surrogate, which no Spark string holds, would become ``?``."""
     return b"" if text is None else text.encode("utf-8", "replace")

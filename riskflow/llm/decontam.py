@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import LOWER, WordHash, encoded, shingle_hashes, stage
+from riskflow.llm.common import LOWER, WordHash, encoded, flags, shingle_hashes, stage
 
 
 def shingle_set(data: bytes, width: int) -> set[tuple[bytes, ...]]:
@@ -51,28 +51,19 @@ def sketches(items: DataFrame, ident: str, width: int, share: float) -> DataFram
     return items.where(F.col(ident).isNotNull()).select(ident, "text").mapInArrow(run, f"item {kind}, hash long")
 
 
-def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A table of ``2**bits`` flags of the hashes' low bits; at most that many numbers are gathered."""
-    low = hashes.select((F.col("hash").bitwiseAND((1 << bits) - 1)).alias("b")).distinct()
-    table = np.zeros(1 << bits, bool)
-    for r in low.toLocalIterator():
-        table[r.b] = True
-    return table
-
-
 def probes(docs: DataFrame, ident: str, width: int, table: np.ndarray) -> DataFrame:
     """``doc, hash`` of the shingles that may be in a sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
     kind = docs.schema[ident].dataType.simpleString()
 
     def run(batches):
-        words, flags = WordHash(), sent.value
-        mask = np.uint64(len(flags) - 1)
+        words, marked = WordHash(), sent.value
+        mask = np.uint64(len(marked) - 1)
         for batch in batches:
             found, counts = [], []
             for text in batch.column(1):
                 h = shingle_hashes(words(encoded(text.as_py()).translate(LOWER).split()), width)
-                h = np.unique(h[flags[(h & mask).astype(np.int64)]])
+                h = np.unique(h[marked[(h & mask).astype(np.int64)]])
                 counts.append(len(h))
                 found.append(h.view(np.int64))
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
@@ -115,7 +106,9 @@ def search(
 ) -> DataFrame:
     """Pairs ``doc, item`` where the document holds at least ``share`` of the item's shingles."""
     sketch = stage(sketches(items, item_id, width, share), "sketch")
-    hits = probes(docs, doc_id, width, bit_filter(sketch, bits)).join(sketch, "hash")
+    # flags of the hashes' low bits: a filter of fixed size, whatever the number of items
+    table = flags(sketch.select(F.col("hash").bitwiseAND((1 << bits) - 1).alias("low")), "low", bits)
+    hits = probes(docs, doc_id, width, table).join(sketch, "hash")
     pairs = stage(hits.select("doc", "item").distinct(), "leak-candidates")
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col("text").alias("doc_text"))
     queries = items.select(F.col(item_id).alias("item"), F.col("text").alias("item_text"))

@@ -28,10 +28,10 @@ SYMBOL = re.compile(rb"[#*$%&|<>]")
 BLANK = re.compile(rb"[\x20\x09-\x0D]+")
 #: rule: (ratio in SQL, side it guards, slack added to the fence)
 RULES = {
-    "symbol_ratio": ("n_symbols / word_chars", "high", 0.02),
-    "dup_line_ratio": ("n_dup_lines / n_words", "high", 0.02),
-    "repeat_ratio": ("n_repeat_words / n_words", "high", 0.05),
-    "word_length": ("word_chars / n_words", "both", 1.0),
+    "symbol_ratio": ("n_symbols / word_chars", "high", 0.05),
+    "dup_line_ratio": ("n_dup_lines / n_words", "high", 0.1),
+    "repeat_ratio": ("n_repeat_words / n_words", "high", 0.15),
+    "word_length": ("word_chars / n_words", "both", 2.0),
 }
 
 

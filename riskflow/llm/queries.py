@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, decontam, hilbert, quality, url_filter, warc
+from riskflow.llm import bpe, decontam, hilbert, ngram_join, quality, url_filter, warc
 from riskflow.llm.common import read
 
 
@@ -59,6 +59,10 @@ def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: rules of the URL query: verdict, host, path
 URL_RULES = [
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -77,7 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op7_revisits": op7_revisits,
     "op8_hilbert": op8_hilbert,
+    "op9_ngram_join": op9_ngram_join,
     "op10_urls": op10_urls,
 }
 
-SQL: dict[str, str] = {"op4_decontaminate": decontam.SQL, "op7_revisits": warc.SQL}
+SQL: dict[str, str] = {"op4_decontaminate": decontam.SQL, "op7_revisits": warc.SQL, "op9_ngram_join": ngram_join.SQL}
