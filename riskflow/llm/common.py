@@ -6,10 +6,10 @@ exactly these bytes, so words are cut in UTF-8, where no other character contain
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,29 +91,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHash:
-    """64-bit hash per word, remembered up to a bound."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-    def __init__(self, most: int = 200_000):
-        self.most = most
-        self.seen: dict[bytes, int] = {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        try:
-            return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            pass
-        if len(seen) > self.most:
-            seen.clear()
-        out = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            h = seen.get(w)
-            if h is None:
-                h = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-                seen[w] = h
-            out[i] = h
-        return out
+#: odd multipliers, one per word of a shingle
+WEIGHTS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -124,5 +107,5 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     k = min(width, n)
     out = np.full(n - k + 1, np.uint64(k))
     for i in range(k):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : n - k + 1 + i])
-    return out
+        out += hashes[i : n - k + 1 + i] * WEIGHTS[i]
+    return mix(out)

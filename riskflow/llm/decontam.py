@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import LOWER, WordHash, encoded, flags, shingle_hashes, stage
+from riskflow.llm.common import LOWER, encoded, flags, shingle_hashes, stage, word_hashes
 
 
 def shingle_set(data: bytes, width: int) -> set[tuple[bytes, ...]]:
@@ -34,11 +34,10 @@ def sketches(items: DataFrame, ident: str, width: int, share: float) -> DataFram
     """``item, hash``: the smallest hashes of every item; their number follows from its size class."""
 
     def run(batches):
-        words = WordHash()
         for batch in batches:
             ids, hashes = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.unique(shingle_hashes(words(encoded(text.as_py()).translate(LOWER).split()), width))
+                own = np.unique(shingle_hashes(word_hashes(encoded(text.as_py()).translate(LOWER).split()), width))
                 # the class holds sizes up to 2**j; its bound on what may be missing serves all of them
                 top = 1 << (len(own) - 1).bit_length() if len(own) else 0
                 keep = own[: top - int(np.ceil(share * top - 1e-9)) + 1]
@@ -57,12 +56,12 @@ def probes(docs: DataFrame, ident: str, width: int, table: np.ndarray) -> DataFr
     kind = docs.schema[ident].dataType.simpleString()
 
     def run(batches):
-        words, marked = WordHash(), sent.value
+        marked = sent.value
         mask = np.uint64(len(marked) - 1)
         for batch in batches:
             found, counts = [], []
             for text in batch.column(1):
-                h = shingle_hashes(words(encoded(text.as_py()).translate(LOWER).split()), width)
+                h = shingle_hashes(word_hashes(encoded(text.as_py()).translate(LOWER).split()), width)
                 h = np.unique(h[marked[(h & mask).astype(np.int64)]])
                 counts.append(len(h))
                 found.append(h.view(np.int64))

@@ -27,40 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import LOWER, WordHash, drop, encoded, flags, shingle_hashes, stage
+from riskflow.llm.common import LOWER, drop, encoded, flags, shingle_hashes, stage, word_hashes
 
 RING = (1, 2, 4, 8)
 RANGES = 16
 POSTING = "gram long, key binary, n int, at int, low long, high long"
+POSTING_NAMES = [f.split()[0] for f in POSTING.split(", ")]
 
 
-def shingles(words: WordHash, text: str | None, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(words(encoded(text).translate(LOWER).split()), width))
+def shingles(text: str | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(word_hashes(encoded(text).translate(LOWER).split()), width))
 
 
 def key_of(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def classes_of(docs: DataFrame, ident: str, width: int) -> DataFrame:
-    """``doc_id, n_shingles, key``: the key names the shingle set, null for an empty one."""
-    kind = docs.schema[ident].dataType.simpleString()
-
-    def run(batches):
-        words = WordHash()
-        for batch in batches:
-            sets = [shingles(words, t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([key_of(s) if len(s) else None for s in sets], pa.binary()),
-                ],
-                [ident, "n_shingles", "key"],
-            )
-
-    return docs.select(ident, "text").mapInArrow(run, f"`{ident}` {kind}, n_shingles long, key binary")
-
-
 def count_table(texts: DataFrame, width: int, bits: int) -> np.ndarray:
     """Shingle counts over all ``texts``, hashed into ``2**bits`` counters.
 
@@ -70,10 +52,10 @@ def count_table(texts: DataFrame, width: int, bits: int) -> np.ndarray:
     size, step = 1 << bits, min(1024, 1 << bits)
 
     def count(batches):
-        words, table = WordHash(), np.zeros(size, np.uint32)
+        table = np.zeros(size, np.uint32)
         for batch in batches:
             for text in batch.column(0):
-                h = shingles(words, text.as_py(), width)
+                h = shingle_hashes(word_hashes(encoded(text.as_py()).translate(LOWER).split()), width)
                 np.add.at(table, (h & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
         filled = [i for i in range(size // step) if table[i * step : (i + 1) * step].any()]
         parts = [table[i * step : (i + 1) * step].tobytes() for i in filled]
@@ -110,26 +92,36 @@ def spread_of(grams: np.ndarray) -> tuple[int, int]:
     return tuple(int(v) for v in counts.astype(np.uint8).view(np.int64))
 
 
-def postings(texts: DataFrame, width: int, percent: int, table: np.ndarray) -> DataFrame:
-    """Prefix shingles of every text with position, set size and range counts."""
-    sent = texts.sparkSession.sparkContext.broadcast(table)
+def postings(docs: DataFrame, ident: str, width: int, percent: int, table: np.ndarray) -> DataFrame:
+    """Two kinds of rows from one pass over the texts.
+
+    One row per document with ``key`` (null for an empty set) and ``n``; one row per prefix shingle
+    (``gram`` not null) of each class met in a task, with position, set size and range counts.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+    kind = docs.schema[ident].dataType.simpleString()
+    names = [ident, *POSTING_NAMES]
 
     def run(batches):
-        words, counts = WordHash(), sent.value
+        counts = sent.value
         low = np.uint64(len(counts) - 1)
-        seen: set[bytes] = set()  # copies within a task; more of them are dropped after the shuffle
+        seen: set[bytes] = set()  # copies within a task; the rest of them goes after the shuffle
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                sets = [shingles(t.as_py(), width) for t in part.column(1)]
+                keys = [key_of(g) if len(g) else None for g in sets]
+                no = [pa.nulls(len(sets), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+                sizes = pa.array([len(g) for g in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), no[0], pa.array(keys, pa.binary()), sizes, *no[1:]], names)
                 cols: list[list] = [[], [], [], [], [], []]
-                for text in batch.column(0).slice(start, 500):
-                    grams = shingles(words, text.as_py(), width)
-                    n = len(grams)
-                    key = key_of(grams)
-                    if not n or key in seen:
+                for row, grams, key in zip(part.column(0), sets, keys):
+                    if key is None or key in seen or not row.is_valid:
                         continue
                     if len(seen) > 100_000:
                         seen.clear()
                     seen.add(key)
+                    n = len(grams)
                     prefix = n - (percent * n + 99) // 100 + 1
                     rare = np.lexsort((grams, counts[(grams & low).astype(np.int64)]))[:prefix]
                     a, b = spread_of(grams)
@@ -138,14 +130,11 @@ def postings(texts: DataFrame, width: int, percent: int, table: np.ndarray) -> D
                     for c, v in zip(cols[2:], (np.full(prefix, n), np.arange(prefix), np.full(prefix, a), np.full(prefix, b))):
                         c.append(v)
                 if cols[1]:
-                    whole = lambda i, t: pa.array(np.concatenate(cols[i]).astype(t))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays(
-                        [whole(0, np.int64), pa.array(cols[1], pa.binary()), whole(2, np.int32), whole(3, np.int32),
-                         whole(4, np.int64), whole(5, np.int64)],
-                        ["gram", "key", "n", "at", "low", "high"],
-                    )
+                    kinds = (np.int64, None, np.int32, np.int32, np.int64, np.int64)
+                    made = [pa.array(c, pa.binary()) if t is None else pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, kinds)]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(cols[1]), part.column(0).type), *made], names)
 
-    return texts.select("text").mapInArrow(run, POSTING)
+    return docs.select(ident, "text").mapInArrow(run, f"`{ident}` {kind}, {POSTING}")
 
 
 def may_link(a: dict, i: np.ndarray, b: dict, j: np.ndarray, percent: int) -> np.ndarray:
@@ -173,11 +162,15 @@ def rows_of(batch: pa.RecordBatch) -> dict:
 def pair_batch(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
     swap = left > right
     a, b = np.where(swap, right, left), np.where(swap, left, right)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), none], ["a", "b", "large"])
 
 
 def first_meetings(rows: DataFrame, percent: int, small: int) -> DataFrame:
-    """Candidate pairs: all of small groups, ring neighbours of larger ones."""
+    """Candidate pairs ``a, b``: all of small groups, ring neighbours of larger ones.
+
+    A row with ``large`` names the shingle of a larger group instead.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turn = rows.withColumn("_turn", F.xxhash64("key")).repartition(parts, "gram")
     turn = turn.sortWithinPartitions("gram", "_turn", "key").drop("_turn")
@@ -212,6 +205,8 @@ def first_meetings(rows: DataFrame, percent: int, small: int) -> DataFrame:
                 size[r["gram"] == opened] = small + 1
             last = r["gram"] == r["gram"][-1]
             large = bool(size[-1] > small)
+            hot = np.unique(r["gram"][size > small])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.binary()), pa.nulls(len(hot), pa.binary()), pa.array(hot)], ["a", "b", "large"])
             done = np.ones(len(last), bool) if large else ~last
             yield from meet({k: v[done] for k, v in r.items()}, size[done])
             tail = np.flatnonzero(last)[-max(RING) :] if large else np.flatnonzero(last)
@@ -219,15 +214,18 @@ def first_meetings(rows: DataFrame, percent: int, small: int) -> DataFrame:
         if held is not None and not large:
             yield from meet(held, np.full(len(held["gram"]), len(held["gram"])))
 
-    return turn.mapInArrow(run, "a binary, b binary").distinct()
+    return turn.mapInArrow(run, "a binary, b binary, large long").distinct()
 
 
-def later_meetings(rows: DataFrame, labels: DataFrame, percent: int, small: int, block: int) -> DataFrame:
-    """Candidate pairs of large groups between classes of different components."""
-    named = rows.dropDuplicates(["gram", "key"]).join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+def later_meetings(rows: DataFrame, large: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
+    """Candidate pairs of the groups ``large`` between classes of different components."""
+    # a table of shingles of large groups is sent to all tasks only if it is small
+    few = large.count() <= 500_000
+    hot = rows.join(F.broadcast(large) if few else large, "gram", "left_semi").dropDuplicates(["gram", "key"])
+    named = hot.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     groups = named.groupBy("gram").agg(
         F.count("*").alias("_n"), F.min("label").alias("_a"), F.max("label").alias("_b")
-    ).where((F.col("_n") > small) & (F.col("_a") != F.col("_b"))).select(
+    ).where(F.col("_a") != F.col("_b")).select(
         "gram", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")
     )
     mine = F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")
@@ -268,10 +266,7 @@ def later_meetings(rows: DataFrame, labels: DataFrame, percent: int, small: int,
                     if ok.any():
                         yield pair_batch(part["key"][one[ok]], mine["key"][other[ok]])
 
-    return both.mapInArrow(run, "a binary, b binary").distinct()
-
-
-POSTING_NAMES = [f.split()[0] for f in POSTING.split(", ")]
+    return both.mapInArrow(run, "a binary, b binary, large long").select("a", "b").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, leads: DataFrame, ident: str, width: int, percent: int, bits: int = 20) -> DataFrame:
@@ -287,12 +282,11 @@ def verify(pairs: DataFrame, docs: DataFrame, leads: DataFrame, ident: str, widt
     kind = docs.schema[ident].dataType.simpleString()
 
     def sets(batches):
-        words = WordHash()
         for batch in batches:
             batch = batch.filter(pa.array(sent.value[batch.column("slot").to_numpy()]))
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                own = [shingles(words, t.as_py(), width) for t in part.column("text")]
+                own = [shingles(t.as_py(), width) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(ident), pa.array(map(key_of, own), pa.binary()), pa.array([g.tobytes() for g in own], pa.binary())],
                     [ident, "key", "grams"],
@@ -324,7 +318,7 @@ def components(links: DataFrame) -> DataFrame:
     one end, and each node keeps a single edge to its minimum.
     """
     edges = links.select("a", "b").where(F.col("a") != F.col("b")).distinct()
-    edges = stage(edges, "edges")
+    edges, mark = stage(edges, "edges"), None
     while True:
         # large star: every larger neighbour moves to the smallest node in reach
         both = edges.union(edges.select("b", "a"))
@@ -334,7 +328,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y"))
         new = stage(small.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
-        same = new.exceptAll(edges).limit(1).count() == 0 and edges.exceptAll(new).limit(1).count() == 0
+        mark, before = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first(), mark
+        same = mark == before
         drop(edges)
         edges = new
         if same:
@@ -349,17 +344,21 @@ def link(
     small: int = 32, block: int = 2048,
 ) -> DataFrame:
     """``ident, n_shingles, component_id`` of every row of ``docs`` (columns ``ident, text``)."""
-    members = stage(classes_of(docs, ident, width), "ngram-classes")
+    texts = docs.where(F.col(ident).isNotNull()).select("text")
+    made = stage(postings(docs, ident, width, percent, count_table(texts, width, bits)), "ngram-postings")
+    rows = made.where(F.col("gram").isNotNull()).select(*POSTING_NAMES)
+    members = made.where(F.col("gram").isNull()).select(ident, F.col("n").cast("long").alias("n_shingles"), "key")
+    members = stage(members, "ngram-classes")
     able = members.where(F.col("key").isNotNull() & F.col(ident).isNotNull())
     leads = able.groupBy("key").agg(F.min(ident).alias(ident))
-    texts = docs.where(F.col(ident).isNotNull()).select("text")
-    rows = stage(postings(texts, width, percent, count_table(texts, width, bits)), "ngram-postings")
     first = stage(first_meetings(rows, percent, small), "ngram-first")
-    links = verify(first, docs, leads, ident, width, percent)
+    large = first.where(F.col("large").isNotNull()).select(F.col("large").alias("gram"))
+    links = verify(first.where(F.col("large").isNull()).select("a", "b"), docs, leads, ident, width, percent)
     labels = stage(components(links), "ngram-labels")
-    later = stage(later_meetings(rows, labels, percent, small, block), "ngram-later")
+    later = stage(later_meetings(rows, large, labels, percent, block), "ngram-later")
+    drop(made)
     links = links.union(verify(later, docs, leads, ident, width, percent))
-    drop(rows, first, later, labels)
+    drop(first, later, labels)
     # an id with several texts is one node
     shared = able.groupBy(ident).agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z")
     same = able.join(shared, ident).select("a", F.col("key").alias("b")).where("a != b")
