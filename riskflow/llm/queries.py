@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, decontam, hilbert, ngram_join, quality, url_filter, warc
+from riskflow.llm import bpe, decontam, hilbert, ngram_join, quality, suffix, url_filter, warc
 from riskflow.llm.common import read
 
 
@@ -35,6 +35,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.search(docs, items).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.cut(read(spark, sf_dir, "documents").select("doc_id", "text"), 400).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     entries = F.array_sort(F.transform(F.map_entries("merged"), lambda e: F.concat_ws("=", e.key, e.value)))
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op5_suffix": op5_suffix,
     "op7_revisits": op7_revisits,
     "op8_hilbert": op8_hilbert,
     "op9_ngram_join": op9_ngram_join,
