@@ -54,8 +54,14 @@ def drop(*tables: DataFrame) -> None:
             fs.delete(jpath, True)
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and keep Arrow batches of long texts small."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 

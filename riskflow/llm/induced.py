@@ -82,14 +82,23 @@ def _is_s(text: np.ndarray) -> np.ndarray:
 class _Inducer:
     """Hands items on to their predecessors' characters and keeps the prefix minima per character."""
 
-    def __init__(self, text: np.ndarray, chars: int, queue: RunQueue):
-        self.text, self.queue = text, queue
+    def __init__(self, text: np.ndarray, chars: int, queue: RunQueue, carry: bool):
+        self.text, self.queue, self.carry = text, queue, carry
         self.low = np.zeros(chars, np.int64)  # smallest common prefix since the character's last inducer
 
     def hand_on(self, items: np.ndarray, able: np.ndarray) -> None:
         """``items``: (position, common prefix with the item before) in sweep order."""
-        low = np.minimum.accumulate(items[:, 1])
         at = np.flatnonzero(able)
+        if not self.carry:
+            before = items[at, 0] - 1
+            chars = self.text[before]
+            order = np.argsort(chars, kind="stable")
+            made = np.stack([before[order], np.zeros(len(at), np.int64)], axis=1)
+            edges = np.flatnonzero(np.r_[True, np.diff(chars[order].astype(np.int64)) != 0]) if len(at) else []
+            for a, b in zip(edges, [*edges[1:], len(at)]):
+                self.queue.push(int(chars[order[a]]), made[a:b])
+            return
+        low = np.minimum.accumulate(items[:, 1])
         if len(at):
             before = items[at, 0] - 1
             chars = self.text[before].astype(np.int64)
@@ -133,29 +142,34 @@ def _range_min(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 
 def prefix_of(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of the suffixes at ``a`` and ``b``, up to ``most``."""
+    """Common prefix of different suffixes, at least up to ``most``; the text ends with a unique character."""
     out = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
-    n = len(text)
-    for k in range(most):
-        pa, pb = a[live] + k, b[live] + k
-        ok = (pa < n) & (pb < n)
-        live, pa, pb = live[ok], pa[ok], pb[ok]
-        same = text[pa] == text[pb]
+    per = 8 // text.itemsize  # characters compared at once
+    padded = np.r_[text, np.zeros(per, text.dtype)]
+    words = np.ndarray(len(text), np.uint64, padded, strides=(text.itemsize,))
+    for k in range(0, most, per):
+        same = words[a[live] + k] == words[b[live] + k]
+        out[live[same]] += per
+        ends = live[~same]
+        for j in range(per - 1):
+            ends = ends[padded[a[ends] + k + j] == padded[b[ends] + k + j]]
+            out[ends] += 1
         live = live[same]
         if not len(live):
             break
-        out[live] += 1
     return out
 
 
-def _induce(text: np.ndarray, is_s: np.ndarray, marked: np.ndarray, shared: np.ndarray, folder, most) -> tuple:
+def _induce(
+    text: np.ndarray, is_s: np.ndarray, marked: np.ndarray, shared: np.ndarray, folder, most, carry: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order with common prefixes, from the S* suffixes in order with theirs."""
     chars = int(text.max()) + 1
     head = text[marked].astype(np.int64)
     starts = np.searchsorted(head, np.arange(chars + 1))
     queue = RunQueue(chars, folder, most)
-    sweep = _Inducer(text, chars, queue)
+    sweep = _Inducer(text, chars, queue, carry)
     larger: list[np.ndarray] = []  # L suffixes per character
     for c in range(chars):
         own = []
@@ -172,10 +186,10 @@ def _induce(text: np.ndarray, is_s: np.ndarray, marked: np.ndarray, shared: np.n
         if b > a:
             items = np.stack([marked[a:b], shared[a:b]], axis=1)
             # an L suffix and an S suffix of one character share its run only; taken as 1 at least
-            items[0, 1] = _border(text, larger[c][-1, 0], marked[a]) if len(larger[c]) else 0
+            items[0, 1] = _border(text, larger[c][-1, 0], marked[a]) if carry and len(larger[c]) else 0
             sweep.hand_on(items, items[:, 0] > 0)
     queue = RunQueue(chars, folder, most)
-    sweep = _Inducer(text, chars, queue)
+    sweep = _Inducer(text, chars, queue, carry)
     order: list[np.ndarray] = []
     ends = text[-1]
     for c in range(chars - 1, -1, -1):
@@ -199,7 +213,7 @@ def _induce(text: np.ndarray, is_s: np.ndarray, marked: np.ndarray, shared: np.n
             # seen from above, an item's common prefix is the one with its upper neighbour
             up = np.empty(len(down), np.int64)
             up[1:] = larger[c][::-1][:-1, 1]
-            up[0] = _border(text, small[-1, 0], down[0, 0]) if len(small) else 0
+            up[0] = _border(text, small[-1, 0], down[0, 0]) if carry and len(small) else 0
             items = np.stack([down[:, 0], up], axis=1)
             p = items[:, 0]
             prev = text[np.maximum(p - 1, 0)]
@@ -251,7 +265,7 @@ def suffix_array(text: np.ndarray, folder: str | None = None, most: int = 4_000_
     is_s = _is_s(full)
     marked = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     order = marked[np.argsort(full[marked], kind="stable")]
-    rough, _ = _induce(full, is_s, order, np.zeros(len(order), np.int64), folder, most)
+    rough, _ = _induce(full, is_s, order, np.zeros(len(order), np.int64), folder, most, carry=False)
     star = np.zeros(n + 1, bool)
     star[marked] = True
     rough = rough[star[rough]]
