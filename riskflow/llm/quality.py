@@ -138,7 +138,9 @@ def rate(docs: DataFrame, **options) -> DataFrame:
 
 
 def accept(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept; the verdict is joined by a row number of the staged input."""
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "quality-input")
-    verdict = rate(rows, **options).where("kept").select("_row")
-    return rows.join(verdict, "_row", "left_semi").drop("_row")
+    """The rows of ``docs`` that are kept, with their own columns. Only the small limits are joined."""
+    own = {c: f"_own_{c}" for c in docs.columns if c in (*NAMES, "base_failed", "kept")}
+    rows = stage(measured(docs.withColumnsRenamed(own)), "quality")
+    limits = stage(thresholds(rows, **options), "quality-limits")
+    kept = judged(rows, limits).where("kept").drop(*NAMES, "base_failed", "kept")
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)

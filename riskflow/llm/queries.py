@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, decontam, hilbert, ngram_join, quality, suffix, url_filter, warc
+from riskflow.llm import bpe, decontam, hilbert, hpylm, html_crf, ngram_join, quality, suffix, url_filter, warc
 from riskflow.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
         "doc_id", *quality.NAMES, "base_failed", "kept"
@@ -41,6 +45,10 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     entries = F.array_sort(F.transform(F.map_entries("merged"), lambda e: F.concat_ws("=", e.key, e.value)))
@@ -83,9 +91,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_hpylm": op2_hpylm,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_suffix": op5_suffix,
+    "op6_main_text": op6_main_text,
     "op7_revisits": op7_revisits,
     "op8_hilbert": op8_hilbert,
     "op9_ngram_join": op9_ngram_join,
