@@ -43,23 +43,46 @@ def key_of(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def count_table(texts: DataFrame, width: int, bits: int) -> np.ndarray:
-    """Shingle counts over all ``texts``, hashed into ``2**bits`` counters.
+def first_pass(docs: DataFrame, ident: str, width: int, bits: int) -> DataFrame:
+    """Two kinds of rows: ``ident, n_shingles, key`` per document, ``slice, counts`` per task.
 
-    A task sends its counters in slices, slices are added up as they stream in, and the driver
-    receives one table of fixed size.
+    The counters cover all texts with an id; a task sends its ``2**bits`` counters in slices.
     """
     size, step = 1 << bits, min(1024, 1 << bits)
+    kind = docs.schema[ident].dataType.simpleString()
+    names = [ident, "n_shingles", "key", "slice", "counts"]
 
-    def count(batches):
-        table = np.zeros(size, np.uint32)
+    def run(batches):
+        table, of = np.zeros(size, np.uint32), None
         for batch in batches:
-            for text in batch.column(0):
-                h = shingle_hashes(word_hashes(encoded(text.as_py()).translate(LOWER).split()), width)
-                np.add.at(table, (h & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
+            of, sizes, keys = batch.column(0).type, [], []
+            for row, text in zip(batch.column(0), batch.column(1)):
+                grams = shingles(text.as_py(), width)
+                sizes.append(len(grams))
+                keys.append(key_of(grams) if len(grams) else None)
+                if row.is_valid:
+                    np.add.at(table, (grams & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
+            n = len(sizes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names,
+            )
         filled = [i for i in range(size // step) if table[i * step : (i + 1) * step].any()]
         parts = [table[i * step : (i + 1) * step].tobytes() for i in filled]
-        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
+        n = len(filled)
+        if n:
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(n, of), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(filled, pa.int32()), pa.array(parts, pa.binary())],
+                names,
+            )
+
+    schema = f"`{ident}` {kind}, n_shingles long, key binary, slice int, counts binary"
+    return docs.select(ident, "text").mapInArrow(run, schema)
+
+
+def count_table(slices: DataFrame, bits: int) -> np.ndarray:
+    """The sum of all tasks' counters, added up as they stream in; the driver receives one table."""
+    size, step = 1 << bits, min(1024, 1 << bits)
 
     def add(batches):
         now, total = None, None
@@ -77,11 +100,10 @@ def count_table(texts: DataFrame, width: int, bits: int) -> np.ndarray:
         part = np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.binary())], ["slice", "counts"])
 
-    schema = "slice int, counts binary"
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.mapInArrow(count, schema).repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(add, schema)
+    parts = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = slices.select("slice", "counts").repartition(parts, "slice").sortWithinPartitions("slice")
     out = np.zeros(size, np.uint32)
-    for r in rows.collect():
+    for r in dealt.mapInArrow(add, "slice int, counts binary").collect():
         out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r.counts, np.uint32)
     return out
 
@@ -92,15 +114,9 @@ def spread_of(grams: np.ndarray) -> tuple[int, int]:
     return tuple(int(v) for v in counts.astype(np.uint8).view(np.int64))
 
 
-def postings(docs: DataFrame, ident: str, width: int, percent: int, table: np.ndarray) -> DataFrame:
-    """Two kinds of rows from one pass over the texts.
-
-    One row per document with ``key`` (null for an empty set) and ``n``; one row per prefix shingle
-    (``gram`` not null) of each class met in a task, with position, set size and range counts.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-    kind = docs.schema[ident].dataType.simpleString()
-    names = [ident, *POSTING_NAMES]
+def postings(texts: DataFrame, width: int, percent: int, table: np.ndarray) -> DataFrame:
+    """Prefix shingles of every class met in a task, with position, set size and range counts."""
+    sent = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         counts = sent.value
@@ -108,20 +124,15 @@ def postings(docs: DataFrame, ident: str, width: int, percent: int, table: np.nd
         seen: set[bytes] = set()  # copies within a task; the rest of them goes after the shuffle
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                sets = [shingles(t.as_py(), width) for t in part.column(1)]
-                keys = [key_of(g) if len(g) else None for g in sets]
-                no = [pa.nulls(len(sets), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
-                sizes = pa.array([len(g) for g in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), no[0], pa.array(keys, pa.binary()), sizes, *no[1:]], names)
                 cols: list[list] = [[], [], [], [], [], []]
-                for row, grams, key in zip(part.column(0), sets, keys):
-                    if key is None or key in seen or not row.is_valid:
+                for text in batch.column(0).slice(start, 500):
+                    grams = shingles(text.as_py(), width)
+                    n, key = len(grams), key_of(grams)
+                    if not n or key in seen:
                         continue
                     if len(seen) > 100_000:
                         seen.clear()
                     seen.add(key)
-                    n = len(grams)
                     prefix = n - (percent * n + 99) // 100 + 1
                     rare = np.lexsort((grams, counts[(grams & low).astype(np.int64)]))[:prefix]
                     a, b = spread_of(grams)
@@ -132,9 +143,9 @@ def postings(docs: DataFrame, ident: str, width: int, percent: int, table: np.nd
                 if cols[1]:
                     kinds = (np.int64, None, np.int32, np.int32, np.int64, np.int64)
                     made = [pa.array(c, pa.binary()) if t is None else pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, kinds)]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(cols[1]), part.column(0).type), *made], names)
+                    yield pa.RecordBatch.from_arrays(made, POSTING_NAMES)
 
-    return docs.select(ident, "text").mapInArrow(run, f"`{ident}` {kind}, {POSTING}")
+    return texts.mapInArrow(run, POSTING)
 
 
 def may_link(a: dict, i: np.ndarray, b: dict, j: np.ndarray, percent: int) -> np.ndarray:
@@ -162,15 +173,21 @@ def rows_of(batch: pa.RecordBatch) -> dict:
 def pair_batch(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
     swap = left > right
     a, b = np.where(swap, right, left), np.where(swap, left, right)
-    none = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), none], ["a", "b", "large"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def with_nulls(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    have = dict(zip(batch.schema.names, batch.columns))
+    return pa.RecordBatch.from_arrays([have.get(f.name, pa.nulls(batch.num_rows, f.type)) for f in schema], schema=schema)
 
 
 def first_meetings(rows: DataFrame, percent: int, small: int) -> DataFrame:
     """Candidate pairs ``a, b``: all of small groups, ring neighbours of larger ones.
 
-    A row with ``large`` names the shingle of a larger group instead.
+    The rows of larger groups come out as well, with null ``a`` and ``b``.
     """
+    kinds = [("a", pa.binary()), ("b", pa.binary()), *zip(POSTING_NAMES, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+    schema = pa.schema(kinds)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turn = rows.withColumn("_turn", F.xxhash64("key")).repartition(parts, "gram")
     turn = turn.sortWithinPartitions("gram", "_turn", "key").drop("_turn")
@@ -188,7 +205,7 @@ def first_meetings(rows: DataFrame, percent: int, small: int) -> DataFrame:
                 yield pair_batch(r["key"][i], r["key"][i + step])
 
     def run(batches):
-        held, large = None, False  # rows of the last group, which may go on
+        held, large, told = None, False, 0  # rows of the last group, which may go on; those that came out
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -205,23 +222,29 @@ def first_meetings(rows: DataFrame, percent: int, small: int) -> DataFrame:
                 size[r["gram"] == opened] = small + 1
             last = r["gram"] == r["gram"][-1]
             large = bool(size[-1] > small)
-            hot = np.unique(r["gram"][size > small])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.binary()), pa.nulls(len(hot), pa.binary()), pa.array(hot)], ["a", "b", "large"])
+            hot = size > small
+            hot[:told] = False
+            if hot.any():
+                spread = np.ascontiguousarray(r["spread"][hot]).view(np.int64)
+                cols = (r["gram"], r["key"], r["n"], r["at"])
+                rows_out = [pa.array(c[hot], t) for c, (_, t) in zip(cols, kinds[2:])] + [pa.array(spread[:, i].copy()) for i in (0, 1)]
+                yield with_nulls(pa.RecordBatch.from_arrays(rows_out, POSTING_NAMES), schema)
             done = np.ones(len(last), bool) if large else ~last
-            yield from meet({k: v[done] for k, v in r.items()}, size[done])
+            for pairs in meet({k: v[done] for k, v in r.items()}, size[done]):
+                yield with_nulls(pairs, schema)
             tail = np.flatnonzero(last)[-max(RING) :] if large else np.flatnonzero(last)
             held = {k: v[tail] for k, v in r.items()}
+            told = len(tail) if large else 0
         if held is not None and not large:
-            yield from meet(held, np.full(len(held["gram"]), len(held["gram"])))
+            for pairs in meet(held, np.full(len(held["gram"]), len(held["gram"]))):
+                yield with_nulls(pairs, schema)
 
-    return turn.mapInArrow(run, "a binary, b binary, large long").distinct()
+    return turn.mapInArrow(run, "a binary, b binary, " + POSTING)
 
 
-def later_meetings(rows: DataFrame, large: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
-    """Candidate pairs of the groups ``large`` between classes of different components."""
-    # a table of shingles of large groups is sent to all tasks only if it is small
-    few = large.count() <= 500_000
-    hot = rows.join(F.broadcast(large) if few else large, "gram", "left_semi").dropDuplicates(["gram", "key"])
+def later_meetings(hot: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
+    """Candidate pairs in the larger groups, whose rows ``hot`` are, between different components."""
+    hot = hot.dropDuplicates(["gram", "key"])
     named = hot.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     groups = named.groupBy("gram").agg(
         F.count("*").alias("_n"), F.min("label").alias("_a"), F.max("label").alias("_b")
@@ -234,7 +257,7 @@ def later_meetings(rows: DataFrame, large: DataFrame, labels: DataFrame, percent
     met = hot.select(
         *POSTING_NAMES, "label", F.explode(F.sequence("_mine", F.col("_blocks") - 1)).alias("_block"), F.lit(1).alias("_side")
     )
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = held.unionByName(met).repartition(parts, "gram", "_block").sortWithinPartitions("gram", "_block", "_side", "key")
 
     def run(batches):
@@ -266,7 +289,7 @@ def later_meetings(rows: DataFrame, large: DataFrame, labels: DataFrame, percent
                     if ok.any():
                         yield pair_batch(part["key"][one[ok]], mine["key"][other[ok]])
 
-    return both.mapInArrow(run, "a binary, b binary, large long").select("a", "b").distinct()
+    return both.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, leads: DataFrame, ident: str, width: int, percent: int, bits: int = 20) -> DataFrame:
@@ -344,19 +367,16 @@ def link(
     small: int = 32, block: int = 2048,
 ) -> DataFrame:
     """``ident, n_shingles, component_id`` of every row of ``docs`` (columns ``ident, text``)."""
-    texts = docs.where(F.col(ident).isNotNull()).select("text")
-    made = stage(postings(docs, ident, width, percent, count_table(texts, width, bits)), "ngram-postings")
-    rows = made.where(F.col("gram").isNotNull()).select(*POSTING_NAMES)
-    members = made.where(F.col("gram").isNull()).select(ident, F.col("n").cast("long").alias("n_shingles"), "key")
-    members = stage(members, "ngram-classes")
+    made = stage(first_pass(docs, ident, width, bits), "ngram-classes")
+    members = made.where("slice is null").select(ident, "n_shingles", "key")
     able = members.where(F.col("key").isNotNull() & F.col(ident).isNotNull())
     leads = able.groupBy("key").agg(F.min(ident).alias(ident))
+    table = count_table(made.where("slice is not null"), bits)
+    rows = postings(docs.where(F.col(ident).isNotNull()).select("text"), width, percent, table)
     first = stage(first_meetings(rows, percent, small), "ngram-first")
-    large = first.where(F.col("large").isNotNull()).select(F.col("large").alias("gram"))
-    links = verify(first.where(F.col("large").isNull()).select("a", "b"), docs, leads, ident, width, percent)
+    links = verify(first.where("a is not null").select("a", "b").distinct(), docs, leads, ident, width, percent)
     labels = stage(components(links), "ngram-labels")
-    later = stage(later_meetings(rows, large, labels, percent, block), "ngram-later")
-    drop(made)
+    later = stage(later_meetings(first.where("a is null").select(*POSTING_NAMES), labels, percent, block), "ngram-later")
     links = links.union(verify(later, docs, leads, ident, width, percent))
     drop(first, later, labels)
     # an id with several texts is one node

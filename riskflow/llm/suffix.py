@@ -201,7 +201,7 @@ def _sorted_marks(blocks: DataFrame, width: int, lot: int) -> DataFrame:
     return dealt.select("core", "name", "data").mapInArrow(run, "core binary, name binary, offsets array<int>")
 
 
-def marks(rows: DataFrame, width: int, gram: int = 64, step: int = 64, bits: int = 24, lot: int = 1 << 21) -> DataFrame:
+def marks(rows: DataFrame, width: int, gram: int = 64, step: int = 64, bits: int = 24, lot: int = 700_000) -> DataFrame:
     """``row, start, end``: ranges of window starts that occur twice, of ``rows(row, text)``."""
     grams = _anchor_hashes(rows, width, gram).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     low = grams.select(F.col("anchor").bitwiseAND((1 << bits) - 1).alias("low"))
