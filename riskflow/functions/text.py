@@ -30,8 +30,8 @@ def nfkc(text: Column) -> Column:
     return F.when(plain, text).otherwise(_nfkc_series(F.when(~plain, text)))
 
 
-def normalize_text(text: Column, max_chars: int | None = 50_000) -> Column:
-    """struct<text, warnings>. ``max_chars=None`` keeps texts of any length."""
+def normalize_text(text: Column, max_chars: int | None = None) -> Column:
+    """struct<text, warnings>. Texts of any length stay whole unless ``max_chars`` is given."""
     too_long = F.length(text) > max_chars if max_chars else F.lit(False)
     bounded = F.substring(text, 1, max_chars) if max_chars else text
     controls = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
@@ -57,7 +57,7 @@ def normalize_text(text: Column, max_chars: int | None = 50_000) -> Column:
 _SECRET_MARKS = ["passw", "passc", "otp", "code", "pin", "cvv", "cvc", "token", "api key"]
 
 
-def redact(text: Column, max_chars: int | None = 320) -> Column:
+def redact(text: Column, max_chars: int | None = None) -> Column:
     """Mask secrets, links, addresses, phone numbers, tokens and short codes.
 
     The order of the replacements is part of the result. ``max_chars`` bounds the
@@ -97,16 +97,23 @@ def safe_key(value: Column) -> Column:
     return F.substring(F.regexp_replace(value, r"[^A-Za-z0-9_.()\-]", "_"), 1, 72)
 
 
-def suspicious_snippet(text: Column) -> Column:
-    """Trimmed on-screen text of 1 to 600 characters holding a watched phrase, else null."""
+def suspicious_snippet(
+    text: Column, longest: int | None = None, shown: int | None = None
+) -> Column:
+    """Trimmed on-screen text holding a watched phrase, else null.
+
+    ``longest`` leaves out longer texts and ``shown`` cuts the result; both are off by default.
+    """
     trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     hit = (
         (F.length(trimmed) > 0)
-        & (F.length(text) <= 600)
+        & (F.length(text) <= longest if longest else F.lit(True))
         & contains_any(F.lower(text), dims.SCREEN_PHRASES)
     )
+    if not shown:
+        return F.when(hit, trimmed)
     short = F.when(
-        F.length(trimmed) > 300, F.concat(F.substring(trimmed, 1, 300), F.lit("..."))
+        F.length(trimmed) > shown, F.concat(F.substring(trimmed, 1, shown), F.lit("..."))
     ).otherwise(trimmed)
     return F.when(hit, short)
 

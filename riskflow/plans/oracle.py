@@ -187,8 +187,8 @@ _R = [
 ]
 SQL["screen_text"] = f"""WITH s AS ({v.view_sql(v.SCREEN)}), t AS (SELECT *,
   regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS tr FROM s)
-SELECT conv_id, turn, CASE WHEN length(tr) > 0 AND length(text) <= 600 AND {_ANY('lower(text)', dims.SCREEN_PHRASES)}
-  THEN CASE WHEN length(tr) > 300 THEN concat(substr(tr, 1, 300), '...') ELSE tr END END AS snippet FROM t"""
+SELECT conv_id, turn, CASE WHEN length(tr) > 0 AND {_ANY('lower(text)', dims.SCREEN_PHRASES)}
+  THEN tr END AS snippet FROM t"""
 
 # ------------------------------------------------------------------ headers
 _E = lambda c: f"lower(trim(CASE WHEN regexp_matches({c}, '<[^>]+>') THEN regexp_extract({c}, '<([^>]+)>', 1) ELSE {c} END))"

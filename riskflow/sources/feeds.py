@@ -11,9 +11,6 @@ from riskflow import dims
 from riskflow.functions.urls import url_host
 from riskflow.schemas import ALLOW_DOMAINS, FEED_META, FEED_URLS, HASHES
 
-MAX_FEED_URLS = 2500
-MAX_FEED_HASHES = 1500
-
 
 @dataclass(frozen=True)
 class Indicators:
@@ -75,7 +72,7 @@ def _csv_fields(lines: DataFrame, width: int) -> DataFrame:
 
 
 def read_urlhaus(
-    spark: SparkSession, path: str, as_of: str, max_rows: int | None = MAX_FEED_URLS
+    spark: SparkSession, path: str, as_of: str, max_rows: int | None = None
 ) -> DataFrame:
     """Comma-separated link feed; the cap counts lines before rows are checked."""
     lines = _first_lines(
@@ -96,7 +93,7 @@ def read_urlhaus(
 
 
 def read_malwarebazaar(
-    spark: SparkSession, path: str, max_rows: int | None = MAX_FEED_HASHES
+    spark: SparkSession, path: str, max_rows: int | None = None
 ) -> DataFrame:
     lines = _first_lines(
         _numbered_lines(spark, path), ~F.col("value").rlike("^(?:#|$)"), max_rows
@@ -116,7 +113,7 @@ def read_malwarebazaar(
 
 
 def read_openphish(
-    spark: SparkSession, path: str, as_of: str, max_rows: int | None = MAX_FEED_URLS
+    spark: SparkSession, path: str, as_of: str, max_rows: int | None = None
 ) -> DataFrame:
     url = F.trim("value")
     lines = _first_lines(_numbered_lines(spark, path), url.startswith("http"), max_rows)

@@ -112,7 +112,7 @@ def clean_sender(sender: Column) -> Column:
     )
 
 
-def preprocess(df: DataFrame, max_chars: int | None = 50_000) -> DataFrame:
+def preprocess(df: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Normalize scan rows and add ``prep_status``, ``prep_error`` and ``prep_warnings``.
 
     Rejected rows keep their values; callers route them aside instead of scoring.

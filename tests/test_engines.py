@@ -30,7 +30,7 @@ def test_text_normalization(spark):
     got = one_column(spark, [
         "  Line   one with   spaces.  \t\n\n\n\n\nLine   two.\r\nLine   three.  ",
         "Ｐａｓｓｗｏｒｄ ﬁne", "a\x00b\x7fc", "", " \n ", "x" * 50_500,
-    ], tx.normalize_text)
+    ], lambda c: tx.normalize_text(c, max_chars=50_000))
     assert got[0]["text"] == "Line one with spaces.\n\nLine two.\nLine three."
     assert got[1]["text"] == "Password fine"
     assert (got[2]["text"], got[2]["warnings"]) == ("abc", ["control_characters_stripped"])

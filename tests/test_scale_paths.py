@@ -87,3 +87,20 @@ def test_admission_limit(spark):
     df = spark.createDataFrame(events, "key string, seq long, t long")
     got = {r.seq: (r.allowed, r.retry_after) for r in admit(df, ["key"], "t", "seq").collect()}
     assert got[29] == (True, 0) and got[30] == (False, 30) and got[31] == (True, 0) and got[32] == (False, 1)
+
+
+def test_no_default_bound_drops_text_or_feed_lines(spark, tmp_path):
+    from riskflow.functions.text import normalize_text, suspicious_snippet
+    from riskflow.sources.feeds import read_openphish
+
+    end = "verify your account password"
+    long = spark.createDataFrame([("a " * 30_000 + end,)], "text string")
+    row = long.select(
+        normalize_text(F.col("text")).alias("n"), suspicious_snippet(F.col("text")).alias("s")
+    ).first()
+    assert row.n.text.endswith(end) and row.n.warnings == []
+    assert row.s is None or row.s.endswith(end)
+    for day in ("a", "b"):
+        lines = "\n".join(f"http://{day}{i}.example.net/x" for i in range(3000))
+        (tmp_path / f"{day}.txt").write_text(lines)
+    assert read_openphish(spark, str(tmp_path), "2024-01-01").count() == 6000
