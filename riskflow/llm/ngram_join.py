@@ -9,7 +9,8 @@ positional filter and a suffix filter (counts of shingles per hash range bound t
 and every surviving pair is verified once on the whole sets.
 
 Only components are wanted, so no group emits all its pairs. Groups of up to ``small`` rows
-do; in a larger one each row first meets a few others in a fixed order. After these
+do; in a larger one each row first meets a few others in a fixed order. One pair per class is
+verified first, then those of the others that still lie between components. After these
 links are joined, larger groups are met in full between rows of *different*
 components only, in blocks of bounded size. No link between components is lost.
 
@@ -334,6 +335,13 @@ def verify(pairs: DataFrame, docs: DataFrame, leads: DataFrame, ident: str, widt
     return links
 
 
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose ends lie in different components."""
+    own = [labels.select(F.col("key").alias(s), F.col("label").alias(f"l{s}")) for s in "ab"]
+    met = pairs.join(own[0], "a", "left").join(own[1], "b", "left")
+    return met.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``key, label``: the smallest key of each linked class's component.
 
@@ -374,7 +382,14 @@ def link(
     table = count_table(made.where("slice is not null"), bits)
     rows = postings(docs.where(F.col(ident).isNotNull()).select("text"), width, percent, table)
     first = stage(first_meetings(rows, percent, small), "ngram-first")
-    links = verify(first.where("a is not null").select("a", "b").distinct(), docs, leads, ident, width, percent)
+    pairs = stage(first.where("a is not null").select("a", "b").distinct(), "ngram-pairs")
+    # one pair per class first: most others lie inside the components these links make
+    tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = verify(tried, docs, leads, ident, width, percent)
+    labels = stage(components(links), "ngram-labels")
+    open_pairs = stage(between(pairs, labels).join(tried, ["a", "b"], "left_anti"), "ngram-open")
+    links = links.union(verify(open_pairs, docs, leads, ident, width, percent))
+    drop(pairs, open_pairs, labels)
     labels = stage(components(links), "ngram-labels")
     later = stage(later_meetings(first.where("a is null").select(*POSTING_NAMES), labels, percent, block), "ngram-later")
     links = links.union(verify(later, docs, leads, ident, width, percent))
