@@ -21,11 +21,17 @@ def _resolved(base: str, location: Column) -> Column:
     )
     query = F.when(location.startswith("?"), F.concat(root, c("path"), location))
     relative = F.concat(folder, location)
-    # drop "." and resolve "x/.." steps; chains are short, four levels are folded
-    tidy = F.regexp_replace(relative, r"/(?:\./)+", "/")
-    for _ in range(4):
-        tidy = F.regexp_replace(tidy, r"/(?!\.\./)[^/]+/\.\./", "/")
-    tidy = F.regexp_replace(tidy, r"^/(?:\.\./)+", "/")
+    # drop "." and resolve "x/.." steps of all folders; the last step is not a folder
+    steps = F.split(relative, "/")
+    kept = F.aggregate(
+        F.slice(steps, 2, F.greatest(F.size(steps) - 2, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s == ".", done)
+        .when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.array_append(done, s)),
+    )
+    last = F.element_at(steps, -1)
+    tidy = F.concat(F.lit("/"), F.array_join(F.array_append(kept, last), "/"))
     return (
         F.when(location.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:"), location)
         .when(location.startswith("//"), F.concat(c("scheme"), F.lit(":"), location))

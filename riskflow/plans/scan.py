@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow import dims
-from riskflow.functions.columns import engine_result, error_result, filled
+from riskflow.functions.columns import engine_result, error_result, filled, skipped_result
 from riskflow.functions.urls import normalize_url
 from riskflow.functions.text import normalize_text
 from riskflow.operators.attachment_rules import (
@@ -26,7 +26,6 @@ from riskflow.operators.file_signals import (
 from riskflow.operators.fusion import default_profiles, fuse, with_class
 from riskflow.operators.header_signals import header_result, with_header_signals, with_headers
 from riskflow.operators.indicators import with_allow_list, with_feed_hit, with_hash_hit
-from riskflow.operators.joins import keep_rows
 from riskflow.operators.redirects import resolve_redirects
 from riskflow.operators.sender_rules import (
     sender_result,
@@ -43,7 +42,7 @@ from riskflow.operators.url_signals import (
 from riskflow.operators.visual_rules import visual_backfill, with_visual_signals
 from riskflow.session import cut
 from riskflow.sources.feeds import Indicators
-from riskflow.sources.scans import preprocess, profile_name
+from riskflow.sources.scans import complete_scans, preprocess, profile_name
 
 Engine = Callable[[DataFrame], tuple[DataFrame, Column]]
 
@@ -84,33 +83,43 @@ def _malware_engine(tables: Indicators, reports=None):
 
 def _sender_engine(compat: bool):
     def run(df: DataFrame):
-        # narrow copy of the rows that have a sender; only features come back
-        has = filled(F.col("sender_id"))
+        # narrow copy of the rows that have a sender and a time; only features come back
         raw = F.col("sender_id") if compat else F.col("sender_raw")
-        messages = keep_rows(df, has).select(
-            "scan_id",
+        time = F.coalesce((F.col("meta_ts") * 1_000_000).cast("bigint"), F.unix_micros("ts"))
+        messages = df.where(filled(F.col("sender_id")) & time.isNotNull()).select(
+            "_row",
             "arrival_seq",
             "client_id",
             raw.alias("sender_raw"),
             "sender_domain",
-            F.coalesce(
-                (F.col("meta_ts") * 1_000_000).cast("bigint"), F.unix_micros("ts")
-            ).alias("t_us"),
+            time.alias("t_us"),
             filled(F.col("url")).alias("has_link"),
             (
                 filled(F.col("file_name"))
                 | F.coalesce(F.octet_length("file_bytes") > 0, F.lit(False))
             ).alias("has_file"),
         )
-        scored = with_sender_signals(with_sender_history(cut(messages))).select(
-            "scan_id", "sender_flags", "sender_score", "sender_confidence", "sender_evidence",
+        scored = with_sender_signals(with_sender_history(_in_order(messages))).select(
+            "_row", "sender_flags", "sender_score", "sender_confidence", "sender_evidence",
             "prior_count",
         )
-        return df.join(cut(scored), "scan_id", "left"), sender_result()
+        untimed = skipped_result(dims.SENDER_ENGINE, "No message time provided")
+        result = F.when(filled(F.col("sender_id")) & time.isNull(), untimed).otherwise(sender_result())
+        return df.join(cut(scored), "_row", "left"), result
 
     return run
 
 
+def _in_order(messages: DataFrame) -> DataFrame:
+    """Messages in order of arrival, renumbered: no number is missing, repeated or far from the next.
+
+    Rows without ``arrival_seq`` come last, by time.
+    """
+    order = [F.col("arrival_seq").asc_nulls_last(), F.col("t_us"), F.col("_row")]
+    placed = cut(messages.repartitionByRange(*order).sortWithinPartitions(*order))
+    return placed.withColumn("arrival_seq", F.monotonically_increasing_id())
+
+
 def python_engine(name: str, score: Callable[[dict], dict], columns: list[str]) -> Engine:
     """Engine from a Python function of one row.
 
@@ -208,16 +217,24 @@ def scan(
     images: DataFrame | None = None,
     redirects: DataFrame | None = None,
     exclude: Iterable[str] = (),
+    as_of: str | None = None,
+    **bounds: int,
 ) -> tuple[DataFrame, DataFrame]:
     """(verdicts, rejected rows).
 
     A verdict row carries ``results`` and the assessment columns of its scan. The
     sender engine is the only part that shuffles scan rows; everything else is one
-    projection around look-up joins.
+    projection around look-up joins. ``as_of`` is the time of requests that carry none;
+    without it their sender rules are skipped. Every row that is not rejected gets one
+    verdict, also where ids repeat. ``bounds`` are those of :func:`preprocess`.
     """
-    prepared = preprocess(scans)
-    rejected = keep_rows(prepared, F.col("prep_status") == "rejected")
-    df = keep_rows(prepared, F.col("prep_status") != "rejected")
+    rows = complete_scans(scans)
+    if as_of is not None:
+        rows = rows.withColumn("ts", F.coalesce("ts", F.lit(as_of).cast("timestamp")))
+    # written once: verdicts, rejected rows and sender features read the same prepared rows
+    prepared = cut(preprocess(rows, **bounds).withColumn("_row", F.monotonically_increasing_id()))
+    rejected = prepared.where("prep_status = 'rejected'").drop("_row")
+    df = prepared.where("prep_status != 'rejected'")
 
     with_images = dims.VISUAL_ENGINE not in set(exclude)
     if with_images:

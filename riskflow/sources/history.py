@@ -9,12 +9,18 @@ from riskflow import dims
 from riskflow.functions.text import redact, safe_key
 from riskflow.operators.joins import dim_join, keep_rows
 
-MAX_REASONS = 12
-MAX_KEYS = 40
 
+def history_records(
+    verdicts: DataFrame,
+    source_type: Column,
+    timestamp_millis: Column,
+    max_reasons: int | None = None,
+    max_keys: int | None = None,
+) -> DataFrame:
+    """Sanitized history rows of verdicts; rows that break a rule are left out.
 
-def history_records(verdicts: DataFrame, source_type: Column, timestamp_millis: Column) -> DataFrame:
-    """Sanitized history rows of verdicts; rows that break a rule are left out."""
+    All reasons, flags and evidence keys are kept unless a bound is given.
+    """
     core = F.regexp_replace("scan_id", "^(?:local-)?(?:demo-)?", "")
     valid = (
         core.rlike(dims.UUID_PATTERN)
@@ -24,9 +30,11 @@ def history_records(verdicts: DataFrame, source_type: Column, timestamp_millis:
         & F.col("confidence").between(0.0, 1.0)
         & ~F.isnan("confidence")
     )
-    tidy = lambda items, n: F.slice(
-        F.array_distinct(F.filter(items, lambda x: F.trim(x) != "")), 1, n
-    )
+
+    def tidy(items: Column, most: int | None) -> Column:
+        own = F.array_distinct(F.filter(items, lambda x: F.trim(x) != ""))
+        return F.slice(own, 1, most) if most else own
+
     source = F.lower(source_type)
     return keep_rows(verdicts, valid).select(
         "scan_id",
@@ -36,9 +44,9 @@ def history_records(verdicts: DataFrame, source_type: Column, timestamp_millis:
         "risk_score",
         "confidence",
         redact(F.col("recommended_action")).alias("recommended_action"),
-        tidy(F.transform("reasons", lambda r: redact(r)), MAX_REASONS).alias("reasons"),
-        tidy(F.transform("flags", lambda f: safe_key(f)), MAX_KEYS).alias("flags"),
-        tidy(F.transform("evidence", lambda e: safe_key(e["key"])), MAX_KEYS).alias(
+        tidy(F.transform("reasons", lambda r: redact(r)), max_reasons).alias("reasons"),
+        tidy(F.transform("flags", lambda f: safe_key(f)), max_keys).alias("flags"),
+        tidy(F.transform("evidence", lambda e: safe_key(e["key"])), max_keys).alias(
             "evidence_keys"
         ),
         F.lit(None).cast("string").alias("feedback_state"),
@@ -64,16 +72,15 @@ def history_page(
     classification: str | None = None,
     source_type: str | None = None,
 ) -> DataFrame:
-    """One page, newest first; unknown filter values are ignored."""
+    """One page of ``limit`` rows, newest first; unknown filter values are ignored."""
     if classification in dims.CLASSES:
         history = history.where(F.col("classification") == classification)
     if source_type and source_type.lower() in dims.HISTORY_SOURCES:
         history = history.where(F.col("source_type") == source_type.lower())
-    size = min(max(limit, 1), 100)
     return (
         history.orderBy(F.desc("timestamp_millis"), F.desc("scan_id"))
         .offset(max(offset, 0))
-        .limit(size)
+        .limit(max(limit, 1))
     )
 
 

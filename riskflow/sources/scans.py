@@ -73,21 +73,34 @@ def decode_scans(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def complete_scans(df: DataFrame) -> DataFrame:
-    """All scan columns, absent ones as null."""
+    """All scan columns, absent ones as null; missing values are taken from ``metadata``.
+
+    A request without ``scan_id`` gets the hash of its content, so equal requests share it.
+    """
     from pyspark.sql.types import StructType
 
     wanted = StructType.fromDDL(SCANS)
-    return df.select(
+    df = df.select(
         *[
             F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
             for f in wanted
         ],
         *[c for c in df.columns if c not in wanted.fieldNames()],
     )
+    meta = lambda k: F.nullif(F.trim(F.try_element_at("metadata", F.lit(k))), F.lit(""))
+    content = F.to_json(F.struct(*[n for n in wanted.fieldNames() if n != "scan_id"]))
+    return df.withColumns(
+        {
+            "scan_id": F.coalesce("scan_id", F.sha2(content, 256)),
+            "meta_ts": F.coalesce("meta_ts", meta("timestamp").try_cast("double")),
+            "sender_domain": F.coalesce("sender_domain", meta("sender_domain")),
+            "client_id": F.coalesce("client_id", meta("client_id")),
+        }
+    )
 
 
-def normalize_file_name(name: Column) -> tuple[Column, Column]:
-    """(clean base name or null, warnings)."""
+def normalize_file_name(name: Column, max_chars: int | None = None) -> tuple[Column, Column]:
+    """(clean base name or null, warnings); ``max_chars`` cuts longer names."""
     base = F.regexp_extract(F.replace(name, F.lit("\\"), F.lit("/")), r"(?s)([^/]*)$", 1)
     base = F.regexp_replace(base, r"(?U)^\s+|\s+$", "")
     plain = F.regexp_replace(base, r"[\x00-\x1f\x7f]", "")
@@ -97,9 +110,12 @@ def normalize_file_name(name: Column) -> tuple[Column, Column]:
             base.rlike(r"[\x00-\x08\x0a-\x1f\x7f]"),
             F.lit("filename_control_characters_stripped"),
         ),
-        F.when(F.length(plain) > 255, F.lit("filename_truncated_to_max_length")),
+        F.when(
+            F.length(plain) > (max_chars or 2**31 - 1), F.lit("filename_truncated_to_max_length")
+        ),
     )
-    return F.nullif(F.substring(plain, 1, 255), F.lit("")), F.coalesce(warnings, no_flags())
+    plain = F.substring(plain, 1, max_chars) if max_chars else plain
+    return F.nullif(plain, F.lit("")), F.coalesce(warnings, no_flags())
 
 
 def clean_sender(sender: Column) -> Column:
@@ -112,21 +128,29 @@ def clean_sender(sender: Column) -> Column:
     )
 
 
-def preprocess(df: DataFrame, max_chars: int | None = None) -> DataFrame:
+def preprocess(
+    df: DataFrame,
+    max_chars: int | None = None,
+    max_name: int | None = None,
+    max_headers: int | None = None,
+    max_hops: int | None = None,
+) -> DataFrame:
     """Normalize scan rows and add ``prep_status``, ``prep_error`` and ``prep_warnings``.
 
     Rejected rows keep their values; callers route them aside instead of scoring.
-    ``sender_raw`` keeps the sender with its display name.
+    ``sender_raw`` keeps the sender with its display name. The bounds on text, file name,
+    headers and received hops are off unless given.
     """
+    first = lambda items, n: F.slice(items, 1, n) if n else items
     df = complete_scans(df)
     raw_any = _scannable(df)
     df = df.withColumns({"_pp_any": raw_any, "_pp_text": normalize_text(F.col("text"), max_chars)})
     df = normalize_url(df, "url", "_pp_url")
-    name, name_warnings = normalize_file_name(F.col("file_name"))
+    name, name_warnings = normalize_file_name(F.col("file_name"), max_name)
     df = df.withColumns({"_pp_name": name, "_pp_name_w": name_warnings})
     headers = F.map_from_entries(
         F.transform(
-            F.slice(F.map_entries("headers"), 1, 100),
+            first(F.map_entries("headers"), max_headers),
             lambda e: F.struct(
                 F.trim(e["key"]).alias("key"),
                 F.regexp_replace(
@@ -144,7 +168,9 @@ def preprocess(df: DataFrame, max_chars: int | None = None) -> DataFrame:
         F.when(too_big, F.array(F.lit("file_exceeds_10mb_limit"))).otherwise(F.col("_pp_name_w")),
         keep(
             F.when(F.size("metadata") > 100, F.lit("metadata_items_limit_exceeded")),
-            F.when(F.size("received") > 30, F.lit("received_chain_hops_truncated")),
+            F.when(
+                F.size("received") > (max_hops or 2**31 - 1), F.lit("received_chain_hops_truncated")
+            ),
         ),
     )
     df = df.withColumns(
@@ -191,7 +217,7 @@ def preprocess(df: DataFrame, max_chars: int | None = None) -> DataFrame:
             "file_name": pick(F.col("_pp_name"), "file_name"),
             "sender_id": pick(F.col("_pp_sender"), "sender_id"),
             "headers": pick(headers, "headers"),
-            "received": pick(F.transform(F.slice("received", 1, 30), F.trim), "received"),
+            "received": pick(F.transform(first(F.col("received"), max_hops), lambda h: F.trim(h)), "received"),
             "client_id": pick(F.trim("client_id"), "client_id"),
         }
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.functions.columns import no_flags
@@ -103,21 +103,31 @@ def read_other_batches(spark: SparkSession, path: str, ddl: str, batch_id: int)
     return found.where(F.col("batch") != batch_id).drop("batch")
 
 
+def scan_uuid(message_id: str) -> Column:
+    """Scan id of a mail in the form of a UUID, made from the hash of its id."""
+    h = F.sha2(F.col(message_id), 256)
+    part = lambda at, n: F.substring(h, at, n)
+    return F.concat(
+        part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(14, 3), F.lit("-a"), part(18, 3),
+        F.lit("-"), part(21, 12),
+    )
+
+
 def inbox_batch(tables: feeds.Indicators, root: str, as_scan_id=None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body of the inbox check.
 
     Pending mails are scanned; history and alerts are written; only mails that got a
-    verdict are marked as processed, so a failed one is taken up again.
+    verdict are marked as processed, so a failed or rejected one is taken up again.
+    ``as_scan_id``: scan id as a Column over the mail rows; a UUID of the mail id by default.
     """
 
     def run(mails: DataFrame, batch_id: int) -> None:
         spark = mails.sparkSession
         done = read_other_batches(spark, f"{root}/processed", "message_id string", batch_id)
         fresh = pending(mails.dropDuplicates(["message_id"]), done)
-        rows = mail_to_scans(fresh)
-        if as_scan_id is not None:
-            rows = rows.withColumn("scan_id", as_scan_id)
-        verdicts, _ = scan(rows, tables)
+        rows = mail_to_scans(fresh).withColumn("_mail", F.col("scan_id"))
+        rows = rows.withColumn("scan_id", scan_uuid("_mail") if as_scan_id is None else as_scan_id)
+        verdicts, _ = scan(rows.drop("_mail"), tables)
         verdicts = verdicts.persist()
         try:
             stored = read_other_batches(spark, f"{root}/history", HISTORY, batch_id)
@@ -130,8 +140,8 @@ def inbox_batch(tables: feeds.Indicators, root: str, as_scan_id=None) -> Callabl
                 ),
                 "alerts",
             )
-            marks = fresh.where("status = 'extracted'").select("message_id")
-            put(marks, "processed")
+            scored = rows.join(verdicts.select("scan_id"), "scan_id", "left_semi")
+            put(scored.select(F.col("_mail").alias("message_id")).distinct(), "processed")
         finally:
             verdicts.unpersist()
 

@@ -104,3 +104,39 @@ def test_no_default_bound_drops_text_or_feed_lines(spark, tmp_path):
         lines = "\n".join(f"http://{day}{i}.example.net/x" for i in range(3000))
         (tmp_path / f"{day}.txt").write_text(lines)
     assert read_openphish(spark, str(tmp_path), "2024-01-01").count() == 6000
+
+
+def test_scan_of_bare_requests_and_repeated_ids(spark, tmp_path):
+    from riskflow.plans.scan import scan
+    from riskflow.sources import feeds, scans
+
+    lines = [
+        '{"text": "hello", "sender_id": "a@x.org"}',
+        '{"text": "hello again", "sender_id": "a@x.org", "metadata": {"timestamp": "1700000000"}}',
+    ]
+    lines += ['{"scan_id": "x", "text": "same", "sender_id": "b@y.org", "arrival_seq": 7}'] * 2
+    (tmp_path / "in.json").write_text("\n".join(lines))
+    good, bad = scans.decode_scans(scans.read_scan_requests(spark, str(tmp_path / "in.json")))
+    tables = feeds.seed_indicators(spark, "2024-01-01")
+    cols = ["scan_id", "text", "results", "flags"]
+    timed = scan(good, tables, as_of="2024-01-01 00:00:00")[0].select(*cols).collect()
+    assert bad.count() == 0 and len(timed) == 4 and all(r.scan_id for r in timed)
+    assert sum("new_sender" in r.flags for r in timed if r.scan_id == "x") == 1
+
+
+def test_headers_and_hops_beyond_old_bounds_stay(spark):
+    from riskflow.sources import scans
+
+    df = spark.createDataFrame([("t", [f" h{i} " for i in range(40)])], "text string, received array<string>")
+    row = scans.preprocess(df).select("received", "prep_warnings").first()
+    assert row.received[39] == "h39" and row.prep_warnings == []
+    cut = scans.preprocess(df, max_hops=30).select("received", "prep_warnings").first()
+    assert len(cut.received) == 30 and "received_chain_hops_truncated" in cut.prep_warnings
+
+
+def test_deep_parent_steps_are_folded(spark):
+    from riskflow.operators.redirects import hop_table
+
+    hops = [("http://a.x/1/2/3/4/5/6/p", 302, "../../../../../x"), ("http://a.x/1/p", 302, "../../.././y/z?q")]
+    got = {r.url: r.next_url for r in hop_table(spark.createDataFrame(hops, "url string, status int, location string")).collect()}
+    assert list(got.values()) and set(got.values()) == {"http://a.x/1/x", "http://a.x/y/z?q"}
