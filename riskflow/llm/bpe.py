@@ -15,9 +15,11 @@ other columns are kept as they are; null ids decode to an empty text.
 from __future__ import annotations
 
 import base64
+import gc
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -279,14 +281,27 @@ class Utf8Machine:
         return held.decode("utf-8", "replace")
 
 
-def decode_stream(ids: Iterable[np.ndarray], table: list[bytes]) -> Iterator[str]:
+def decode_stream(ids: Iterable[np.ndarray], table: pa.BinaryArray) -> Iterator[str]:
     """Text of a stream of id blocks; a character split over blocks comes out whole."""
     machine = Utf8Machine()
     for block in ids:
-        yield machine.feed(b"".join(map(table.__getitem__, block.tolist())))
+        data = table.take(pa.array(block)).buffers()[2]  # the taken values, end to end
+        yield machine.feed(data.to_pybytes() if data else b"")
     yield machine.finish()
 
 
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Without the cycle collector, which would walk all states again and again; none lies on a cycle."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 _MODELS: dict[tuple, object] = {}
 
 
@@ -297,14 +312,14 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return _MODELS[key]
 
 
-def _table(path: str) -> list[bytes]:
+def _table(path: str) -> pa.BinaryArray:
     key = ("table", path)
     if key not in _MODELS:
         ranks = load_ranks(path)
         table = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             table[i] = b
-        _MODELS[key] = table
+        _MODELS[key] = pa.array(table, pa.binary())
     return _MODELS[key]
 
 
@@ -338,7 +353,8 @@ def encode(
 
     def ids_of(texts: pa.Array) -> list[pa.Array]:
         encoder = _encoder(path, pattern)
-        ids = [encoder.encode(t.as_py() or "") for t in texts]
+        with _no_cycles():
+            ids = [encoder.encode(t.as_py() or "") for t in texts]
         ends = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
         return [lists] + ([_decoded(lists, path)] if decoded else [])
