@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from riskflow.llm.common import encoded, flags, mix, stage
 from riskflow.llm.induced import in_folder
+from riskflow.llm.passages import shared
 
 SEGMENT = 1 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -230,14 +231,18 @@ def marks(rows: DataFrame, width: int, gram: int = 64, step: int = 64, bits: int
     return whole.union(single)
 
 
-def cut(docs: DataFrame, width: int = 400, **options) -> DataFrame:
+def cut(docs: DataFrame, width: int = 400, words: int | None = None, **options) -> DataFrame:
     """``docs`` with ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
-    Columns of these names in ``docs`` are replaced.
+    With ``words`` the runs of so many words that another row also has go too, however few bytes
+    they take. Columns of these names in ``docs`` are replaced.
     """
     new = ["kept", "n_bytes", "n_removed", "n_spans"]
     base = docs.select([c for c in docs.columns if c not in new]).withColumn("_row", F.monotonically_increasing_id())
-    found = marks(base.select(F.col("_row").alias("row"), "text"), width, **options)
+    rows = base.select(F.col("_row").alias("row"), "text")
+    found = marks(rows, width, **options).select("row", F.col("start").cast("long"), (F.col("end") + width - 1).cast("long").alias("end"))
+    if words is not None:
+        found = found.union(shared(rows, words))
     per_row = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_marks"))
     joined = base.join(per_row, base["_row"] == per_row["row"], "left").drop("row", "_row")
     names = joined.columns[:-1]
@@ -254,7 +259,7 @@ def cut(docs: DataFrame, width: int = 400, **options) -> DataFrame:
                     edge = np.zeros(len(raw) + 1, np.int64)
                     for r in ranges or ():
                         edge[r["start"]] += 1
-                        edge[r["end"] + width - 1] -= 1
+                        edge[r["end"]] -= 1
                     gone = np.cumsum(edge)[:-1] > 0
                     data = np.frombuffer(raw, np.uint8)
                     out[0].append(data[~gone].tobytes() if ranges else raw)
