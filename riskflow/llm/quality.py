@@ -4,7 +4,12 @@ Every text is measured once. Quantile sketches (KLL) of the measures are built p
 and source, map-side first, and merged upwards: a group with fewer than ``least`` texts uses
 the sketch of its language, a small language that of all texts. A text fails a rule if its
 measure lies beyond the fence ``q75 + reach * (q75 - q25) + slack`` (or below the mirrored
-fence) of its group. Thresholds come back to the rows by a join on (language, source).
+fence) of its group. No group excuses itself: its fence is at most that of its language, and that
+one at most that of all texts, moved up by as much as the lower quartile of the group lies above
+the parent's (mirrored for the lower fence). A source whose texts all differ from the others keeps
+limits of its own; one that holds a share of junk has the quartile of its good texts and so the
+limits of its parents. Where over a quarter of all texts is junk, no parent is left to tell.
+Thresholds come back to the rows by a join on (language, source).
 
 Defined results: a null text has no words; null language or source is a group of its own;
 a text without words fails the base rule; repeated rows are measured one by one; all columns
@@ -17,7 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.llm.common import encoded, stage
@@ -102,16 +107,34 @@ def thresholds(rows: DataFrame, least: int = 100, reach: float = 3.0, k: int = 4
     out = fine.join(
         by_lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang"))
     ).join(F.broadcast(over_all), F.lit(True))  # one row
-    columns = []
+    # rule by rule, from the corpus down: the quartiles in use and the fences
     for rule, (_, side, slack) in RULES.items():
-        used = F.when(F.col("n") >= least, F.col(rule)).when(
-            F.col("n_lang") >= least, F.col(f"{rule}_lang")
-        ).otherwise(F.col(f"{rule}_all"))
-        q = lambda p, used=used: F.kll_sketch_get_quantile_double(used, F.lit(p))
-        spread = (q(0.75) - q(0.25)) * reach + slack
-        columns.append((q(0.75) + spread).alias(f"{rule}_high"))
-        columns.append((q(0.25) - spread if side == "both" else F.lit(None).cast("double")).alias(f"{rule}_low"))
-    return out.select("lang", "source", *columns)
+        for tag in ("_all", "_lang", ""):
+            out = out.withColumns({
+                f"_{p}{tag}": F.kll_sketch_get_quantile_double(F.col(f"{rule}{tag}"), F.lit(p / 100)) for p in (25, 75)
+            })
+        low25, high75, high, low = F.col("_25_all"), F.col("_75_all"), *_fence("_all", reach, slack)
+        for tag in ("_lang", ""):
+            large = F.col(f"n{tag}") >= least
+            own25, own75 = F.col(f"_25{tag}"), F.col(f"_75{tag}")
+            own_high, own_low = _fence(tag, reach, slack)
+            # a parent's fence moves with the quartile that lies away from what it guards against
+            own_high = F.least(own_high, high + F.greatest(own25 - low25, F.lit(0.0)))
+            own_low = F.greatest(own_low, low + F.least(own75 - high75, F.lit(0.0)))
+            out = out.withColumns({
+                f"_high{tag}": F.when(large, own_high).otherwise(high), f"_low{tag}": F.when(large, own_low).otherwise(low),
+                f"_25u{tag}": F.when(large, own25).otherwise(low25), f"_75u{tag}": F.when(large, own75).otherwise(high75),
+            })
+            low25, high75, high, low = (F.col(f"{c}{tag}") for c in ("_25u", "_75u", "_high", "_low"))
+        out = out.withColumns({f"{rule}_high": high, f"{rule}_low": low if side == "both" else F.lit(None).cast("double")})
+    return out.select("lang", "source", *[f"{r}_{end}" for r in RULES for end in ("high", "low")])
+
+
+def _fence(tag: str, reach: float, slack: float) -> tuple[Column, Column]:
+    """Upper and lower fence from the quartiles of one level."""
+    q25, q75 = F.col(f"_25{tag}"), F.col(f"_75{tag}")
+    spread = (q75 - q25) * reach + slack
+    return q75 + spread, q25 - spread
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:

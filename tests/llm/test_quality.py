@@ -58,3 +58,18 @@ def test_thresholds_follow_the_group(spark):
     kept = quality.accept(df.withColumn("n_words", df.doc_id))
     assert kept.columns == [*df.columns, "n_words"] and kept.where("n_words = 5000").count() == 0
     assert quality.rate(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [60, 99, 100, 400])
+@pytest.mark.parametrize("share", [30, 40, 50])
+def test_a_dirty_source_cannot_excuse_its_junk(spark, n, share):
+    text = lambda i: f"plain text number {i} with some more words in every single line"
+    symbols = lambda i: " ".join(f"w{i}{j}$$" for j in range(15))
+    long = lambda i: " ".join(f"{'abcdefgh' * 2}{i}{j}" for j in range(15))
+    clean = [(i, text(i), "en", f"s{i % 5}") for i in range(1000)]
+    bad = n * share // 100
+    dirty = [(10_000 + i, (symbols if i % 2 else long)(i) if i < bad else text(i), "en", "dirty") for i in range(n)]
+    one_kind = [(20_000 + i, symbols(i) if i < bad else text(i), "de", "dirty") for i in range(n)]
+    df = spark.createDataFrame(clean + dirty + one_kind, "doc_id int, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.rate(df).where("kept").collect()}
+    assert kept == {i for i, t, *_ in clean + dirty + one_kind if t.startswith("plain")}
