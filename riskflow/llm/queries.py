@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, decontam, hilbert, hpylm, html_crf, ngram_join, quality, suffix, url_filter, warc
+from riskflow.llm import (
+    bpe,
+    decontam,
+    hilbert,
+    hpylm,
+    html_crf,
+    lexical,
+    ngram_join,
+    quality,
+    repair,
+    suffix,
+    toxicity,
+    url_filter,
+    warc,
+)
 from riskflow.llm.common import read
 
 
@@ -89,6 +103,19 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).drop("url")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit(read(spark, sf_dir, "conversations"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.judge(docs.select("doc_id", "text"), labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_hpylm": op2_hpylm,
@@ -100,6 +127,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert": op8_hilbert,
     "op9_ngram_join": op9_ngram_join,
     "op10_urls": op10_urls,
+    "op11_repair": op11_repair,
+    "op12_lexical": op12_lexical,
+    "op13_toxicity": op13_toxicity,
 }
 
-SQL: dict[str, str] = {"op4_decontaminate": decontam.SQL, "op7_revisits": warc.SQL, "op9_ngram_join": ngram_join.SQL}
+SQL: dict[str, str] = {
+    "op4_decontaminate": decontam.SQL, "op7_revisits": warc.SQL, "op9_ngram_join": ngram_join.SQL,
+    "op12_lexical": lexical.SQL,
+}
