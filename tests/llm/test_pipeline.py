@@ -3,8 +3,8 @@
 import corpus_pipeline
 import test_bpe
 import test_decontam
+import test_passages
 import test_quality
-import test_suffix
 
 from riskflow.llm.common import read, stage
 from riskflow.llm.decontam import shingle_set
@@ -42,9 +42,7 @@ def test_stages(spark):
                 root[b] = a
     assert set(single) == {i for i in sets if find(i) == i} and len(single) < len(good)
 
-    kept = test_suffix.brute([single[i] for i in single], 400)
-    for i, (data, _, removed, _) in zip(single, kept):
-        assert cut[i] == (data.decode("utf-8", "replace") if removed else single[i])
+    assert cut == test_passages.brute_stage(single)[0] != single
 
     items = [(r.item_id, r.text) for r in read(spark, SF, "benchmark").collect()]
     leaked = {d for d, _ in test_decontam.brute(list(cut.items()), items)}
