@@ -4,13 +4,14 @@ A row becomes the next anchor when its time lies ``width`` beyond the current
 anchor. The chain is sequential per key, so it is solved in three steps that keep
 a hot key parallel:
 
-1. per (key, time slice): a small table "entry anchor -> exit anchor" (a step
-   function; only rows of the first ``width`` of a slice can change the entry);
-2. per key: walk over those slice tables, one row per slice;
-3. per (key, slice): mark the anchors, now that the entry anchor is known.
-
-Rows are narrow and Spark does the partitioning and sorting; numpy only works on
-the sorted times of one slice.
+1. per part (key, time slice, block of sequence numbers): a step table "entry anchor ->
+   exit anchor" (only rows of the first ``width`` of a part can change the entry);
+2. per key: a walk along the step tables, which are streamed step by step;
+3. per part: mark the anchors, now that the entry anchor is known.
+
+Sequence numbers are unique, so a part holds at most ``chunk_rows`` rows whatever the key, and
+nothing larger is ever held. Rows are narrow and Spark does the partitioning and sorting;
+numpy only works on the sorted times of one part.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_US = 6 * 3600 * 1_000_000
+PART_ROWS = 100_000
 _NONE = np.iinfo(np.int64).min
 
 
@@ -112,6 +114,37 @@ def _step_table(times: np.ndarray, width: int, strict: bool):
     return limit[~same], times[exits[~same]], (n - exits[~same]).astype(np.int64)
 
 
+def with_entries(
+    df: DataFrame,
+    entries: DataFrame,
+    group: list[str],
+    order: list[str],
+    fn: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table],
+    added: list[T.StructField],
+) -> DataFrame:
+    """Rows of ``df`` with what ``fn(rows, starts, entry rows)`` adds to complete groups.
+
+    ``entries`` has one row per group and travels with the rows as the first of its group, so
+    they meet in one shuffle. ``fn`` gets the rows without it, and the entries in order of the groups.
+    """
+    extra = [f for f in entries.schema.fields if f.name not in group]
+    first = "_is_row"
+    both = df.withColumn(first, F.lit(1)).unionByName(
+        entries.withColumn(first, F.lit(0)), allowMissingColumns=True
+    )
+    names = df.columns
+    schema = T.StructType([*df.schema.fields, *added])
+
+    def apply(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        lead = np.zeros(table.num_rows, dtype=bool)
+        lead[starts] = True
+        heads = table.filter(pa.array(lead)).select([f.name for f in extra])
+        rows = table.filter(pa.array(~lead)).select(names)
+        return fn(rows, starts - np.arange(len(starts)), heads)
+
+    return map_sorted_groups(both, group, [first, *order], apply, schema)
+
+
 def with_anchor(
     df: DataFrame,
     keys: list[str],
@@ -121,18 +154,24 @@ def with_anchor(
     strict: bool,
     eligible: str | None = None,
     slice_us: int = SLICE_US,
+    chunk_rows: int = PART_ROWS,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``anchor_before`` (time of the last anchor before the row, null if none),
     ``is_anchor`` and ``since_anchor`` (rows since the anchor, the anchor is row 1).
 
-    ``time_us`` must not decrease along ``order``. ``strict`` asks for a distance above
-    ``width_us`` instead of at least. Only rows with a true ``eligible`` column can
-    become anchors.
+    ``time_us`` must not decrease along ``order``, whose first column is a unique sequence number.
+    ``strict`` asks for a distance above ``width_us`` instead of at least. Only rows with a true
+    ``eligible`` column can become anchors. ``start(*keys, anchor, rows)``: last anchor of a key
+    before all rows and the number of rows since.
     """
-    slice_col = "_slice"
-    df = df.withColumn(slice_col, F.floor(F.col(time_us) / F.lit(slice_us)))
+    part = ["_slice", "_block"]
+    df = df.withColumns({
+        "_slice": F.floor(F.col(time_us) / F.lit(slice_us)),
+        "_block": F.floor(F.col(order[0]) / F.lit(chunk_rows)),
+    })
     key_fields = [df.schema[k] for k in keys]
-    narrow = df.select(*keys, slice_col, time_us, *[o for o in order if o != time_us],
+    narrow = df.select(*keys, *part, time_us, *[o for o in order if o != time_us],
                        *([eligible] if eligible else []))
 
     def able(table: pa.Table) -> np.ndarray:
@@ -140,113 +179,101 @@ def with_anchor(
             return np.ones(table.num_rows, dtype=bool)
         return np.asarray(table[eligible].to_numpy()).astype(bool)
 
-    table_schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField(slice_col, T.LongType()),
-            T.StructField("_rows", T.LongType()),
-            T.StructField("_breaks", T.ArrayType(T.LongType())),
-            T.StructField("_exits", T.ArrayType(T.LongType())),
-            T.StructField("_since", T.ArrayType(T.LongType())),
-        ]
-    )
+    long = lambda name: T.StructField(name, T.LongType())
+    #: one row without ``_break`` per part, with its number of rows, and one per step of its table
+    step_schema = T.StructType([*key_fields, *map(long, [*part, "_break", "_exit", "_count"])])
 
     def summarize(table: pa.Table, starts: np.ndarray) -> pa.Table:
         times = table[time_us].to_numpy()
         ok = able(table)
         ends = np.r_[starts[1:], len(times)]
-        breaks, exits, since = [], [], []
+        at, breaks, exits, counts = [], [], [], []
         for a, b in zip(starts, ends):
             spots = np.flatnonzero(ok[a:b])
-            if len(spots) == 0:
-                breaks.append([]), exits.append([]), since.append([])
-                continue
-            t = times[a:b][spots]
-            lim, ex, _ = _step_table(t, width_us, strict)
-            first_spot = spots[np.searchsorted(t, ex)]
-            breaks.append(lim), exits.append(ex), since.append((b - a) - first_spot)
-        long_list = pa.list_(pa.int64())
-        picked = table.select([*keys, slice_col]).take(pa.array(starts))
-        return pa.table(
-            {
-                **{c: picked[c] for c in picked.column_names},
-                "_rows": pa.array(ends - starts, pa.int64()),
-                "_breaks": pa.array(breaks, long_list),
-                "_exits": pa.array(exits, long_list),
-                "_since": pa.array(since, long_list),
-            }
-        )
-
-    entry_schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField(slice_col, T.LongType()),
-            T.StructField("_entry", T.LongType()),
-            T.StructField("_entry_rows", T.LongType()),
-        ]
-    )
+            lim = ex = np.empty(0, np.int64)
+            if len(spots):
+                t = times[a:b][spots]
+                lim, ex, _ = _step_table(t, width_us, strict)
+                counts.append(np.r_[b - a, (b - a) - spots[np.searchsorted(t, ex)]])
+            else:
+                counts.append(np.array([b - a]))
+            at.append(np.full(len(lim) + 1, a))
+            breaks.append(np.r_[_NONE, lim])
+            exits.append(np.r_[_NONE, ex])
+        breaks, exits = np.concatenate(breaks), np.concatenate(exits)
+        picked = table.select([*keys, *part]).take(pa.array(np.concatenate(at)))
+        return pa.table({
+            **{c: picked[c] for c in picked.column_names},
+            "_break": pa.array(breaks, pa.int64(), mask=breaks == _NONE),
+            "_exit": pa.array(exits, pa.int64(), mask=exits == _NONE),
+            "_count": pa.array(np.concatenate(counts), pa.int64()),
+        })
+
+    entry_schema = T.StructType([*key_fields, *map(long, [*part, "_entry", "_entry_rows"])])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # streams over slices; only the current key and its anchor are kept
-        key, anchor, rows = None, _NONE, 0
+        # streams over steps; only the current key, its anchor and the part's row count are kept
+        key, anchor, rows, waiting = None, _NONE, 0, 0
         for batch in batches:
             ids = list(zip(*[batch[k].to_pylist() for k in keys]))
-            counts = batch["_rows"].to_pylist()
-            entry, entry_rows = [], []
-            for i, this in enumerate(ids):
-                if this != key:
-                    key, anchor, rows = this, _NONE, 0
-                entry.append(None if anchor == _NONE else anchor)
-                entry_rows.append(rows)
-                breaks = batch["_breaks"][i].values.to_numpy()
-                at = np.searchsorted(breaks, anchor, side="left")
-                if len(breaks) and (anchor == _NONE or at < len(breaks)):
-                    at = 0 if anchor == _NONE else at
-                    anchor = int(batch["_exits"][i].values[at].as_py())
-                    rows = int(batch["_since"][i].values[at].as_py())
-                else:
-                    rows += counts[i]
+            parts = batch["_block"].null_count and batch["_block"].is_null().to_numpy(zero_copy_only=False)
+            heads = batch["_break"].is_null().to_numpy(zero_copy_only=False)
+            breaks = batch["_break"].fill_null(_NONE).to_numpy()
+            exits, counts = batch["_exit"].fill_null(_NONE).to_numpy(), batch["_count"].to_numpy()
+            at, entry, entry_rows = [], [], []
+            # rows at which a part begins, and the end
+            marks = np.flatnonzero(heads)
+            edges = [0, *marks.tolist(), len(heads)] if not len(marks) or marks[0] else [*marks.tolist(), len(heads)]
+            for a, b in zip(edges, edges[1:]):
+                if a < b and heads[a]:
+                    rows += waiting
+                    if ids[a] != key:
+                        key, anchor, rows = ids[a], _NONE, 0
+                    if isinstance(parts, np.ndarray) and parts[a]:  # what the key brings along
+                        anchor, rows, waiting = exits[a], int(counts[a]), 0
+                        continue
+                    at.append(a)
+                    entry.append(anchor)
+                    entry_rows.append(rows)
+                    waiting = int(counts[a])
+                    a += 1
+                if waiting and a < b:
+                    i = a if anchor == _NONE else a + int(np.searchsorted(breaks[a:b], anchor, side="left"))
+                    if i < b:
+                        anchor, rows, waiting = exits[i], int(counts[i]), 0
+            picked = batch.select([*keys, *part]).take(pa.array(at, pa.int64()))
+            entry = np.array(entry, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch[k] for k in keys],
-                    batch[slice_col],
-                    pa.array(entry, pa.int64()),
-                    pa.array(entry_rows, pa.int64()),
-                ],
-                names=[*keys, slice_col, "_entry", "_entry_rows"],
+                [*picked.columns, pa.array(entry, pa.int64(), mask=entry == _NONE), pa.array(entry_rows, pa.int64())],
+                names=[*keys, *part, "_entry", "_entry_rows"],
             )
 
-    tables = map_sorted_groups(narrow, [*keys, slice_col], order, summarize, table_schema)
+    steps = map_sorted_groups(narrow, [*keys, *part], order, summarize, step_schema)
+    if start is not None:
+        none = F.lit(None).cast("bigint")
+        steps = steps.unionByName(start.select(
+            *keys, none.alias("_slice"), none.alias("_block"), none.alias("_break"),
+            F.col("anchor").alias("_exit"), F.col("rows").alias("_count"),
+        ))
     entries = (
-        tables.repartition(*keys)
-        .sortWithinPartitions(*keys, slice_col)
+        steps.repartition(*keys)
+        .sortWithinPartitions(*keys, *part, "_break")
         .mapInArrow(walk, entry_schema)
     )
 
-    out_schema = T.StructType(
-        [
-            *df.schema.fields,
-            T.StructField("_entry", T.LongType()),
-            T.StructField("_entry_rows", T.LongType()),
-            T.StructField("anchor_before", T.LongType()),
-            T.StructField("is_anchor", T.BooleanType()),
-            T.StructField("since_anchor", T.LongType()),
-        ]
-    )
-
-    def mark(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    def mark(table: pa.Table, starts: np.ndarray, heads: pa.Table) -> pa.Table:
         times = table[time_us].to_numpy()
         ok = able(table)
-        entry_col = table["_entry"].fill_null(_NONE).to_numpy()
-        rows_col = table["_entry_rows"].to_numpy()
+        entry_col = heads["_entry"].fill_null(_NONE).to_numpy()
+        rows_col = heads["_entry_rows"].to_numpy()
         n = len(times)
         before = np.empty(n, dtype=np.int64)
         is_anchor = np.zeros(n, dtype=bool)
         since = np.empty(n, dtype=np.int64)
-        for a, b in zip(starts, np.r_[starts[1:], n]):
+        for k, (a, b) in enumerate(zip(starts, np.r_[starts[1:], n])):
             spots = np.flatnonzero(ok[a:b])
             t = times[a:b][spots]
-            found, anchor = [], entry_col[a]
+            found, anchor = [], entry_col[k]
             i = _next_index(t, anchor, width_us, strict)
             while i < len(t):
                 found.append(spots[i])
@@ -257,7 +284,7 @@ def with_anchor(
             before[a:b] = anchor_times[np.searchsorted(found, position, side="left")]
             is_anchor[a + found] = True
             at = np.searchsorted(found, position, side="right")
-            base = np.r_[-rows_col[a], found]
+            base = np.r_[-rows_col[k], found]
             since[a:b] = position - base[at] + 1
         return (
             table.append_column("anchor_before", pa.array(before, mask=before == _NONE))
@@ -265,8 +292,5 @@ def with_anchor(
             .append_column("since_anchor", pa.array(since))
         )
 
-    joined = df.join(entries.hint("shuffle_hash"), [*keys, slice_col], "left").select(
-        *df.columns, "_entry", "_entry_rows"
-    )
-    marked = map_sorted_groups(joined, [*keys, slice_col], order, mark, out_schema)
-    return marked.drop(slice_col, "_entry", "_entry_rows")
+    added = [long("anchor_before"), T.StructField("is_anchor", T.BooleanType()), long("since_anchor")]
+    return with_entries(df, entries, [*keys, *part], order, mark, added).drop(*part)

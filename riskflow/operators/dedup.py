@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.operators.anchors import SLICE_US, with_anchor
+from riskflow.operators.anchors import PART_ROWS, SLICE_US, with_anchor
 from riskflow.operators.running import CHUNK_ROWS, with_running
 
 TTL_US = 600_000_000
@@ -29,6 +29,7 @@ def ttl_dedup(
     ttl_us: int = TTL_US,
     succeeded: str | None = None,
     slice_us: int = SLICE_US,
+    chunk_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Add ``accepted``: false while the key's mark is younger than ``ttl_us``.
 
@@ -39,7 +40,7 @@ def ttl_dedup(
     usable = F.coalesce(F.trim(key) != "", F.lit(False))
     df = df.withColumn("_mark_key", F.coalesce(F.trim(key), F.lit("")))
     marked = with_anchor(
-        df.where(usable), ["_mark_key"], time_us, [seq], ttl_us, False, succeeded, slice_us
+        df.where(usable), ["_mark_key"], time_us, [seq], ttl_us, False, succeeded, slice_us, chunk_rows
     )
     free = F.col("anchor_before").isNull() | (F.col(time_us) - F.col("anchor_before") >= ttl_us)
     accepted = marked.withColumn("accepted", free).drop(

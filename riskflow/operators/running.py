@@ -86,7 +86,7 @@ def with_running(
             ],
         )
     )
-    joined = work.join(carried.hint("shuffle_hash"), [*keys, chunk], "left").withColumns(
+    joined = work.join(carried, [*keys, chunk], "left").withColumns(
         {
             f"_i_{o}": over(F.col(f"_v_{o}"), k, earlier_rows, False)
             for o, (k, _) in values.items()

@@ -76,6 +76,69 @@ def test_ttl_and_admission(table, rows):
         assert got[seq] == admission_step(recent.setdefault(key, deque()), t, 5, 60_000_000, True)
 
 
+def dense(n=4000):
+    """95 % of all rows on one key, within one slice and without a quiet gap."""
+    rnd = random.Random(11)
+    t, out = 0, []
+    for seq in range(n):
+        t += rnd.choice([0, 1, 2, 500_000, 3_000_000])
+        out.append(("hot" if rnd.random() < 0.95 else f"k{rnd.randrange(9)}", seq, t, rnd.random() < 0.8))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [64, 1000])
+def test_dense_hot_key_is_cut_into_parts(spark, chunk):
+    rows = dense()
+    df = spark.createDataFrame(rows, "key string, seq long, t long, ok boolean").repartition(5)
+    assert rows[-1][2] < 6 * 3600 * 1_000_000
+    for width, strict in ((60_000_000, True), (3_600_000_000, True), (900_000_000, False)):
+        got = {r.seq: r for r in with_anchor(df, ["key"], "t", ["seq"], width, strict, "ok", chunk_rows=chunk).collect()}
+        state = {}
+        for key, seq, t, ok in rows:
+            a, n = state.get(key, (None, 0))
+            far = a is None or (t - a > width if strict else t - a >= width)
+            a2, n = (t, 1) if ok and far else (a, n + 1)
+            assert (got[seq].anchor_before, got[seq].is_anchor, got[seq].since_anchor) == (a, ok and far, n)
+            state[key] = (a2, n)
+    for limit, window, inclusive in ((1, 1_000_000, True), (3, 60_000_000, False), (30, 60_000_000, True), (500, 10**9, True)):
+        got = {r.seq: (r.allowed, r.retry_after) for r in admit(df, ["key"], "t", "seq", limit, window, inclusive, chunk).collect()}
+        recent = {}
+        for key, seq, t, _ in rows:
+            assert got[seq] == admission_step(recent.setdefault(key, deque()), t, limit, window, inclusive)
+
+
+def test_parts_are_bounded_and_spread(spark, monkeypatch):
+    from riskflow.operators import anchors
+
+    sizes = []
+
+    def seen(df, keys, order, fn, schema, plain=anchors.map_sorted_groups):
+        sizes.append((keys, df.groupBy(*keys).count().agg(F.max("count"), F.count("*")).first()))
+        return plain(df, keys, order, fn, schema)
+
+    monkeypatch.setattr(anchors, "map_sorted_groups", seen)
+    df = spark.createDataFrame(dense(), "key string, seq long, t long, ok boolean")
+    with_anchor(df, ["key"], "t", ["seq"], 3_600_000_000, True, chunk_rows=100).count()
+    assert all(top <= 101 and parts > 40 for _, (top, parts) in sizes) and len(sizes) == 2
+
+
+def test_carried_state_continues_a_key(spark):
+    rows = dense(1200)
+    df = spark.createDataFrame(rows, "key string, seq long, t long, ok boolean")
+    whole = {r.seq: tuple(r) for r in with_anchor(df, ["key"], "t", ["seq"], 60_000_000, True, chunk_rows=50).collect()}
+    first = with_anchor(df.where("seq < 700"), ["key"], "t", ["seq"], 60_000_000, True, chunk_rows=50)
+    last = first.groupBy("key").agg(F.max(F.struct("seq", "anchor_before", "is_anchor", "t", "since_anchor")).alias("z"))
+    start = last.select("key", F.expr("if(z.is_anchor, z.t, z.anchor_before)").alias("anchor"), F.col("z.since_anchor").alias("rows"))
+    more = with_anchor(df.where("seq >= 700"), ["key"], "t", ["seq"], 60_000_000, True, chunk_rows=50, start=start)
+    assert {r.seq: tuple(r) for r in more.collect()} == {s: r for s, r in whole.items() if s >= 700}
+    whole = {r.seq: tuple(r) for r in admit(df, ["key"], "t", "seq", 5, chunk_rows=50).collect()}
+    first = admit(df.where("seq < 700"), ["key"], "t", "seq", 5, chunk_rows=50).where("allowed")
+    start = first.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("t")), -5, 5).alias("recent")).union(
+        spark.createDataFrame([("other", [1])], "key string, recent array<long>"))
+    few = admit(df.where("seq >= 700"), ["key"], "t", "seq", 5, chunk_rows=50, start=start.where("size(recent) > 0"))
+    assert {r.seq: tuple(r) for r in few.collect()} == {s: r for s, r in whole.items() if s >= 700}
+
+
 def test_dim_join_both_ways(table):
     dim = table.groupBy("key").agg(F.count("*").alias("n"))
     small, big = dim_join(table, dim, "key", small=True), dim_join(table, dim, "key", small=False)
