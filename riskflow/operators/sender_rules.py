@@ -7,6 +7,8 @@ Expected columns: ``client_id``, ``sender_raw``, ``sender_domain`` (may be null)
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ from riskflow.operators.running import CHUNK_ROWS, with_running
 from riskflow.session import cut
 
 KEYS = ["client_id", "profile_key"]
+NAME_KEYS = ["client_id", "display_name"]
 HOUR_US = 3_600_000_000
 
 
@@ -54,8 +57,51 @@ def parse_sender(df: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class SenderState:
+    """What earlier messages left: :func:`sender_snapshot` and :func:`name_snapshot`."""
+
+    profiles: DataFrame
+    names: DataFrame
+
+
+def hour_mask(profiles: DataFrame) -> Column:
+    """Bit per hour of day with messages, from ``hours`` or the keys of ``time_buckets``."""
+    if "hours" in profiles.columns:
+        return F.col("hours")
+    return F.expr(
+        "aggregate(map_keys(time_buckets), 0L, (bits, hour) -> bits | shiftleft(1L, cast(hour AS INT)))"
+    )
+
+
+def _with_profiles(df: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Add the stored profile to the running values; stored messages are before all rows of ``df``."""
+    old = profiles.select(
+        *KEYS, F.col("message_count").alias("_o_count"), F.col("last_seen_us").alias("_o_last"),
+        F.col("link_count").alias("_o_links"), F.col("file_count").alias("_o_files"),
+        F.col("last_domain").alias("_o_domain"), hour_mask(profiles).alias("_o_hours"),
+    )
+    zero = F.lit(0).cast("bigint")
+
+    def merged(new: str, stored: str, both) -> Column:
+        a, b = F.coalesce(new, zero), F.coalesce(stored, zero)
+        return F.when(F.col(new).isNotNull() | F.col(stored).isNotNull(), both(a, b))
+
+    return df.join(old, KEYS, "left").withColumns({
+        "prior_count": F.col("prior_count") + F.coalesce("_o_count", zero),
+        "prior_last_us": F.greatest("prior_last_us", "_o_last"),
+        "prior_links": merged("prior_links", "_o_links", lambda a, b: a + b),
+        "prior_files": merged("prior_files", "_o_files", lambda a, b: a + b),
+        "prior_domain": F.coalesce("prior_domain", "_o_domain"),
+        "prior_hours": merged("prior_hours", "_o_hours", lambda a, b: a.bitwiseOR(b)),
+    }).select(*df.columns)
+
+
 def with_sender_history(
-    df: DataFrame, chunk_rows: int = CHUNK_ROWS, slice_us: int = SLICE_US
+    df: DataFrame,
+    chunk_rows: int = CHUNK_ROWS,
+    slice_us: int = SLICE_US,
+    state: SenderState | None = None,
 ) -> DataFrame:
     """Parsed rows with what was known about the sender before each message.
 
@@ -63,6 +109,7 @@ def with_sender_history(
     ``prior_domain``, ``prior_hours`` (bit per hour of day), ``hour``,
     ``recent_count`` (messages in the anchored hour, this one included),
     ``recent_start_us`` and ``name_domain`` (domain first tied to the display name).
+    ``state`` is what messages before all of these left; it is joined by key, never collected.
     """
     df = parse_sender(df).withColumn(
         "hour", F.pmod(F.floor(F.col("t_us") / F.lit(HOUR_US)), F.lit(24)).cast("int")
@@ -81,11 +128,18 @@ def with_sender_history(
         },
         chunk_rows,
     )
+    start = None
+    if state is not None:
+        df = _with_profiles(df, state.profiles)
+        start = state.profiles.select(
+            *KEYS, F.col("recent_window_start_us").alias("anchor"), F.col("recent_count").alias("rows")
+        )
     # late rows never restart the hour, so the running maximum decides as well
     df = df.withColumn("_clock", F.greatest("prior_last_us", "t_us"))
     # each step below reads its input twice, so the narrow rows are written once
     df = with_anchor(
-        cut(df), KEYS, "_clock", ["arrival_seq"], HOUR_US, strict=True, slice_us=slice_us
+        cut(df), KEYS, "_clock", ["arrival_seq"], HOUR_US, strict=True, slice_us=slice_us,
+        start=start,
     )
     df = df.withColumn(
         "recent_start_us", F.when(F.col("is_anchor"), F.col("_clock")).otherwise(
@@ -93,9 +147,9 @@ def with_sender_history(
     ).withColumnRenamed("since_anchor", "recent_count").drop(
         "_clock", "anchor_before", "is_anchor"
     )
-    return with_running(
+    df = with_running(
         cut(df),
-        ["client_id", "display_name"],
+        NAME_KEYS,
         "arrival_seq",
         {
             "name_domain": (
@@ -105,6 +159,12 @@ def with_sender_history(
         },
         chunk_rows,
     )
+    if state is None:
+        return df
+    known = state.names.select(*NAME_KEYS, F.nullif("last_domain", F.lit("")).alias("_o_name"))
+    return df.join(known, NAME_KEYS, "left").withColumn(
+        "name_domain", F.coalesce("_o_name", "name_domain")
+    ).select(*df.columns)
 
 
 def with_sender_signals(df: DataFrame) -> DataFrame:
@@ -187,10 +247,13 @@ def sender_result() -> Column:
 
 
 def sender_snapshot(
-    df: DataFrame, chunk_rows: int = CHUNK_ROWS, slice_us: int = SLICE_US
+    df: DataFrame,
+    chunk_rows: int = CHUNK_ROWS,
+    slice_us: int = SLICE_US,
+    state: SenderState | None = None,
 ) -> DataFrame:
-    """One profile row per (client, sender) after all messages."""
-    rows = with_sender_history(df, chunk_rows, slice_us)
+    """One profile row per (client, sender) after all messages, on top of a stored ``state``."""
+    rows = with_sender_history(df, chunk_rows, slice_us, state)
     # partial aggregation by hour first: 24 rows at most per sender go on
     hourly = rows.groupBy(*KEYS, "hour").agg(
         F.count(F.lit(1)).alias("n"),
@@ -200,7 +263,7 @@ def sender_snapshot(
         F.min(F.struct("arrival_seq", "t_us")).alias("first_row"),
         F.max(F.struct("arrival_seq", "domain", "recent_count", "recent_start_us")).alias("tail"),
     )
-    return hourly.groupBy(*KEYS).agg(
+    new = hourly.groupBy(*KEYS).agg(
         F.sum("n").alias("message_count"),
         F.sum("links").alias("link_count"),
         F.sum("files").alias("file_count"),
@@ -213,32 +276,70 @@ def sender_snapshot(
         F.max("tail")["recent_count"].alias("recent_count"),
         F.max("tail")["recent_start_us"].alias("recent_window_start_us"),
     )
+    if state is None:
+        return new
+    zero, none = F.lit(0).cast("bigint"), F.expr("map_from_arrays(array(), array())")
+    bucket = lambda side: F.coalesce(F.col(f"{side}.time_buckets"), none.cast("map<string,bigint>"))
+    both = lambda c: F.coalesce(F.col(f"new.{c}"), zero) + F.coalesce(F.col(f"old.{c}"), zero)
+    later = lambda c: F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}")).alias(c)
+    return new.alias("new").join(state.profiles.alias("old"), KEYS, "full").select(
+        *KEYS,
+        *(both(c).alias(c) for c in ("message_count", "link_count", "file_count")),
+        F.coalesce("old.first_seen_us", "new.first_seen_us").alias("first_seen_us"),
+        F.greatest("old.last_seen_us", "new.last_seen_us").alias("last_seen_us"),
+        F.map_zip_with(
+            bucket("old"), bucket("new"), lambda k, a, b: F.coalesce(a, zero) + F.coalesce(b, zero)
+        ).alias("time_buckets"),
+        *map(later, ("last_domain", "recent_count", "recent_window_start_us")),
+    )
 
 
-def name_snapshot(df: DataFrame) -> DataFrame:
+def name_snapshot(df: DataFrame, state: SenderState | None = None) -> DataFrame:
     """One row per (client, display name): established domain, last mail, count."""
     rows = parse_sender(df).where("display_name <> ''")
     named = F.when(F.col("domain") != "", F.struct("arrival_seq", "domain"))
-    return rows.groupBy("client_id", "display_name").agg(
+    new = rows.groupBy(*NAME_KEYS).agg(
         F.coalesce(F.min(named)["domain"], F.lit("")).alias("last_domain"),
         F.max(F.struct("arrival_seq", "email"))["email"].alias("last_email"),
         F.max("t_us").alias("last_seen_us"),
         F.count(F.lit(1)).alias("count"),
     )
+    if state is None:
+        return new
+    zero, blank = F.lit(0).cast("bigint"), F.lit("")
+    return new.alias("new").join(state.names.alias("old"), NAME_KEYS, "full").select(
+        *NAME_KEYS,
+        F.coalesce(F.nullif("old.last_domain", blank), "new.last_domain", blank).alias("last_domain"),
+        F.coalesce("new.last_email", "old.last_email").alias("last_email"),
+        F.greatest("old.last_seen_us", "new.last_seen_us").alias("last_seen_us"),
+        (F.coalesce("new.count", zero) + F.coalesce("old.count", zero)).alias("count"),
+    )
+
+
+def sender_state(df: DataFrame, state: SenderState | None = None, **sizes: int) -> SenderState:
+    """State after the messages ``df``, on top of an earlier one."""
+    return SenderState(sender_snapshot(df, **sizes, state=state), name_snapshot(df, state))
 
 
 def evict_oldest(
     profiles: DataFrame,
     keys: list[str],
     last_seen: str = "last_seen_us",
-    limit: int = 5000,
+    limit: int | None = None,
     drop: int = 500,
+    unseen_since_us: int | None = None,
 ) -> DataFrame:
-    """Drop the ``drop`` longest-unseen rows when the table holds more than ``limit``.
+    """Profiles without those unseen for long; a maintenance step that takes no part in scoring.
 
-    Ties fall by key. A maintenance step; it takes no part in scoring.
+    ``unseen_since_us`` keeps the profiles seen at that time or later. ``limit`` is the size rule of a
+    service with little memory: over so many rows, the ``drop`` longest unseen go, ties by key.
+    Without either all stay.
     """
-    if profiles.count() <= limit:
+    if unseen_since_us is not None:
+        profiles = profiles.where(F.col(last_seen) >= unseen_since_us)
+    if limit is None:
         return profiles
     oldest = profiles.select(*keys, last_seen).orderBy(last_seen, *keys).limit(drop)
-    return profiles.join(F.broadcast(oldest.select(*keys)), keys, "left_anti")
+    # the size is found inside the plan, so no job runs while planning
+    size = profiles.agg(F.count(F.lit(1)))
+    return profiles.join(oldest.where(size.scalar() > limit).select(*keys), keys, "left_anti")

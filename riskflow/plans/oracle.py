@@ -229,16 +229,20 @@ _PRIOR = """w AS (SELECT m.*, r.cnt, r.w,
 f AS (SELECT *, n = 0 AS f_new, n > 0 AND last_t > 0 AND t_us - last_t < 60000000 AS f_rapid, n > 5 AND cnt > 10 AS f_freq,
   n > 5 AND same_hour = 0 AS f_time, n > 0 AND pd <> sender_domain AS f_dom, coalesce(has_link AND links = 0 AND n > 3, false) AS f_link,
   coalesce(has_file AND files = 0 AND n > 3, false) AS f_file, coalesce(nd <> sender_domain, false) AS f_name FROM w)"""
-SQL["sender_rules"] = f"""WITH RECURSIVE {_PARSED(True)}, {_ANCHOR}, {_PRIOR}
-SELECT arrival_seq, round(least(CASE WHEN f_new THEN 0.2 ELSE 0 END + CASE WHEN f_rapid THEN 0.3 ELSE 0 END
+_SENDER_FLAGS = _flags([
+    ("new_sender", "f_new"), ("rapid_sender_activity", "f_rapid"), ("unusual_frequency", "f_freq"),
+    ("unusual_time", "f_time"), ("sender_change", "f_dom OR f_name"),
+    ("out_of_character_link", "f_link"), ("out_of_character_file", "f_file")])
+_SENDER_SCORE = """round(least(CASE WHEN f_new THEN 0.2 ELSE 0 END + CASE WHEN f_rapid THEN 0.3 ELSE 0 END
   + CASE WHEN f_freq THEN 0.2 ELSE 0 END + CASE WHEN f_time THEN 0.2 ELSE 0 END
   + CASE WHEN f_dom OR f_name THEN 0.4 ELSE 0 END + CASE WHEN f_link THEN 0.3 ELSE 0 END
-  + CASE WHEN f_file THEN 0.3 ELSE 0 END, 1.0) * 100, 4)::DOUBLE AS sender_score,
-  CASE WHEN f_new THEN 0.5 ELSE 0.8 END::DOUBLE AS sender_confidence,
-  array_to_string(list_sort({_flags([
-      ("new_sender", "f_new"), ("rapid_sender_activity", "f_rapid"), ("unusual_frequency", "f_freq"),
-      ("unusual_time", "f_time"), ("sender_change", "f_dom OR f_name"),
-      ("out_of_character_link", "f_link"), ("out_of_character_file", "f_file")])}), ',') AS flags FROM f"""
+  + CASE WHEN f_file THEN 0.3 ELSE 0 END, 1.0) * 100, 4)::DOUBLE AS sender_score"""
+SQL["sender_rules"] = f"""WITH RECURSIVE {_PARSED(True)}, {_ANCHOR}, {_PRIOR}
+SELECT arrival_seq, {_SENDER_SCORE}, CASE WHEN f_new THEN 0.5 ELSE 0.8 END::DOUBLE AS sender_confidence,
+  array_to_string(list_sort({_SENDER_FLAGS}), ',') AS flags FROM f"""
+SQL["sender_handover"] = f"""WITH RECURSIVE {_PARSED(True)}, {_ANCHOR}, {_PRIOR}
+SELECT arrival_seq, {_SENDER_SCORE}, cnt::BIGINT AS recent_count, w::BIGINT AS recent_start_us,
+  array_to_string(list_sort({_SENDER_FLAGS}), ',') AS flags FROM f WHERE arrival_seq >= (SELECT max(event_id) // 2 FROM events)"""
 SQL["sender_odd_hour"] = f"""WITH {_PARSED(False)}, c AS (SELECT arrival_seq,
   count(*) OVER (PARTITION BY client_id, k ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n,
   count(*) OVER (PARTITION BY client_id, k, hr ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same FROM m)
@@ -256,6 +260,10 @@ FROM m JOIN r USING (arrival_seq) JOIN bb ON bb.client_id = m.client_id AND bb.k
 SQL["sender_names"] = f"""WITH {_PARSED(True)} SELECT client_id, nm AS display_name,
   arg_min(sender_domain, arrival_seq) AS last_domain, arg_max(k, arrival_seq) AS last_email, max(t_us) AS last_seen_us,
   count(*) AS count FROM m GROUP BY client_id, nm"""
+SQL["sender_state_fold"] = f"""SELECT client_id, profile_key AS name, message_count AS count, last_seen_us, last_domain,
+  concat_ws('|', link_count, file_count, first_seen_us, recent_count, recent_window_start_us, time_buckets) AS more
+FROM ({SQL["sender_snapshot"]}) UNION ALL
+SELECT client_id, display_name, count, last_seen_us, last_domain, last_email FROM ({SQL["sender_names"]})"""
 SQL["sender_evict"] = f"""WITH {_PARSED(True)}, p AS (SELECT client_id, sender_raw, max(t_us) AS last_seen_us FROM m GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (ORDER BY last_seen_us, client_id, sender_raw) AS rk, count(*) OVER () AS n FROM p)
 SELECT client_id, sender_raw, last_seen_us FROM o WHERE n <= 100 OR rk > 20"""
@@ -416,6 +424,18 @@ _ADMIT = lambda limit, op: f"""WITH RECURSIVE {_REP}, r AS (SELECT key, rn, arri
   FROM (SELECT q.key, q.rn, q.arrival_seq, q.t_us, list_filter(r.rec, lambda x: q.t_us - x {op} 600000000) AS kept
     FROM r JOIN q ON q.key = r.key AND q.rn = r.rn + 1))"""
 SQL["admission_server"] = _ADMIT(3, "<") + " SELECT arrival_seq, allowed, wait AS retry_after FROM r"
+_TWO_KEYS = """WITH RECURSIVE q AS (SELECT arrival_seq, t_us, concat('10.0.0.', arrival_seq % 7) AS ip,
+  concat('k', regexp_extract(sender_raw, '<u(\\d+)@', 1)) AS key FROM (""" + v.messages_sql() + """)),
+qi AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY arrival_seq) AS rn FROM q),
+i AS (SELECT ip, key, rn, arrival_seq, t_us, true AS ok, [t_us] AS rec FROM qi WHERE rn = 1
+  UNION ALL SELECT ip, key, rn, arrival_seq, t_us, len(kept) < 30, CASE WHEN len(kept) < 30 THEN list_append(kept, t_us) ELSE kept END
+  FROM (SELECT qi.*, list_filter(i.rec, lambda x: qi.t_us - x < 60000000) AS kept FROM i JOIN qi ON qi.ip = i.ip AND qi.rn = i.rn + 1)),
+qk AS (SELECT key, arrival_seq, t_us, row_number() OVER (PARTITION BY key ORDER BY arrival_seq) AS rn FROM i WHERE ok),
+k AS (SELECT key, rn, arrival_seq, true AS ok, [t_us] AS rec FROM qk WHERE rn = 1
+  UNION ALL SELECT key, rn, arrival_seq, len(kept) < 30, CASE WHEN len(kept) < 30 THEN list_append(kept, t_us) ELSE kept END
+  FROM (SELECT qk.*, list_filter(k.rec, lambda x: qk.t_us - x < 60000000) AS kept FROM k JOIN qk ON qk.key = k.key AND qk.rn = k.rn + 1))
+SELECT i.arrival_seq, coalesce(k.ok, false) AS allowed FROM i LEFT JOIN k USING (arrival_seq)"""
+SQL["admission_request"] = _TWO_KEYS
 SQL["admission_client"] = _ADMIT(2, "<=") + " SELECT arrival_seq, allowed FROM r"
 SQL["live_session_join"] = """WITH s AS (SELECT user_id, min(ts) + INTERVAL 10 DAY AS expires_at FROM events GROUP BY 1)
 SELECT event_id, user_id, c_name AS full_name FROM events JOIN s USING (user_id) JOIN customer ON c_custkey = user_id WHERE expires_at > ts"""

@@ -237,7 +237,10 @@ def sender_anchored_hour(spark, sf):
 
 
 def sender_snapshot(spark, sf):
-    df = sender_rules.sender_snapshot(views.messages(spark, sf))
+    return _profile_rows(sender_rules.sender_snapshot(views.messages(spark, sf)))
+
+
+def _profile_rows(df):
     buckets = F.array_join(
         F.transform(
             F.map_entries("time_buckets"),
@@ -249,6 +252,36 @@ def sender_snapshot(spark, sf):
     return df.withColumn("time_buckets", ordered)
 
 
+def _halves(spark, sf):
+    rows = views.messages(spark, sf)
+    middle = rows.agg(F.expr("max(arrival_seq) div 2")).first()[0]
+    return rows.where(F.col("arrival_seq") < middle), rows.where(F.col("arrival_seq") >= middle)
+
+
+def sender_handover(spark, sf):
+    """The rules on the later half of the messages, with the state that the earlier half left."""
+    early, late = _halves(spark, sf)
+    state = sender_rules.sender_state(early)
+    df = sender_rules.with_sender_signals(sender_rules.with_sender_history(late, state=state))
+    return df.select(
+        "arrival_seq", _r4("sender_score").alias("sender_score"), "recent_count", "recent_start_us",
+        F.array_join(F.array_sort("sender_flags"), ",").alias("flags"),
+    )
+
+
+def sender_state_fold(spark, sf):
+    """Profiles and names after both halves, the second folded into the state of the first."""
+    early, late = _halves(spark, sf)
+    state = sender_rules.sender_state(late, sender_rules.sender_state(early))
+    profiles = _profile_rows(state.profiles).selectExpr(
+        "client_id", "profile_key AS name", "message_count AS count", "last_seen_us", "last_domain",
+        "concat_ws('|', link_count, file_count, first_seen_us, recent_count, recent_window_start_us, time_buckets) AS more",
+    )
+    return profiles.unionByName(state.names.selectExpr(
+        "client_id", "display_name AS name", "count", "last_seen_us", "last_domain", "last_email AS more"
+    ))
+
+
 def sender_names(spark, sf):
     return sender_rules.name_snapshot(views.messages(spark, sf))
 
@@ -759,6 +792,8 @@ QUERIES = {
     "sender_anchored_hour": sender_anchored_hour,
     "sender_snapshot": sender_snapshot,
     "sender_names": sender_names,
+    "sender_handover": sender_handover,
+    "sender_state_fold": sender_state_fold,
     "sender_evict": sender_evict,
     "hash_match": hash_match,
     "file_reports": file_reports,

@@ -28,7 +28,9 @@ from riskflow.operators.header_signals import header_result, with_header_signals
 from riskflow.operators.indicators import with_allow_list, with_feed_hit, with_hash_hit
 from riskflow.operators.redirects import resolve_redirects
 from riskflow.operators.sender_rules import (
+    SenderState,
     sender_result,
+    sender_state,
     with_sender_history,
     with_sender_signals,
 )
@@ -81,35 +83,65 @@ def _malware_engine(tables: Indicators, reports=None):
     return run
 
 
-def _sender_engine(compat: bool):
+def _message_time() -> Column:
+    return F.coalesce((F.col("meta_ts") * 1_000_000).cast("bigint"), F.unix_micros("ts"))
+
+
+def _messages(df: DataFrame, compat: bool) -> DataFrame:
+    """Narrow copy of the rows that have a sender and a time, in order of arrival."""
+    time = _message_time()
+    raw = F.col("sender_id") if compat else F.col("sender_raw")
+    return _in_order(df.where(filled(F.col("sender_id")) & time.isNotNull()).select(
+        "_row",
+        "arrival_seq",
+        "client_id",
+        raw.alias("sender_raw"),
+        "sender_domain",
+        time.alias("t_us"),
+        filled(F.col("url")).alias("has_link"),
+        (
+            filled(F.col("file_name"))
+            | F.coalesce(F.octet_length("file_bytes") > 0, F.lit(False))
+        ).alias("has_file"),
+    ))
+
+
+def _sender_engine(compat: bool, senders: SenderState | None = None):
     def run(df: DataFrame):
-        # narrow copy of the rows that have a sender and a time; only features come back
-        raw = F.col("sender_id") if compat else F.col("sender_raw")
-        time = F.coalesce((F.col("meta_ts") * 1_000_000).cast("bigint"), F.unix_micros("ts"))
-        messages = df.where(filled(F.col("sender_id")) & time.isNotNull()).select(
-            "_row",
-            "arrival_seq",
-            "client_id",
-            raw.alias("sender_raw"),
-            "sender_domain",
-            time.alias("t_us"),
-            filled(F.col("url")).alias("has_link"),
-            (
-                filled(F.col("file_name"))
-                | F.coalesce(F.octet_length("file_bytes") > 0, F.lit(False))
-            ).alias("has_file"),
-        )
-        scored = with_sender_signals(with_sender_history(_in_order(messages))).select(
+        # only features come back
+        scored = with_sender_signals(with_sender_history(_messages(df, compat), state=senders)).select(
             "_row", "sender_flags", "sender_score", "sender_confidence", "sender_evidence",
             "prior_count",
         )
         untimed = skipped_result(dims.SENDER_ENGINE, "No message time provided")
-        result = F.when(filled(F.col("sender_id")) & time.isNull(), untimed).otherwise(sender_result())
+        result = F.when(
+            filled(F.col("sender_id")) & _message_time().isNull(), untimed
+        ).otherwise(sender_result())
         return df.join(cut(scored), "_row", "left"), result
 
     return run
 
 
+def _numbered(scans: DataFrame, as_of: str | None, bounds: dict[str, int]) -> DataFrame:
+    """Prepared requests with ``_row``; written once, since several steps read the same rows."""
+    rows = complete_scans(scans)
+    if as_of is not None:
+        rows = rows.withColumn("ts", F.coalesce("ts", F.lit(as_of).cast("timestamp")))
+    return cut(preprocess(rows, **bounds).withColumn("_row", F.monotonically_increasing_id()))
+
+
+def senders_after(
+    scans: DataFrame,
+    senders: SenderState | None = None,
+    as_of: str | None = None,
+    strict_compat: bool = False,
+    **bounds: int,
+) -> SenderState:
+    """Sender state after the requests that :func:`scan` accepts, on top of an earlier one."""
+    rows = _numbered(scans, as_of, bounds).where("prep_status != 'rejected'")
+    return sender_state(_messages(rows, strict_compat), senders)
+
+
 def _in_order(messages: DataFrame) -> DataFrame:
     """Messages in order of arrival, renumbered: no number is missing, repeated or far from the next.
 
@@ -195,8 +227,10 @@ def default_registry(
     as_of: str | None = None,
     reports: DataFrame | None = None,
     strict_compat: bool = False,
+    senders: SenderState | None = None,
 ) -> EngineRegistry:
-    """The built-in engines. ``strict_compat`` drops display names before sender rules."""
+    """The built-in engines. ``strict_compat`` drops display names before sender rules;
+    ``senders`` is what earlier messages left."""
     registry = EngineRegistry()
     registry.register(
         dims.URL_ENGINE, _url_engine(tables, reputation, registrations, suffixes, as_of)
@@ -205,7 +239,7 @@ def default_registry(
     registry.register(dims.HEADER_ENGINE, _header_engine)
     registry.register(dims.ATTACHMENT_ENGINE, _attachment_engine)
     registry.register(dims.MALWARE_ENGINE, _malware_engine(tables, reports))
-    registry.register(dims.SENDER_ENGINE, _sender_engine(strict_compat))
+    registry.register(dims.SENDER_ENGINE, _sender_engine(strict_compat, senders))
     return registry
 
 
@@ -218,6 +252,7 @@ def scan(
     redirects: DataFrame | None = None,
     exclude: Iterable[str] = (),
     as_of: str | None = None,
+    senders: SenderState | None = None,
     **bounds: int,
 ) -> tuple[DataFrame, DataFrame]:
     """(verdicts, rejected rows).
@@ -226,13 +261,10 @@ def scan(
     sender engine is the only part that shuffles scan rows; everything else is one
     projection around look-up joins. ``as_of`` is the time of requests that carry none;
     without it their sender rules are skipped. Every row that is not rejected gets one
-    verdict, also where ids repeat. ``bounds`` are those of :func:`preprocess`.
+    verdict, also where ids repeat. ``senders``: state of the senders before these scans, which
+    :func:`senders_after` gives. ``bounds`` are those of :func:`preprocess`.
     """
-    rows = complete_scans(scans)
-    if as_of is not None:
-        rows = rows.withColumn("ts", F.coalesce("ts", F.lit(as_of).cast("timestamp")))
-    # written once: verdicts, rejected rows and sender features read the same prepared rows
-    prepared = cut(preprocess(rows, **bounds).withColumn("_row", F.monotonically_increasing_id()))
+    prepared = _numbered(scans, as_of, bounds)
     rejected = prepared.where("prep_status = 'rejected'").drop("_row")
     df = prepared.where("prep_status != 'rejected'")
 
@@ -243,7 +275,7 @@ def scan(
         df = resolve_redirects(df, redirects).withColumn("url", F.col("final_url")).drop(
             "final_url"
         )
-    registry = registry or default_registry(tables)
+    registry = registry or default_registry(tables, senders=senders)
     df, results = registry.run_all(df, exclude)
     if with_images:
         results = F.concat(F.array("visual_result"), results)

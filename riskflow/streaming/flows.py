@@ -14,7 +14,8 @@ from riskflow.functions.urls import extract_screen_urls
 from riskflow.operators.dedup import pending
 from riskflow.operators.joins import keep_rows
 from riskflow.operators.triage import triage
-from riskflow.plans.scan import scan
+from riskflow.operators.sender_rules import SenderState
+from riskflow.plans.scan import scan, senders_after
 from riskflow.sources import feeds
 from riskflow.sources.history import history_records, new_records
 from riskflow.sources.mail import mail_to_scans
@@ -34,7 +35,7 @@ def watch_targets(screens: DataFrame) -> DataFrame:
     """Links of visible text, else its redacted suspicious snippet.
 
     Reads ``device_id, arrival_seq, t_us, text``; one row per target with
-    ``watch_key``, ``url`` and ``text``. A snippet that is mostly redacted is dropped.
+    ``position`` inside the screen, ``watch_key``, ``url`` and ``text``. A snippet that is mostly redacted is dropped.
     """
     df = screens.withColumns(
         {
@@ -68,10 +69,7 @@ def watch_targets(screens: DataFrame) -> DataFrame:
     )
     targets = F.when(F.col("_note"), note).otherwise(link)
     return df.select("device_id", "arrival_seq", "t_us", F.explode(targets).alias("x")).select(
-        "device_id",
-        # a position inside the screen keeps the order of its links
-        (F.col("arrival_seq") * 1000 + F.col("x.position")).alias("arrival_seq"),
-        "t_us", "x.watch_key", "x.url", "x.text",
+        "device_id", "arrival_seq", "x.position", "t_us", "x.watch_key", "x.url", "x.text",
     )
 
 
@@ -113,11 +111,42 @@ def scan_uuid(message_id: str) -> Column:
     )
 
 
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete versions of the sender state below ``root``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath() for s in fs.listStatus(path)]
+    # a version counts once its second table is complete
+    done = [p for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "names/_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done)
+
+
+def stored_senders(spark: SparkSession, root: str, before: int | None = None) -> SenderState | None:
+    """Latest sender state below ``root``, of a batch before ``before`` if given."""
+    known = [v for v in _versions(spark, root) if before is None or v < before]
+    if not known:
+        return None
+    return SenderState(*(spark.read.parquet(f"{root}/batch={known[-1]}/{t}") for t in ("profiles", "names")))
+
+
+def store_senders(state: SenderState, root: str, batch_id: int, keep: int = 2) -> None:
+    """Write a version of the sender state; only the last ``keep`` before it stay."""
+    spark = state.profiles.sparkSession
+    for name, table in (("profiles", state.profiles), ("names", state.names)):
+        table.write.mode("overwrite").parquet(f"{root}/batch={batch_id}/{name}")
+    for old in [v for v in _versions(spark, root) if v < batch_id][:-keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/batch={old}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def inbox_batch(tables: feeds.Indicators, root: str, as_scan_id=None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body of the inbox check.
 
     Pending mails are scanned; history and alerts are written; only mails that got a
-    verdict are marked as processed, so a failed or rejected one is taken up again.
+    verdict are marked as processed, so a failed or rejected one is taken up again. Sender
+    profiles of earlier batches are taken on and written anew.
     ``as_scan_id``: scan id as a Column over the mail rows; a UUID of the mail id by default.
     """
 
@@ -127,7 +156,8 @@ def inbox_batch(tables: feeds.Indicators, root: str, as_scan_id=None) -> Callabl
         fresh = pending(mails.dropDuplicates(["message_id"]), done)
         rows = mail_to_scans(fresh).withColumn("_mail", F.col("scan_id"))
         rows = rows.withColumn("scan_id", scan_uuid("_mail") if as_scan_id is None else as_scan_id)
-        verdicts, _ = scan(rows.drop("_mail"), tables)
+        senders = stored_senders(spark, f"{root}/senders", batch_id)
+        verdicts, _ = scan(rows.drop("_mail"), tables, senders=senders)
         verdicts = verdicts.persist()
         try:
             stored = read_other_batches(spark, f"{root}/history", HISTORY, batch_id)
@@ -141,6 +171,7 @@ def inbox_batch(tables: feeds.Indicators, root: str, as_scan_id=None) -> Callabl
                 "alerts",
             )
             scored = rows.join(verdicts.select("scan_id"), "scan_id", "left_semi")
+            store_senders(senders_after(scored.drop("_mail"), senders), f"{root}/senders", batch_id)
             put(scored.select(F.col("_mail").alias("message_id")).distinct(), "processed")
         finally:
             verdicts.unpersist()

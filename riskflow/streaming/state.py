@@ -1,7 +1,10 @@
 """Keyed state for live flows. Each processor follows the batch operator of the same rule.
 
 Rows of a key arrive in micro-batches and are ordered by sequence number inside a
-batch. State is small per key and can expire by ``ttl_ms``.
+batch. State is small per key. Marks, admissions, window contents and votes are dropped by event time:
+a timer fires once the watermark has passed the time from which the state can't matter
+any more. Rows that come later than the watermark's ``delay`` are dropped by Spark.
+Sender profiles are kept; they can start from a stored snapshot and be read back as one.
 """
 
 from __future__ import annotations
@@ -10,28 +13,54 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskflow.operators.admission import admission_step
-from riskflow.operators.sender_rules import HOUR_US, KEYS, parse_sender
+from riskflow.operators.sender_rules import HOUR_US, KEYS, SenderState, hour_mask, parse_sender
 
 
-def _ordered(rows: Iterator[pd.DataFrame], seq: str) -> pd.DataFrame:
+def _ordered(rows: Iterator[pd.DataFrame], seq: str | list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(seq, kind="stable")
 
 
-def keyed(df: DataFrame, keys: list[str], processor: StatefulProcessor, added: str) -> DataFrame:
-    """Run a processor per key; the output is the input row plus ``added``."""
+#: how far rows may lag behind the newest one before expiry may drop what they need
+DELAY = "10 minutes"
+#: event time after which an unseen window or vote counts as new
+IDLE_US = 7 * 24 * 3600 * 1_000_000
+
+
+def keyed(
+    df: DataFrame,
+    keys: list[str],
+    processor: StatefulProcessor,
+    added: str,
+    initial: DataFrame | None = None,
+    delay: str = DELAY,
+) -> DataFrame:
+    """Run a processor per key; the output is the input row plus ``added``.
+
+    ``initial`` holds one row per key that was seen before the stream began. A processor that expires
+    its state takes ``t_us`` of the rows as event time.
+    """
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields])
-    processor.columns = schema.names
+    processor.columns, processor.keys = schema.names, keys
+    mode = "None"
+    if processor.expires:
+        # the first watermark is the epoch, and rows at it would count as late
+        event = F.timestamp_micros(F.greatest("t_us", F.lit(1)))
+        df = df.withColumn("_event_time", event).withWatermark("_event_time", delay)
+        mode = "EventTime"
+    elif processor.ttl_ms is not None:
+        mode = "ProcessingTime"
     return df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType=schema,
         outputMode="Append",
-        timeMode="None" if processor.ttl_ms is None else "ProcessingTime",
+        timeMode=mode,
+        initialState=None if initial is None else initial.groupBy(*keys),
     )
 
 
@@ -39,14 +68,26 @@ class _Keyed(StatefulProcessor):
     """One state value per key, updated row by row."""
 
     state_schema = ""
-    seq = "arrival_seq"
+    seq: str | list[str] = "arrival_seq"
     columns: list[str] = []
+    keys: list[str] = []
+    #: whether event time drops the state of a key
+    expires = False
 
     def __init__(self, ttl_ms: int | None = None) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.state_schema, self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("state", self.state_schema, None if self.expires else self.ttl_ms)
+        if self.expires:
+            self.until = handle.getValueState("until", "until_ms bigint")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.state.update(self.stored(initialState.iloc[0]))
+
+    def stored(self, row: pd.Series) -> tuple:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         data = _ordered(rows, self.seq)
@@ -54,7 +95,33 @@ class _Keyed(StatefulProcessor):
         out, new = self.step(data, known)
         if new is not None:
             self.state.update(new)
-        yield out[self.columns]
+        if self.expires:
+            self._keep(None if new is None else self.useful_until(new, data))
+        # a derived key comes apart from the rows
+        yield out.assign(**{k: v for k, v in zip(self.keys, key) if k not in out.columns})[self.columns]
+
+    def _keep(self, until_us: int | None) -> None:
+        """Move the key's timer to the first millisecond from which its state can't matter."""
+        old = self.until.get()[0] if self.until.exists() else None
+        new = None if until_us is None else until_us // 1000 + 1
+        if old is not None and old != new:
+            self.handle.deleteTimer(old)
+        if new is None:
+            self.state.clear()
+            self.until.clear()
+        elif new != old:
+            self.handle.registerTimer(new)
+            self.until.update((new,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.until.exists() or self.until.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+            self.until.clear()
+        yield from ()
+
+    def useful_until(self, new: tuple, data: pd.DataFrame) -> int | None:
+        """Event time (microseconds) up to which ``new`` decides anything; none: not even now."""
+        raise NotImplementedError
 
     def step(self, data: pd.DataFrame, known):
         raise NotImplementedError
@@ -99,6 +166,12 @@ class SenderProfile(_Keyed):
             n, int(last), links, files, domain, hours, recent, int(start)
         )
 
+    def stored(self, row):
+        return (
+            int(row.message_count), int(row.last_seen_us), int(row.link_count), int(row.file_count),
+            row.last_domain or "", int(row.hours), int(row.recent_count), int(row.recent_window_start_us),
+        )
+
 
 class NameDomain(_Keyed):
     """Domain first tied to a display name; kept when others use the name later."""
@@ -113,16 +186,61 @@ class NameDomain(_Keyed):
                 domain = row.domain
         return data.assign(name_domain=found), ((domain,) if domain else None)
 
+    def stored(self, row):
+        return (row.last_domain or None,)
+
+
+def sender_history_stream(
+    messages: DataFrame, ttl_ms: int | None = None, state: SenderState | None = None
+) -> DataFrame:
+    """Streaming form of the sender history; feed it to ``with_sender_signals``.
 
-def sender_history_stream(messages: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Streaming form of the sender history; feed it to ``with_sender_signals``."""
+    ``state``: what the messages before the stream left, taken when the stream first starts.
+    """
     df = parse_sender(messages).withColumn(
         "hour", F.pmod(F.floor(F.col("t_us") / F.lit(HOUR_US)), F.lit(24)).cast("int")
     )
-    df = keyed(df, KEYS, SenderProfile(ttl_ms), HISTORY)
+    profiles = names = None
+    if state is not None:
+        profiles = state.profiles.withColumn("hours", hour_mask(state.profiles)).select(
+            *KEYS, "message_count", "last_seen_us", "link_count", "file_count", "last_domain", "hours",
+            "recent_count", "recent_window_start_us",
+        )
+        names = state.names.select("client_id", F.col("display_name").alias("_name_key"), "last_domain")
+    df = keyed(df, KEYS, SenderProfile(ttl_ms), HISTORY, profiles)
+    # mails without a name share no state, so they are dealt by sender
+    nameless = F.concat(F.lit("<>"), "profile_key")
+    df = df.withColumn("_name_key", F.when(F.col("display_name") == "", nameless).otherwise(F.col("display_name")))
     return keyed(
-        df, ["client_id", "display_name"], NameDomain(ttl_ms),
-        "name_domain string",
+        df, ["client_id", "_name_key"], NameDomain(ttl_ms), "name_domain string", names,
+    ).drop("_name_key")
+
+
+def stream_sender_state(spark: SparkSession, checkpoint: str) -> SenderState:
+    """State of a stream of :func:`sender_history_stream`, read from its checkpoint.
+
+    Profiles have ``hours`` (a bit per hour) in place of counts per hour; both can be handed on.
+    """
+    def read(operator: int) -> DataFrame:
+        return (
+            spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator)
+            .option("stateVarName", "state").load()
+        )
+
+    def has(df: DataFrame, column: str) -> bool:
+        return column in df.schema["value"].dataType.names
+
+    first, second = read(0), read(1)
+    profiles, names = (first, second) if has(first, "n") else (second, first)
+    return SenderState(
+        profiles.select(
+            "key.client_id", "key.profile_key", F.col("value.n").alias("message_count"),
+            F.col("value.links").alias("link_count"), F.col("value.files").alias("file_count"),
+            F.col("value.last_us").alias("last_seen_us"), F.col("value.domain").alias("last_domain"),
+            "value.hours", F.col("value.recent").alias("recent_count"),
+            F.col("value.start_us").alias("recent_window_start_us"),
+        ),
+        names.select("key.client_id", F.col("key._name_key").alias("display_name"), F.col("value.domain").alias("last_domain")),
     )
 
 
@@ -131,6 +249,10 @@ class TtlMark(_Keyed):
     """Suppress a key while its mark is young; failed scans leave no mark."""
 
     state_schema = "mark bigint"
+    expires = True
+
+    def useful_until(self, new, data):
+        return None if new[0] is None else new[0] + self.ttl_us
 
     def __init__(self, ttl_us: int, succeeded: str | None, ttl_ms: int | None = None) -> None:
         super().__init__(ttl_ms)
@@ -151,6 +273,10 @@ class Admission(_Keyed):
     """Sliding-window admission with at most ``limit`` remembered times."""
 
     state_schema = "times array<bigint>"
+    expires = True
+
+    def useful_until(self, new, data):
+        return new[0][-1] + self.window_us if new[0] else None
 
     def __init__(self, limit: int, window_us: int, inclusive: bool, ttl_ms: int | None = None) -> None:
         super().__init__(ttl_ms)
@@ -167,9 +293,20 @@ class Admission(_Keyed):
 
 
 class Debounce(_Keyed):
-    """Flag rows whose content differs from the previous row of the key."""
+    """Flag rows whose content differs from the previous row of the key.
+
+    A window unseen for ``idle_us`` of event time is forgotten, its next row counts as changed.
+    """
 
     state_schema = "content string"
+    expires = True
+
+    def __init__(self, idle_us: int = IDLE_US, ttl_ms: int | None = None) -> None:
+        super().__init__(ttl_ms)
+        self.idle_us = idle_us
+
+    def useful_until(self, new, data):
+        return int(data["t_us"].max()) + self.idle_us
 
     def step(self, data, known):
         before = [known[0] if known else None, *data["content"].tolist()[:-1]]
@@ -178,9 +315,17 @@ class Debounce(_Keyed):
 
 
 class FirstVote(_Keyed):
-    """Flag the first vote of a scan."""
+    """Flag the first vote of a scan; one that is ``idle_us`` of event time old is forgotten."""
 
     state_schema = "seen boolean"
+    expires = True
+
+    def __init__(self, idle_us: int = IDLE_US, ttl_ms: int | None = None) -> None:
+        super().__init__(ttl_ms)
+        self.idle_us = idle_us
+
+    def useful_until(self, new, data):
+        return int(data["t_us"].max()) + self.idle_us
 
     def step(self, data, known):
         first = [known is None] + [False] * (len(data) - 1)
@@ -191,15 +336,22 @@ class WatchGate(_Keyed):
     """Repeat suppression and admission of one device, as the link watch applies them.
 
     A link is marked only when it was admitted, so a link dropped by the limit can
-    come again at once. At most ``max_marks`` live marks are kept.
+    come again at once. Marks go when they are ``ttl_us`` old; ``max_marks`` bounds
+    them further for a device with little memory.
     """
 
     state_schema = "keys array<string>, marks array<bigint>, times array<bigint>"
+    seq = ["arrival_seq", "position"]
+    expires = True
 
-    def __init__(self, ttl_us=600_000_000, limit=10, window_us=60_000_000, max_marks=500, ttl_ms=None):
+    def __init__(self, ttl_us=600_000_000, limit=10, window_us=60_000_000, max_marks=None, ttl_ms=None):
         super().__init__(ttl_ms)
         self.ttl_us, self.limit, self.window_us, self.max_marks = ttl_us, limit, window_us, max_marks
 
+    def useful_until(self, new, data):
+        ends = [t + self.ttl_us for t in new[1]] + [t + self.window_us for t in new[2][-1:]]
+        return max(ends, default=None)
+
     def step(self, data, known):
         marks = dict(zip(known[0], known[1])) if known else {}
         recent, taken = deque(known[2] if known else []), []
@@ -210,30 +362,29 @@ class WatchGate(_Keyed):
             if ok:
                 ok, _ = admission_step(recent, now, self.limit, self.window_us, False)
             if ok:
+                marks.pop(key, None)  # the dict stays in order of time
                 marks[key] = now
-                marks = {k: t for k, t in marks.items() if now - t <= self.ttl_us}
-                if len(marks) > self.max_marks:
-                    del marks[min(marks, key=marks.get)]
+                while marks and now - next(iter(marks.values())) > self.ttl_us:
+                    del marks[next(iter(marks))]
+                if self.max_marks is not None and len(marks) > self.max_marks:
+                    del marks[next(iter(marks))]
             taken.append(ok)
         return data.assign(accepted=taken), (list(marks), list(marks.values()), list(recent))
 
 
-def ttl_dedup_stream(df, key, ttl_us=600_000_000, succeeded=None, ttl_ms=None) -> DataFrame:
-    return keyed(df, [key], TtlMark(ttl_us, succeeded, ttl_ms), "accepted boolean")
+def ttl_dedup_stream(df, key, ttl_us=600_000_000, succeeded=None, delay=DELAY) -> DataFrame:
+    return keyed(df, [key], TtlMark(ttl_us, succeeded), "accepted boolean", delay=delay)
 
 
-def admit_stream(df, keys, limit=30, window_us=60_000_000, inclusive=True, ttl_ms=None) -> DataFrame:
+def admit_stream(df, keys, limit=30, window_us=60_000_000, inclusive=True, delay=DELAY) -> DataFrame:
     return keyed(
-        df, keys, Admission(limit, window_us, inclusive, ttl_ms),
-        "allowed boolean, retry_after bigint",
+        df, keys, Admission(limit, window_us, inclusive), "allowed boolean, retry_after bigint", delay=delay
     )
 
 
-def debounce_stream(df, window, ttl_ms=None) -> DataFrame:
-    return keyed(df, [window], Debounce(ttl_ms), "changed boolean").where(
-        "changed"
-    ).drop("changed")
+def debounce_stream(df, window, idle_us=IDLE_US, delay=DELAY) -> DataFrame:
+    return keyed(df, [window], Debounce(idle_us), "changed boolean", delay=delay).where("changed").drop("changed")
 
 
-def first_votes_stream(df, ttl_ms=None) -> DataFrame:
-    return keyed(df, ["scan_id"], FirstVote(ttl_ms), "inserted boolean")
+def first_votes_stream(df, idle_us=IDLE_US, delay=DELAY) -> DataFrame:
+    return keyed(df, ["scan_id"], FirstVote(idle_us), "inserted boolean", delay=delay)

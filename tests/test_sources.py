@@ -161,3 +161,31 @@ def test_scan_requests(spark, tmp_path):
     good, bad = scans.decode_scans(scans.read_scan_requests(spark, str(f)))
     assert [(r.scan_id, bytes(r.file_bytes)) for r in good.collect()] == [("1", b"hi")]
     assert sorted(r.reject_reason for r in bad.collect()) == ["image_bytes must be base64-encoded when sent as a string.", "unreadable request"]
+
+
+def test_inbox_knows_senders_of_earlier_batches(spark, tmp_path):
+    """Batches fold their messages into the stored profiles; a repeated batch starts from the one before."""
+    from riskflow.plans.scan import scan
+    from riskflow.sources.scans import decode_scans  # noqa: F401
+
+    def mails(ids):
+        day = lambda i: f"2024-01-01 {8 + i % 3:02d}:{i % 60:02d}:00"
+        rows = [(f"m{i}", f"Ann <ann@{'x' if i < 9 else 'evil'}.org>", f"hello number {i}", day(i)) for i in ids]
+        return spark.createDataFrame(rows, "scan_id string, sender_id string, text string, time string").selectExpr(
+            "scan_id", "sender_id", "text", "cast(time AS timestamp) AS ts", "cast(substr(scan_id, 2) AS bigint) AS arrival_seq")
+
+    from riskflow.plans.scan import senders_after
+
+    tables = feeds.seed_indicators(spark, "2024-01-01")
+    whole = {r.scan_id: (list(r.flags), r.risk_score) for r in scan(mails(range(12)), tables)[0].collect()}
+    root, got = str(tmp_path), {}
+    for batch, ids in enumerate((range(5), range(5, 9), range(9, 12))):
+        for _ in range(2 if batch == 1 else 1):  # a batch that is run again
+            known = flows.stored_senders(spark, root, batch)
+            got.update({r.scan_id: (list(r.flags), r.risk_score) for r in scan(mails(ids), tables, senders=known)[0].collect()})
+            flows.store_senders(senders_after(mails(ids), known), root, batch)
+    assert got == whole
+    assert sum("new_sender" in f for f, _ in got.values()) == 2
+    last = flows.stored_senders(spark, root)
+    assert {r.profile_key: r.message_count for r in last.profiles.collect()} == {"ann@x.org": 9, "ann@evil.org": 3}
+    assert [r.last_domain for r in last.names.collect()] == ["x.org"]

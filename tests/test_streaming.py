@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskflow.operators.admission import admit
 from riskflow.operators.dedup import debounce, ttl_dedup
-from riskflow.operators.sender_rules import with_sender_history, with_sender_signals
+from riskflow.operators.sender_rules import SenderState, sender_state, with_sender_history, with_sender_signals
 from riskflow.plans import views
 from riskflow.sources.feedback import mark_inserted
 from riskflow.streaming import flows, state
@@ -55,6 +55,54 @@ def test_sender_profile_stream(spark, messages, tmp_path):
     assert got == want and len(got) == 1000
 
 
+def test_sender_stream_from_a_snapshot_and_back(spark, messages, tmp_path):
+    cols = ["arrival_seq", "recent_count", "sender_score",
+            F.array_join("sender_flags", ",").alias("f")]
+    every = spark.read.parquet(messages)
+    half = str(tmp_path / "later")
+    every.where("arrival_seq >= 430").coalesce(1).write.parquet(half)
+    state_before = sender_state(every.where("arrival_seq < 430"))
+    for name, df in (("profiles", state_before.profiles), ("names", state_before.names)):
+        df.write.parquet(str(tmp_path / name))
+    state_before = SenderState(*(spark.read.parquet(str(tmp_path / n)) for n in ("profiles", "names")))
+    out = ["arrival_seq", "recent_count", "sender_score", "f"]
+    got = run(spark, half, lambda s: with_sender_signals(state.sender_history_stream(s, state=state_before)).select(*cols),
+              tmp_path, out)
+    want = rows_of(with_sender_signals(with_sender_history(every)), cols)
+    assert got == [r for r in want if r[0] >= 430] and len(got) == 570
+    # the stream's own state continues a batch as the batch state does
+    after = state.stream_sender_state(spark, str(tmp_path / "cp"))
+    whole = sender_state(every)
+    extra = every.withColumns({"arrival_seq": F.col("arrival_seq") + 5000, "t_us": F.col("t_us") + 10**9})
+    one, two = (rows_of(with_sender_signals(with_sender_history(extra, state=s)), cols) for s in (after, whole))
+    assert one == two
+
+
+def test_state_goes_by_event_time(spark, tmp_path):
+    """Keys unseen for longer than their rule looks back leave no state."""
+    minute, ddl = 60_000_000, "arrival_seq long, t_us long, key string, content string, scan_id string, ok boolean"
+    data = [(i, i * minute // 10, f"k{i % 50}", "c", f"k{i % 50}", True) for i in range(200)]
+    data += [(1000 + i, 10**6 * minute + i, f"late{i}", "c", f"late{i}", True) for i in range(3)]
+    root = str(tmp_path / "rows")
+    for part in (data[:200], data[200:]):
+        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(root)
+    flows_ = {
+        "ttl": lambda s: state.ttl_dedup_stream(s, "key", succeeded="ok"),
+        "admit": lambda s: state.admit_stream(s, ["key"]),
+        "debounce": lambda s: state.debounce_stream(s, "key"),
+        "votes": lambda s: state.first_votes_stream(s),
+    }
+    for name, flow in flows_.items():
+        where = tmp_path / name
+        got = run(spark, root, flow, where, ["arrival_seq"])
+        assert len(got) >= 53
+        kept = (
+            spark.read.format("statestore").option("path", str(where / "cp")).option("stateVarName", "state").load()
+        )
+        names = {r[0] for r in kept.select(F.col("key").cast("string")).collect()}
+        assert len(names) == 3 and all("late" in n for n in names), (name, names)
+
+
 def test_ttl_stream(spark, messages, tmp_path):
     got = run(spark, messages, lambda s: state.ttl_dedup_stream(s, "key", succeeded="ok"), tmp_path,
               ["arrival_seq", "accepted"])
