@@ -133,7 +133,6 @@ STRONG_ATTACHMENT_FLAGS = [
     "EXECUTABLE_ATTACHMENT", "MACRO_PRESENT", "DOUBLE_EXTENSION", "ATTACHMENT_TYPE_MISMATCH",
     "ARCHIVE_EXPANSION_ANOMALY",
 ]
-MAX_ARCHIVE_ENTRIES = 200
 MAX_UNPACKED_BYTES = 50 * 1024 * 1024
 MAX_EXPANSION_RATIO = 50.0
 OLE_MACRO_MARKERS = [

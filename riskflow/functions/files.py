@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import tarfile
 import zipfile
 
@@ -197,20 +198,24 @@ LISTING = T.StructType(
 )
 
 
-def _zip_listing(content: bytes, limit: int) -> dict:
+def _upto(items, bound: int | None):
+    return items if bound is None else itertools.islice(items, bound)
+
+
+def _zip_listing(content: bytes, bounds: dict) -> dict:
     entries = []
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             opened = 0
-            for info in archive.infolist()[:limit]:
+            for info in _upto(archive.infolist(), bounds["max_entries"]):
                 low = info.filename.lower().rstrip("/\\ ")
                 inner = None
-                nested = low.rsplit(".", 1)[-1] in dims.ARCHIVE_EXT
-                if nested:
+                if low.rsplit(".", 1)[-1] in dims.ARCHIVE_EXT:
                     opened += 1
-                    small = info.compress_size < 1_000_000
-                    if opened <= 3 and small and low.endswith(".zip"):
-                        inner = _inner_names(archive, info)
+                    few = bounds["max_inner"] is None or opened <= bounds["max_inner"]
+                    small = bounds["max_inner_bytes"] is None or info.compress_size < bounds["max_inner_bytes"]
+                    if few and small and low.endswith(".zip"):
+                        inner = _inner_names(archive, info, bounds["max_inner_names"])
                 entries.append(
                     {
                         "name": info.filename,
@@ -229,23 +234,21 @@ def _zip_listing(content: bytes, limit: int) -> dict:
     return {"kind": "zip", "error": error, "too_many": False, "entries": entries}
 
 
-def _inner_names(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> list[str] | None:
-    """Names of a zip held in a zip; reading stops at 64 MiB of unpacked bytes."""
+def _inner_names(archive: zipfile.ZipFile, info: zipfile.ZipInfo, bound: int | None) -> list[str] | None:
+    """Names of a zip held in a zip; it is read as a stream, so its size costs time but no memory."""
     try:
-        with archive.open(info) as stream:
-            data = stream.read(64 * 1024 * 1024)
-        with zipfile.ZipFile(io.BytesIO(data)) as inner:
-            return [i.filename for i in inner.infolist()[:50]]
+        with archive.open(info) as stream, zipfile.ZipFile(stream) as inner:
+            return [i.filename for i in _upto(inner.infolist(), bound)]
     except Exception:  # noqa: BLE001
         return None
 
 
-def _tar_listing(content: bytes, limit: int) -> dict:
+def _tar_listing(content: bytes, bounds: dict) -> dict:
     entries, error, too_many = [], None, False
     try:
         with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
             for member in archive:
-                if len(entries) == limit:
+                if len(entries) == bounds["max_entries"]:
                     too_many = True
                     break
                 entries.append(
@@ -258,31 +261,40 @@ def _tar_listing(content: bytes, limit: int) -> dict:
                         "inner": None,
                     }
                 )
+                archive.members = []  # the reader would keep every member
     except Exception as exc:  # noqa: BLE001
         error = f"malformed_header ({type(exc).__name__})"
     return {"kind": "tar", "error": error, "too_many": too_many, "entries": entries}
 
 
-@F.pandas_udf(LISTING)
-def _listing(content: pd.Series, zipped: pd.Series, forced: pd.Series) -> pd.DataFrame:
-    rows = []
-    for data, as_zip, as_tar in zip(content, zipped, forced):
-        row = {"kind": None, "error": None, "too_many": False, "entries": []}
-        if data is not None:
-            data = bytes(data)
-            if as_zip:
-                row = _zip_listing(data, dims.MAX_ARCHIVE_ENTRIES)
-            elif as_tar or tarfile.is_tarfile(io.BytesIO(data)):
-                row = _tar_listing(data, dims.MAX_ARCHIVE_ENTRIES)
-        rows.append(row)
-    return pd.DataFrame(rows, columns=["kind", "error", "too_many", "entries"])
+def _listing_of(bounds: dict):
+    @F.pandas_udf(LISTING)
+    def listing(content: pd.Series, zipped: pd.Series, forced: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data, as_zip, as_tar in zip(content, zipped, forced):
+            row = {"kind": None, "error": None, "too_many": False, "entries": []}
+            if data is not None:
+                data = bytes(data)
+                if as_zip:
+                    row = _zip_listing(data, bounds)
+                elif as_tar or tarfile.is_tarfile(io.BytesIO(data)):
+                    row = _tar_listing(data, bounds)
+            rows.append(row)
+        return pd.DataFrame(rows, columns=["kind", "error", "too_many", "entries"])
+
+    return listing
+
+
+#: bounds of a listing, off unless given: entries of an archive, zips in it that are opened, their
+#: packed bytes and names
+LISTING_BOUNDS = {"max_entries": None, "max_inner": None, "max_inner_bytes": None, "max_inner_names": None}
 
 
-def archive_listing(content: Column, detected: Column, declared: Column) -> Column:
+def archive_listing(content: Column, detected: Column, declared: Column, **bounds: int) -> Column:
     """Directory of a zip or tar file; null content for everything else stays in the JVM.
 
     Only candidates cross to Python: zip marks, tar marks, packed tars, a plausible
-    tar checksum field, or a tar file name.
+    tar checksum field, or a tar file name. ``bounds``: those of ``LISTING_BOUNDS``.
     """
     zipped = is_zip(content)
     forced = (
@@ -295,7 +307,7 @@ def archive_listing(content: Column, detected: Column, declared: Column) -> Colu
         & F.hex(F.substring(content, 149, 8)).rlike("^(?:20|3[0-7]|00){8}$")
     )
     candidate = F.coalesce(zipped | forced | maybe_tar, F.lit(False))
-    return _listing(
+    return _listing_of({**LISTING_BOUNDS, **bounds})(
         F.when(candidate, content),
         F.coalesce(zipped, F.lit(False)),
         F.coalesce(forced, F.lit(False)),

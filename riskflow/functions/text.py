@@ -93,8 +93,10 @@ def mostly_redacted(original: Column, redacted: Column) -> Column:
     )
 
 
-def safe_key(value: Column) -> Column:
-    return F.substring(F.regexp_replace(value, r"[^A-Za-z0-9_.()\-]", "_"), 1, 72)
+def safe_key(value: Column, max_chars: int | None = None) -> Column:
+    """Letters, digits and ``_.()-`` only; ``max_chars`` cuts longer keys."""
+    out = F.regexp_replace(value, r"[^A-Za-z0-9_.()\-]", "_")
+    return F.substring(out, 1, max_chars) if max_chars else out
 
 
 def suspicious_snippet(

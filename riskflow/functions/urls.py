@@ -102,10 +102,11 @@ def _unwrapped(text: Column) -> Column:
     return out
 
 
-def normalize_url(df: DataFrame, url: str, out: str, max_chars: int = 4096) -> DataFrame:
+def normalize_url(df: DataFrame, url: str, out: str, max_chars: int | None = None) -> DataFrame:
     """Add ``<out>`` (clean URL or null), ``<out>_warnings`` and ``<out>_error``.
 
-    ``<out>_error`` is null for an accepted URL; a null input is accepted.
+    ``<out>_error`` is null for an accepted URL; a null input is accepted. ``max_chars``
+    rejects longer ones.
     """
     p = "_nu_"
     c = lambda name: F.col(p + name)
@@ -142,7 +143,7 @@ def normalize_url(df: DataFrame, url: str, out: str, max_chars: int = 4096) -> D
     )
     error = (
         F.when(
-            F.length(F.regexp_replace(F.col(url), _BLANKS, "")) > max_chars,
+            F.length(F.regexp_replace(F.col(url), _BLANKS, "")) > (max_chars or 2**31 - 1),
             F.lit("url_exceeds_max_length"),
         )
         .when(c("text") == "", F.lit("empty_url_after_stripping"))

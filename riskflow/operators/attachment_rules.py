@@ -52,9 +52,15 @@ def pick_attachment(df: DataFrame) -> DataFrame:
     )
 
 
-def with_attachment_signals(df: DataFrame) -> DataFrame:
+def with_attachment_signals(
+    df: DataFrame, max_script_chars: int | None = None, **bounds: int
+) -> DataFrame:
     """Add ``att_flags`` (sorted), ``att_score``, ``att_confidence``, ``att_evidence``,
-    ``att_partial`` and ``att_type`` for ``att_name`` and ``att_bytes``."""
+    ``att_partial`` and ``att_type`` for ``att_name`` and ``att_bytes``.
+
+    Whole contents and archives are judged; ``max_script_chars`` bounds the look for scripts in
+    HTML, ``bounds`` the archive listing (``LISTING_BOUNDS``).
+    """
     c = lambda n: F.col("_at_" + n)
     body = F.col("att_bytes")
     df = df.withColumns(
@@ -76,7 +82,7 @@ def with_attachment_signals(df: DataFrame) -> DataFrame:
     )
     df = df.withColumn(
         "_at_list",
-        archive_listing(F.when(c("has"), body), F.col("att_type"), c("ext")),
+        archive_listing(F.when(c("has"), body), F.col("att_type"), c("ext"), **bounds),
     )
     kind, ext = F.col("att_type"), c("ext")
     office = (kind == "document/ooxml") | F.expr(in_words("_at_ext", dims.OFFICE_EXT))
@@ -120,11 +126,11 @@ def with_attachment_signals(df: DataFrame) -> DataFrame:
         F.lit("rtf_embedded_object"),
     ).when(
         (kind == "document/html")
-        & F.substring(c("txt"), 1, 16384).rlike(r"(?i)<script[\s>]|javascript:|onerror=|onload="),
+        & F.substring(c("txt"), 1, max_script_chars or 2**31 - 1).rlike(r"(?i)<script[\s>]|javascript:|onerror=|onload="),
         F.lit("html_script_tags"),
     )
     df = df.withColumns({"_at_macro": macro, "_at_script": script})
-    df = _with_archive(df)
+    df = _with_archive(df, bounds.get("max_entries"))
 
     df = df.withColumns(
         {
@@ -214,7 +220,7 @@ def with_attachment_signals(df: DataFrame) -> DataFrame:
     return df.drop(*[x for x in df.columns if x.startswith("_at_")])
 
 
-def _with_archive(df: DataFrame) -> DataFrame:
+def _with_archive(df: DataFrame, max_entries: int | None) -> DataFrame:
     """Flags and evidence found in the directory of an archive."""
     c = lambda n: F.col("_at_" + n)
     is_tar = c("list")["kind"] == "tar"
@@ -339,9 +345,9 @@ def _with_archive(df: DataFrame) -> DataFrame:
         one(dropper, sus, evidence("archive_single_payload_dropper", only["name"],
             "Archive contains a solitary executable/script payload (classic dropper format).")),
         one(c("list")["too_many"], sus, evidence("archive_entry_limit_exceeded",
-            f"entries_exceeded>{dims.MAX_ARCHIVE_ENTRIES}",
+            f"entries_exceeded>{max_entries}",
             "Archive contains excessive entries exceeding safety limit "
-            f"({dims.MAX_ARCHIVE_ENTRIES}).")),
+            f"({max_entries}).")),
         one(~ok & malformed, sus, evidence("archive_malformed", c("list")["error"],
             "Archive header is corrupted, malformed, or invalid.")),
         one(~ok & ~malformed, sus, evidence("archive_read_error", c("list")["error"],

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.functions.urls import is_ip_literal, is_public_address, with_url_parts
-from riskflow.operators.joins import dim_join, is_small
+from riskflow.operators.chains import follow
+from riskflow.operators.joins import BROADCAST_ROWS, dim_join
+from riskflow.session import cut
 
-MAX_HOPS = 6
 REDIRECT_STATUS = [301, 302, 303, 307, 308]
 
 
@@ -59,42 +60,45 @@ def hop_table(redirects: DataFrame) -> DataFrame:
     )
 
 
-def resolve_redirects(df: DataFrame, redirects: DataFrame, url: str = "url") -> DataFrame:
-    """Add ``final_url``: the end of the chain after at most six hops.
+def chain_ends(redirects: DataFrame, max_hops: int | None = None) -> tuple[DataFrame, int]:
+    """``start, end, cyclic`` of every URL that redirects, and their number.
 
-    Hops are resolved on distinct URLs, so a link shared by very many rows is
-    followed once. A target with credentials, another scheme or no host fails the
-    whole chain, and the URL stays as it was.
+    ``end`` is null where a target has credentials, another scheme or no host, or where the chain
+    never ends. With ``max_hops`` a chain is left there; the target of its last hop is not looked at.
     """
-    small = is_small(redirects)
-    hops = hop_table(redirects)
-    # only links that redirect at all take part; all other rows keep their URL
-    work = df.select(F.col(url).alias("_start")).where("_start is not null").distinct()
-    work = dim_join(
-        work, hops.select(F.col("url").alias("_start"), F.col("next_url").alias("_at")),
-        "_start", "inner", small=small,
-    ).withColumn("_ok", F.lit(True))
-    for hop in range(1, MAX_HOPS + 1):
-        p = "_pt_"
-        parts = with_url_parts(work, "_at", p)
-        fine = (
-            F.col(p + "scheme").isin("http", "https")
-            & (F.col(p + "userinfo") == "")
-            & (F.col(p + "host") != "")
-        )
-        # the target of the last hop is returned without another look at it
-        if hop == MAX_HOPS:
-            break
-        work = parts.withColumn("_ok", F.col("_ok") & fine).select("_start", "_at", "_ok")
-        step = hops.select(F.col("url").alias("_at"), F.col("next_url").alias("_next"))
-        work = dim_join(work, step, "_at", small=small).select(
-            "_start",
-            F.when(F.col("_ok"), F.coalesce("_next", "_at")).otherwise(F.col("_at")).alias("_at"),
-            "_ok",
-        )
-    ends = work.select("_start", F.when(F.col("_ok"), F.col("_at")).alias("_end"))
+    p = "_pt_"
+    c = lambda n: F.col(p + n)
+    fine = c("scheme").isin("http", "https") & (c("userinfo") == "") & (c("host") != "")
+    links = with_url_parts(hop_table(redirects), "next_url", p).select(
+        F.col("url").alias("node"), F.col("next_url").alias("next"), F.coalesce(fine, F.lit(False)).alias("ok")
+    )
+    if max_hops is None:
+        ends, total = follow(links)
+        return ends.select(
+            F.col("node").alias("start"), F.when(F.col("ok"), F.col("at")).alias("end"), "cyclic"
+        ), total
+    links = cut(links)
+    near, total = follow(links, max_hops - 1)
+    last = links.select(F.col("node").alias("at"), F.col("next").alias("_last"))
+    return near.join(last, "at", "left").select(
+        F.col("node").alias("start"),
+        F.when(F.col("ok"), F.coalesce("_last", "at")).alias("end"),
+        F.lit(False).alias("cyclic"),
+    ), total
+
+
+def resolve_redirects(
+    df: DataFrame, redirects: DataFrame, url: str = "url", max_hops: int | None = None
+) -> DataFrame:
+    """Add ``final_url``: the end of the link's redirect chain.
+
+    Chains are followed once per redirecting URL, however many rows share it. Where a chain is
+    unsafe or never ends the URL stays as it was. ``max_hops`` leaves longer chains early.
+    """
+    ends, total = chain_ends(redirects, max_hops)
+    ends = ends.where("end IS NOT NULL").select(F.col("start").alias("_start"), F.col("end").alias("_end"))
     return (
-        df.join(ends, F.col(url) == F.col("_start"), "left")
+        dim_join(df, ends, F.col(url) == F.col("_start"), small=total <= BROADCAST_ROWS)
         .withColumn("final_url", F.coalesce("_end", url))
         .drop("_start", "_end")
     )

@@ -111,15 +111,16 @@ def history_stats(history: DataFrame) -> DataFrame:
     )
 
 
-def _inbox(history: DataFrame) -> DataFrame:
-    """Mail rows among the latest 100 of all sources."""
-    latest = history.orderBy(F.desc("timestamp_millis"), F.desc("scan_id")).limit(100)
-    return latest.where(F.col("source_type").isin("gmail", "demo"))
+def _inbox(history: DataFrame, among: int | None) -> DataFrame:
+    """Mail rows, all of them or those among the latest ``among`` of all sources."""
+    if among is not None:
+        history = history.orderBy(F.desc("timestamp_millis"), F.desc("scan_id")).limit(among)
+    return history.where(F.col("source_type").isin("gmail", "demo"))
 
 
-def inbox_summary(history: DataFrame) -> DataFrame:
+def inbox_summary(history: DataFrame, among: int | None = None) -> DataFrame:
     return (
-        _inbox(history)
+        _inbox(history, among)
         .agg(
             F.count(F.lit(1)).alias("audited"),
             F.count_if(F.col("classification") != "Safe").alias("threats"),
@@ -133,5 +134,5 @@ def inbox_summary(history: DataFrame) -> DataFrame:
     )
 
 
-def inbox_latest(history: DataFrame, n: int = 5) -> DataFrame:
-    return _inbox(history).orderBy(F.desc("timestamp_millis"), F.desc("scan_id")).limit(n)
+def inbox_latest(history: DataFrame, n: int = 5, among: int | None = None) -> DataFrame:
+    return _inbox(history, among).orderBy(F.desc("timestamp_millis"), F.desc("scan_id")).limit(n)

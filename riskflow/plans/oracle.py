@@ -149,10 +149,21 @@ _REASON = "CASE flag " + " ".join(
 ) + f" ELSE CASE WHEN flag LIKE 'high_hyphen_count%' THEN {_Q(dims.REASON_HYPHENS)} END END"
 SQL["url_flag_reasons"] = f"""WITH {_URL}, f AS (SELECT unnest(flags) AS flag FROM u)
 SELECT flag, count(*) AS links, {_REASON} AS reason FROM f GROUP BY flag"""
-SQL["redirect_resolve"] = """WITH RECURSIVE r AS (SELECT page_id, page_id AS at_page, 0 AS hops FROM pages
-  UNION ALL SELECT page_id, at_page + 1, hops + 1 FROM r
-    WHERE hops < 6 AND at_page % 9 <> 0 AND at_page <= (SELECT max(page_id) FROM pages))
-SELECT page_id, concat('https://go.example.com/r/', max(at_page)) AS final_url FROM r GROUP BY page_id"""
+# 44 points at itself, 40 and 49 end a chain, the target of 46 is unsafe
+SQL["redirect_resolve"] = """WITH RECURSIVE p AS (SELECT page_id, substr(sha256(url), 1, 8) AS tag FROM pages),
+l AS (SELECT a.page_id AS i, a.page_id % 50 <> 46 AS ok,
+    CASE a.page_id % 50 WHEN 44 THEN a.page_id ELSE a.page_id + 1 END AS nxt
+  FROM p a JOIN p b ON b.page_id = a.page_id + 1 WHERE a.page_id % 50 NOT IN (40, 49)),
+r AS (SELECT page_id, page_id AS at_page, 0 AS hops, true AS ok FROM p
+  UNION ALL SELECT page_id, nxt, hops + 1, r.ok AND l.ok FROM r JOIN l ON l.i = r.at_page WHERE hops < 60),
+e AS (SELECT page_id, max(hops) AS n, arg_max(at_page, hops) AS at_page, bool_and(ok) AS ok,
+    arg_max(at_page, hops) FILTER (WHERE hops <= 6) AS at_six, coalesce(bool_and(ok) FILTER (WHERE hops <= 5), true) AS ok_six FROM r GROUP BY 1)
+SELECT e.page_id, concat('https://go.example.com/r/', f.page_id, '-', f.tag) AS final_url,
+  CASE WHEN e.ok_six AND e.at_six % 50 = 47 AND e.page_id <> e.at_six AND e.n >= 6
+      THEN concat('https://u:p@go.example.com/r/', g.page_id, '-', g.tag)
+    ELSE concat('https://go.example.com/r/', g.page_id, '-', g.tag) END AS after_six
+FROM e JOIN p f ON f.page_id = CASE WHEN e.ok AND e.n < 60 THEN e.at_page ELSE e.page_id END
+JOIN p g ON g.page_id = CASE WHEN e.ok_six THEN e.at_six ELSE e.page_id END"""
 _A = lambda i: f"string_split(address, '.')[{i}]::INT"
 SQL["public_address"] = f"""WITH a AS (SELECT event_id, concat_ws('.', event_id % 256, (event_id * 7) % 256, user_id % 256, 1) AS address FROM events)
 SELECT event_id, NOT ({_A(1)} IN (0, 10, 127) OR {_A(1)} >= 224 OR ({_A(1)} = 100 AND {_A(2)} BETWEEN 64 AND 127)
@@ -180,7 +191,47 @@ x AS (SELECT doc_id, least(0.35 * ({" + ".join(f"(len(h_{c}) > 0)::INT" for c in
     list_concat(h_account_suspension, h_prize_lottery)), h_unusual_payment))) AS phrases FROM x3)"""
 SQL["text_signals"] = f"""WITH {_TEXT} SELECT doc_id, round(score, 4)::DOUBLE AS text_score,
   array_to_string(flags, ',') AS flags, array_to_string(phrases, ',') AS phrases FROM x"""
-SQL["safe_keys"] = """SELECT page_id, substr(regexp_replace(url, '[^A-Za-z0-9_.()\\-]', '_', 'g'), 1, 72) AS key FROM pages"""
+_WS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _re(value: str, *pairs: tuple[str, str]) -> str:
+    """Nested global replacements."""
+    for pattern, new in pairs:
+        value = "regexp_replace({}, '{}', '{}', 'g')".format(value, pattern.replace("'", "''"), new)
+    return value
+
+
+_CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+_BLANKS = r"[ \t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_NEWLINE = chr(10)
+# the texts hold no character whose NFKC and NFC forms differ
+_NORMAL = _re("nfc_normalize(text)", (_CONTROLS, ""), (r"\r\n?", _NEWLINE), (_BLANKS, " "), (r" ?\n ?", _NEWLINE),
+              (r"\n{3,}", _NEWLINE * 2), (r"^[ \n]+|[ \n]+$", ""))
+SQL["text_normalize"] = f"""SELECT doc_id, nullif({_NORMAL}, '') AS text,
+  CASE WHEN regexp_matches(text, '{_CONTROLS}') THEN 'control_characters_stripped' ELSE '' END AS warnings FROM ({v.view_sql(v.TEXT)})"""
+# no look-around here: the mark of a code and the ends of a number are matched with it
+_SECRET = (r"(?i)\b(password|passcode|otp|one[- ]time code|verification code|login code|security code|auth(?:entication)? code"
+           r"|pin|cvv|cvc|token|api key)\b\s*(?:(?:is\s+|[:=]\s*)[^\s,;]+|\s*\d{3}[^\s,;]*)")
+_PHONE = (r"(^|\W)\+?\d[\d ().-]{6,}\d($|\W)", r"\1[number]\2")
+_TRIM = (f"^{_WS}+|{_WS}+$", "")
+_REDACTED = _re("text", (_SECRET, r"\1: [redacted]"), (dims.REDACT_URL, "[link]"), (dims.REDACT_EMAIL, "[address]"), _PHONE, _PHONE,
+                (dims.REDACT_TOKEN, "[redacted]"), (dims.REDACT_DIGITS, "[number]"), (r"[\x00-\x08\x0b-\x1f]", ""), _TRIM)
+SQL["redact_text"] = f"SELECT doc_id, {_REDACTED} AS redacted FROM ({v.view_sql(v.LINK_TEXT)})"
+SQL["mostly_redacted"] = f"""SELECT doc_id, length(trimmed) = 0 OR length(left_over) < length(trimmed) * 0.5 AS mostly FROM (
+  SELECT doc_id, {_re("text", _TRIM)} AS trimmed, {_re(_REDACTED, (r"\[(?:redacted|link|address|number)\]", ""), _TRIM)} AS left_over
+  FROM ({v.view_sql(v.LINK_TEXT)}))"""
+_REF = "(?i)&(#x[0-9a-f]+|#[0-9]+|amp|lt|gt|quot|apos|nbsp);"
+_LINK = r"""(?is)<a\b[^>]*href\s*=\s*(?:"(.*?)"|'(.*?)')[^>]*>(.*?)</a>"""
+_STRIPPED = _re("html", (r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>", " "), (_LINK, r"\3 \1\2"),
+                (r"(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6])\s*>", _NEWLINE), (r"(?s)<[^>]*>", " "))
+_CHAR = """CASE lower(z[2]) WHEN '' THEN '' WHEN 'amp' THEN '&' WHEN 'lt' THEN '<' WHEN 'gt' THEN '>' WHEN 'quot' THEN '"'
+  WHEN 'apos' THEN chr(39) WHEN 'nbsp' THEN ' '
+  ELSE chr(CASE WHEN lower(z[2]) LIKE '#x%' THEN concat('0x', substr(z[2], 3)) ELSE substr(z[2], 2) END::INT) END"""
+SQL["html_to_text"] = f"""SELECT page_id, {_re("t", (r"[\t\r ]+", " "), (r" *\n *", _NEWLINE), _TRIM)} AS text FROM (
+  SELECT page_id, array_to_string(list_transform(list_zip(string_split_regex(s, '{_REF}'),
+    list_append(regexp_extract_all(s, '{_REF}', 1), '')), lambda z: concat(z[1], {_CHAR})), '') AS t
+  FROM (SELECT page_id, {_STRIPPED} AS s FROM pages))"""
+SQL["safe_keys"] = """SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.()\\-]', '_', 'g') AS key FROM pages"""
 _R = [
     (dims.REDACT_SECRET.replace(r"\s*(?=\d{3,})", r"\s*").replace(r"|\s*)[^", r")[^"), "\\1: [redacted]"),
     (dims.REDACT_URL, "[link]"), (dims.REDACT_EMAIL, "[address]"),
@@ -281,6 +332,50 @@ SELECT doc_id, CASE WHEN h IS NULL THEN 0.0 ELSE round((bad + odd) / (bad + odd
   CASE WHEN h IS NULL THEN 0.0 ELSE 0.9 END::DOUBLE AS confidence, CASE WHEN h IS NULL THEN 'error' ELSE 'success' END AS status,
   array_to_string({_flags([("vt_malicious", "bad > 0"), ("vt_suspicious", "odd > 0")])}, ',') AS flags
 FROM documents LEFT JOIN r ON sha256(text) = r.h"""
+_EXT_IN = lambda names, ext="ext": f"{ext} IN (" + ", ".join(f"'{n}'" for n in names) + ")"
+_PAYLOAD = _EXT_IN([e for e in dims.DANGEROUS_EXT if e not in dims.ARCHIVE_EXT])
+_FINDING = lambda cond, key, value, runs="NULL": f"CASE WHEN {cond} THEN {{'key': '{key}', 'value': {value}, 'runs': {runs}}} END"
+_RUNS = f"CASE WHEN {_EXT_IN(dims.EXECUTABLE_EXT)} THEN 'EXECUTABLE_ATTACHMENT' ELSE 'SCRIPT_ATTACHMENT' END"
+_ARCHIVE_FLAG = {
+    "SUSPICIOUS_ARCHIVE": "bool_or(key IN ('archive_path_traversal', 'archive_encrypted_entry', 'archive_contained_double_extension', 'archive_contained_payload',"
+    " 'nested_archive_payload', 'archive_single_payload_dropper', 'archive_entry_limit_exceeded'))",
+    "ARCHIVE_DEPTH_ANOMALY": "bool_or(key = 'archive_depth_anomaly')", "NESTED_ARCHIVE": "bool_or(key = 'nested_archive')",
+    "DOUBLE_EXTENSION": "bool_or(key = 'archive_contained_double_extension')", "ARCHIVE_EXPANSION_ANOMALY": "bool_or(key = 'archive_expansion_anomaly')",
+    "EXECUTABLE_ATTACHMENT": "bool_or(coalesce(runs, '') = 'EXECUTABLE_ATTACHMENT')", "SCRIPT_ATTACHMENT": "bool_or(coalesce(runs, '') = 'SCRIPT_ATTACHMENT')",
+}
+SQL["archive_rules"] = f"""WITH RECURSIVE e AS (SELECT *, regexp_extract(name, '[^/\\\\]*$') AS base, lower(regexp_extract(name, '[^./\\\\]*$')) AS ext,
+  len(regexp_extract_all(name, '[/\\\\]')) + 1 AS steps FROM ({v.ENTRIES_SQL})),
+lv AS (SELECT file_id, entry_id, 1 AS level FROM e WHERE parent_id IS NULL
+  UNION ALL SELECT e.file_id, e.entry_id, lv.level + 1 FROM lv JOIN e ON e.file_id = lv.file_id AND e.parent_id = lv.entry_id),
+st AS (SELECT file_id, parent_id, min(entry_id) AS stop FROM e WHERE parent_id IS NOT NULL AND {_EXT_IN(dims.ARCHIVE_EXT)} GROUP BY ALL),
+x AS (SELECT e.*, lv.level, lv.level > 1 AND (stop IS NULL OR e.entry_id <= stop) AS seen
+  FROM e JOIN lv USING (file_id, entry_id) LEFT JOIN st ON st.file_id = e.file_id AND st.parent_id = e.parent_id),
+f AS (SELECT file_id, entry_id, unnest([
+  {_FINDING("level = 1 AND name LIKE '../%'", "archive_path_traversal", "base")},
+  {_FINDING("level = 1 AND encrypted", "archive_encrypted_entry", "base")},
+  {_FINDING("level = 1 AND steps > 5", "archive_depth_anomaly", "concat('depth=', steps)")},
+  {_FINDING("level = 1 AND regexp_matches(base, '[.](pdf|doc)[.](exe|iso)$')", "archive_contained_double_extension", "base")},
+  {_FINDING("level = 1 AND " + _PAYLOAD, "archive_contained_payload", "concat(base, ' (.', ext, ')')", _RUNS)},
+  {_FINDING("level = 1 AND " + _EXT_IN(dims.ARCHIVE_EXT), "nested_archive", "base")},
+  {_FINDING("seen AND " + _EXT_IN(dims.ARCHIVE_EXT), "archive_depth_anomaly", "concat('nested_level_', level, ' (', base, ')')")},
+  {_FINDING("seen AND " + _PAYLOAD, "nested_archive_payload", "base", _RUNS)}]) AS x FROM x),
+s AS (SELECT file_id, bool_or(kind = 'tar') AS tar, count(*) AS n, sum(size)::BIGINT AS total, sum(packed)::BIGINT AS packed,
+  count(*) FILTER (WHERE NOT is_dir) AS files, arg_min(base, entry_id) FILTER (WHERE NOT is_dir) AS only_one,
+  arg_min(ext, entry_id) FILTER (WHERE NOT is_dir) AS ext FROM e WHERE parent_id IS NULL GROUP BY file_id),
+w AS (SELECT file_id, NULL AS entry_id, unnest([
+  {_FINDING("tar AND total > 52428800", "archive_expansion_anomaly", "concat('uncompressed=', total, 'B')")},
+  {_FINDING("NOT tar AND (total > 52428800 OR (total > 1000000 AND total / greatest(packed, 1) > 50))", "archive_expansion_anomaly",
+            "concat('ratio=', format('{:.1f}', total / greatest(packed, 1)), ':1, uncompressed=', total, 'B')")},
+  {_FINDING("files = 1 AND " + _EXT_IN(dims.DANGEROUS_EXT) + " AND NOT (tar AND n > 40)", "archive_single_payload_dropper", "only_one")},
+  {_FINDING("tar AND n > 40", "archive_entry_limit_exceeded", "'entries_exceeded>40'")}]) AS x FROM s),
+a AS (SELECT file_id, entry_id, x.key AS key, x.value AS value, x.runs AS runs FROM (SELECT * FROM f UNION ALL SELECT * FROM w) WHERE x IS NOT NULL),
+g AS (SELECT file_id, key, count(*) AS c, arg_min(value, coalesce(entry_id, 0)) AS value FROM a GROUP BY ALL),
+gg AS (SELECT file_id, array_to_string(list_sort(list(concat(key, '=', c, ':', value))), '; ') AS findings FROM g GROUP BY file_id),
+h AS (SELECT file_id, {", ".join(f"{c} AS {n}" for n, c in _ARCHIVE_FLAG.items())} FROM a GROUP BY file_id)
+SELECT t.file_id, t.entries, coalesce(array_to_string(list_sort({_flags([(n, n) for n in _ARCHIVE_FLAG])}), ','), '') AS flags,
+  least({" + ".join(f"CASE WHEN {n} THEN {dims.ATTACHMENT_WEIGHTS[n]} ELSE 0 END" for n in _ARCHIVE_FLAG)}, 85.0)::DOUBLE AS score,
+  coalesce(findings, '') AS findings
+FROM (SELECT file_id, count(*) AS entries FROM e GROUP BY file_id) t LEFT JOIN h USING (file_id) LEFT JOIN gg USING (file_id)"""
 _FILE = {  # doc_id % 16 -> type, flags
     0: ("document/pdf", []), 1: ("executable/pe", ["DOUBLE_EXTENSION", "EXECUTABLE_ATTACHMENT", "SUSPICIOUS_FILENAME"]),
     2: ("unknown", []), 3: ("unknown", ["SCRIPT_ATTACHMENT", "SUSPICIOUS_FILENAME"]), 4: ("unknown", ["MACRO_PRESENT"]),
@@ -363,6 +458,15 @@ t3 AS (SELECT *, least(100, CASE WHEN ip THEN 35 ELSE 0 END + CASE WHEN at_sign
 _TCLASS = "CASE WHEN risk_score >= 80 THEN 'Phishing' WHEN risk_score >= 50 THEN 'Deceptive' WHEN risk_score >= 25 THEN 'Suspicious' ELSE 'Safe' END"
 SQL["triage_verdict"] = f"""WITH {_TRIAGE}, t4 AS (SELECT *, least(100, greatest(us, ts) + CASE WHEN us >= 40 AND ts >= 40 THEN 15 ELSE 0 END)::DOUBLE AS risk_score FROM t3)
 SELECT page_id, risk_score, {_TCLASS} AS classification, array_to_string(flags, ',') AS flags FROM t4"""
+_SCANS = f"""SELECT concat('00000000-0000-4000-8000-', lpad(d.doc_id::VARCHAR, 12, '0')) AS scan_id, d.doc_id, 1704067200 + d.doc_id * 30 AS sec,
+  d.text, u.url FROM ({v.view_sql(v.TEXT)}) d LEFT JOIN ({v.view_sql(v.SCAN_URLS)}) u ON u.page_id = d.doc_id"""
+_FIRST_LINK = "regexp_extract(text, '(?i)https?://[^\\s<>\"'']+')"
+SQL["history_records"] = "WITH " + _TRIAGE.replace(
+    "t0 AS (SELECT page_id, url, text FROM u0 LEFT JOIN d0 ON doc_id = page_id)",
+    f"t0 AS (SELECT scan_id, sec, coalesce(url, nullif(regexp_replace({_FIRST_LINK}, '[.,;!)\\]}}]+$', ''), '')) AS url, text FROM ({_SCANS}))",
+) + f""", t4 AS (SELECT *, least(100, greatest(coalesce(us, 0), ts) + CASE WHEN us >= 40 AND ts >= 40 THEN 15 ELSE 0 END)::DOUBLE AS risk_score FROM t3)
+SELECT scan_id, (sec * 1000)::BIGINT AS timestamp_millis, 'gmail' AS source_type, {_TCLASS} AS classification, risk_score,
+  array_to_string(flags, ',') AS flags FROM t4"""
 SQL["verdict_with_fallback"] = f"""WITH {_TRIAGE}, t4 AS (SELECT page_id, us::DOUBLE AS risk_score FROM t3),
 t5 AS (SELECT page_id, risk_score, {_TCLASS} AS cls, page_id % 3 = 0 AND page_id % 30 <> 0 AS full_one FROM t4)
 SELECT page_id, CASE WHEN full_one THEN (page_id % 100)::DOUBLE ELSE risk_score END AS risk_score,
@@ -398,7 +502,7 @@ SQL["history_stats"] = f"WITH {_HIST} SELECT count(*) AS total, count(*) FILTER
 SQL["history_feedback_state"] = f"""WITH {_HIST} SELECT CASE timestamp_millis % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' END AS feedback_state,
   count(*) AS scans FROM hs GROUP BY 1"""
 SQL["history_delete"] = f"WITH {_HIST} SELECT source_type, count(*) AS scans FROM hs WHERE source_type <> 'share' GROUP BY 1"
-_INBOX = f"{_HIST}, ib AS (SELECT * FROM (SELECT * FROM hs ORDER BY timestamp_millis DESC, scan_id DESC LIMIT 100) WHERE source_type IN ('gmail', 'demo'))"
+_INBOX = f"{_HIST}, ib AS (SELECT * FROM hs WHERE source_type IN ('gmail', 'demo'))"
 SQL["inbox_summary"] = f"""WITH {_INBOX}, c AS (SELECT count(*) AS audited, count(*) FILTER (classification <> 'Safe') AS threats FROM ib)
 SELECT *, CASE WHEN audited = 0 THEN 100 ELSE greatest(0, 100 - threats * 25) END::BIGINT AS integrity FROM c"""
 SQL["inbox_latest"] = f"WITH {_INBOX} SELECT * FROM ib ORDER BY timestamp_millis DESC, scan_id DESC LIMIT 5"

@@ -42,7 +42,7 @@ def _r4(column) -> Column:
 
 # ------------------------------------------------------------------ links
 def url_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    out = urls.normalize_url(views.view(spark, sf, views.RAW_URLS), "url", "clean")
+    out = urls.normalize_url(views.view(spark, sf, views.RAW_URLS), "url", "clean", max_chars=4096)
     return out.select(
         "page_id", "clean", _joined("clean_warnings").alias("warnings"),
         F.col("clean_error").alias("error"),
@@ -115,17 +115,29 @@ def url_domain_age(spark, sf):
     return df.select("page_id", F.col("domain_age").cast("bigint").alias("domain_age"))
 
 
-def redirect_resolve(spark, sf):
-    pages = views.table(spark, sf, "pages").select("page_id", "url")
-    hop = pages.where("page_id % 9 <> 0").select(
-        F.concat(F.lit("https://go.example.com/r/"), "page_id").alias("url"),
-        F.lit(302).alias("status"),
-        F.concat(F.lit("/r/"), (F.col("page_id") + 1).cast("string")).alias("location"),
+def _hops(spark, sf):
+    """Redirects between the pages: chains of 40 hops, a circle, a target with credentials, relative targets."""
+    pages = views.table(spark, sf, "pages").select("page_id", F.sha2("url", 256).substr(1, 8).alias("tag"))
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("tag").alias("to"))
+    host = "https://go.example.com"
+    return pages.join(after, "page_id").selectExpr(
+        f"concat('{host}/r/', page_id, '-', tag) AS url",
+        "if(page_id % 50 = 49, 404, if(page_id % 2 = 0, 302, 308)) AS status",
+        f"""CASE WHEN page_id % 50 = 40 THEN '' WHEN page_id % 50 = 46 THEN concat('https://u:p@go.example.com/r/', page_id + 1, '-', to)
+          WHEN page_id % 50 = 44 THEN concat('{host}/r/', page_id, '-', tag)
+          WHEN page_id % 3 = 0 THEN concat('../r/./', page_id + 1, '-', to) WHEN page_id % 3 = 1 THEN concat('/r/', page_id + 1, '-', to)
+          ELSE concat('{host}/r/', page_id + 1, '-', to) END AS location""",
     )
-    starts = pages.select(
-        "page_id", F.concat(F.lit("https://go.example.com/r/"), "page_id").alias("start_url")
+
+
+def redirect_resolve(spark, sf):
+    starts = views.table(spark, sf, "pages").selectExpr(
+        "page_id", "concat('https://go.example.com/r/', page_id, '-', substr(sha2(url, 256), 1, 8)) AS start_url"
     )
-    return redirects.resolve_redirects(starts, hop, "start_url").select("page_id", "final_url")
+    hops = _hops(spark, sf)
+    whole = redirects.resolve_redirects(starts, hops, "start_url")
+    six = redirects.resolve_redirects(whole.withColumnRenamed("final_url", "end_url"), hops, "start_url", max_hops=6)
+    return six.selectExpr("page_id", "end_url AS final_url", "final_url AS after_six")
 
 
 def public_address(spark, sf):
@@ -338,6 +350,19 @@ def attachment_rule_flags(spark, sf):
                      _joined("att_flags").alias("flags"))
 
 
+def archive_rules(spark, sf):
+    """Archives whose entries are the lines of the documents, nested ones included."""
+    from riskflow.operators import archive_rules as rules
+
+    entries = views.archive_entries(spark, sf)
+    found = rules.archive_findings(entries, max_entries=40).groupBy("file_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "key", F.concat_ws(":", "count", "value")))), "; ").alias("findings")
+    )
+    return rules.archive_verdicts(entries, max_entries=40).join(found, "file_id", "left").select(
+        "file_id", "entries", _joined("flags").alias("flags"), "score", F.coalesce("findings", F.lit("")).alias("findings")
+    )
+
+
 def file_type_check(spark, sf):
     df = _file_rows(spark, sf)
     return df.select(
@@ -498,7 +523,7 @@ def scan_gate(spark, sf):
     rows = views.view(spark, sf, views.RAW_URLS).select(
         F.col("page_id").cast("string").alias("scan_id"), "url"
     )
-    out = scans.preprocess(rows)
+    out = scans.preprocess(rows, max_url=4096)
     return out.select("scan_id", "prep_status", "prep_error", _joined("prep_warnings").alias("warnings"))
 
 
@@ -799,6 +824,7 @@ QUERIES = {
     "file_reports": file_reports,
     "attachment_rules": attachment_rule_flags,
     "file_type_check": file_type_check,
+    "archive_rules": archive_rules,
     "payload_decode": payload_decode,
     "visual_rules": image_rules,
     "fuse_verdict": fuse_verdict,

@@ -138,6 +138,21 @@ FILES = ("documents", {
       ELSE '' END, text)""",
 })
 
+# every line of a document is an entry; its digest decides what kind
+ENTRY_NAME = """concat(CASE substr(h, 2, 1) WHEN '0' THEN '../' WHEN '1' THEN 'a/b/c/d/e/' WHEN '2' THEN 'dir\\\\' ELSE '' END, 'f', substr(h, 8, 5),
+  CASE substr(h, 1, 1) WHEN '0' THEN '.pdf.exe' WHEN '1' THEN '.sh' WHEN '2' THEN '.zip' WHEN '3' THEN '.zip' WHEN '4' THEN '.JS'
+  WHEN '5' THEN '.tar' WHEN '6' THEN '.dll' WHEN '7' THEN '' WHEN '8' THEN '.doc.iso' ELSE '.txt' END)"""
+ENTRY_COLUMNS_SPARK = [
+    "doc_id AS file_id", "pos AS entry_id",
+    "CASE WHEN substr(before, 1, 1) IN ('2', '3') AND substr(h, 3, 1) < '8' THEN pos - 1 END AS parent_id",
+    "CASE WHEN doc_id % 3 = 0 THEN 'tar' ELSE 'zip' END AS kind", f"{ENTRY_NAME} AS name",
+    "cast(n * 1000 AS bigint) AS size", "cast(CASE WHEN substr(h, 4, 1) = '0' THEN n ELSE n * 15 END AS bigint) AS packed",
+    "substr(h, 5, 1) = '0' AS is_dir", "substr(h, 6, 1) = '0' AS encrypted",
+]
+ENTRIES_SQL = f"""SELECT {", ".join(ENTRY_COLUMNS_SPARK)} FROM (SELECT *, lag(h) OVER (PARTITION BY doc_id ORDER BY pos) AS before
+  FROM (SELECT doc_id, pos, md5(l[pos + 1]) AS h, length(l[pos + 1]) AS n
+    FROM (SELECT doc_id, l, unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))))""".replace("\\\\", "\\")
+
 _FEEDBACK = {
     "arrival_seq": "d.doc_id + r.k * 1000000",
     "scan_id": "concat('00000000-0000-4000-8000-', lpad(cast(d.doc_id AS STRING), 12, '0'))",
@@ -187,6 +202,14 @@ FEED_URLS_SQL = """SELECT url, min(regexp_extract(url, '://([^/?#]*)', 1)) AS do
   FROM pages WHERE page_id % 25 = 9 GROUP BY url"""
 
 
+def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").selectExpr("doc_id", "posexplode(split(text, '\n')) AS (pos, line)")
+    hashed = lines.selectExpr("doc_id", "pos", "md5(line) AS h", "length(line) AS n").selectExpr(
+        "*", "lag(h) OVER (PARTITION BY doc_id ORDER BY pos) AS before"
+    )
+    return hashed.selectExpr(*ENTRY_COLUMNS_SPARK)
+
+
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").alias("d")
     labels = table(spark, sf_dir, "labels").alias("l")

@@ -11,9 +11,6 @@ from riskflow.functions.text import nfkc, normalize_text
 from riskflow.functions.urls import normalize_url
 from riskflow.schemas import SCAN_REQUESTS, SCANS
 
-MAX_BYTES = 10 * 1024 * 1024
-MAX_ENCODED = ((MAX_BYTES + 2) // 3) * 4 + 64
-
 
 def read_scan_requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """JSON lines with the scan fields; unreadable lines carry ``_corrupt``."""
@@ -25,8 +22,12 @@ def read_scan_requests(spark: SparkSession, path: str, stream: bool = False) ->
     )
 
 
-def decode_payload(value: Column) -> tuple[Column, Column]:
-    """(bytes, error) of a base64 text in the standard or URL-safe alphabet."""
+def decode_payload(value: Column, max_bytes: int | None = None) -> tuple[Column, Column]:
+    """(bytes, error) of a base64 text in the standard or URL-safe alphabet.
+
+    ``max_bytes`` rejects larger payloads; by default there is no bound.
+    """
+    max_encoded = 2**31 - 1 if max_bytes is None else ((max_bytes + 2) // 3) * 4 + 64
     compact = F.regexp_replace(value, r"(?U)\s+", "")
     size = F.length(compact)
     alphabet = compact.rlike(r"^[A-Za-z0-9+/=_\-]*$")
@@ -35,7 +36,7 @@ def decode_payload(value: Column) -> tuple[Column, Column]:
     shape = padded.rlike(r"^[A-Za-z0-9+/]*={0,2}$")
     content = F.when(shape, F.try_to_binary(padded, F.lit("base64")))
     error = (
-        F.when(size > MAX_ENCODED, F.lit("exceeds the maximum supported encoded size."))
+        F.when(size > max_encoded, F.lit("exceeds the maximum supported encoded size."))
         .when(~alphabet, F.lit("must be base64-encoded when sent as a string."))
         .when((size > 0) & content.isNull(), F.lit("must be valid base64 when sent as a string."))
     )
@@ -134,18 +135,20 @@ def preprocess(
     max_name: int | None = None,
     max_headers: int | None = None,
     max_hops: int | None = None,
+    max_bytes: int | None = None,
+    max_url: int | None = None,
 ) -> DataFrame:
     """Normalize scan rows and add ``prep_status``, ``prep_error`` and ``prep_warnings``.
 
     Rejected rows keep their values; callers route them aside instead of scoring.
-    ``sender_raw`` keeps the sender with its display name. The bounds on text, file name,
-    headers and received hops are off unless given.
+    ``sender_raw`` keeps the sender with its display name. The bounds on text, URL, file
+    name, headers, received hops and file bytes are off unless given.
     """
     first = lambda items, n: F.slice(items, 1, n) if n else items
     df = complete_scans(df)
     raw_any = _scannable(df)
     df = df.withColumns({"_pp_any": raw_any, "_pp_text": normalize_text(F.col("text"), max_chars)})
-    df = normalize_url(df, "url", "_pp_url")
+    df = normalize_url(df, "url", "_pp_url", max_url)
     name, name_warnings = normalize_file_name(F.col("file_name"), max_name)
     df = df.withColumns({"_pp_name": name, "_pp_name_w": name_warnings})
     headers = F.map_from_entries(
@@ -161,7 +164,7 @@ def preprocess(
             ),
         )
     )
-    too_big = F.coalesce(F.octet_length("file_bytes") > MAX_BYTES, F.lit(False))
+    too_big = F.coalesce(F.octet_length("file_bytes") > (max_bytes or 2**31 - 1), F.lit(False))
     warnings = F.concat(
         F.col("_pp_text.warnings"),
         F.col("_pp_url_warnings"),

@@ -222,7 +222,7 @@ def test_attachments(spark):
         "noname": (b"", []),
     }
     df = spark.createDataFrame([(n, b) for n, (b, _) in cases.items()], "att_name string, att_bytes binary")
-    rows = {r.att_name: r for r in ar.with_attachment_signals(df).withColumn("r", ar.attachment_result()).collect()}
+    rows = {r.att_name: r for r in ar.with_attachment_signals(df, max_entries=200).withColumn("r", ar.attachment_result()).collect()}
     assert {n: r.att_flags for n, r in rows.items()} == {n: f for n, (_, f) in cases.items()}
     assert rows["bad.zip"].r.status == "partial" and rows["plain.gz"].r.status == "partial"
     assert rows["bill.pdf.exe"].att_score == 85.0 and rows["bill.pdf.exe"].att_confidence == 0.95
@@ -362,8 +362,15 @@ def test_redirects(spark):
     hops += [(f"http://l.x/{i}", 302, f"/{i + 1}") for i in range(10)]
     starts = ["http://a.x/1", "http://c.x/", "http://10.0.0.1/", "http://f.x/d/e", "http://h.x/", "http://l.x/0", None]
     df = spark.createDataFrame([(s,) for s in starts], "url string")
-    got = {r.url: r.final_url for r in rd.resolve_redirects(
-        df, spark.createDataFrame(hops, "url string, status int, location string")).collect()}
+    hops += [("http://z.x/a", 302, "/b"), ("http://z.x/b", 302, "/c"), ("http://z.x/c", 302, "/b")]
+    table = spark.createDataFrame(hops, "url string, status int, location string")
+    df = df.unionByName(spark.createDataFrame([("http://z.x/a",)], "url string"))
+    got = {r.url: r.final_url for r in rd.resolve_redirects(df, table).collect()}
+    assert (got["http://l.x/0"], got["http://z.x/a"]) == ("http://l.x/10", "http://z.x/a")
+    ends = {r.start: (r.end, r.cyclic) for r in rd.chain_ends(table)[0].collect()}
+    assert ends["http://z.x/a"] == ends["http://z.x/b"] == (None, True) and ends["http://c.x/"] == (None, False)
+    got = {r.url: r.final_url for r in rd.resolve_redirects(df, table, max_hops=6).collect()}
+    assert got.pop("http://z.x/a") == "http://z.x/c"
     assert got == {"http://a.x/1": "http://b.x/", "http://c.x/": "http://c.x/", "http://10.0.0.1/": "http://10.0.0.1/",
                    "http://f.x/d/e": "http://f.x/g", "http://h.x/": "http://h.x/", "http://l.x/0": "http://l.x/6", None: None}
 
