@@ -424,6 +424,31 @@ SQL["fuse_long"] = f"""WITH {_TWO} SELECT doc_id,
 SQL["verdict_by_profile"] = f"""WITH {_TWO}, p AS (SELECT ['default', ' STRICT ', 'enterprise', 'other'][doc_id % 4 + 1] AS profile, risk_score FROM fz)
 SELECT profile, CASE trim(profile) WHEN 'STRICT' THEN {_CLASS(15, 35, 55, 80)} WHEN 'enterprise' THEN {_CLASS(10, 30, 50, 75)}
   ELSE {_CLASS(20, 45, 70, 90)} END AS classification, count(*) AS scans FROM p GROUP BY ALL"""
+# every document as a full scan: link, text, header, sender and attachment results fused
+_FULL = f"""{_TWO}, sc AS (SELECT d.doc_id, d.doc_id % 10 = 0 AS att, d.doc_id % 20 = 0 AS spf, s.page_id IS NOT NULL AS linked,
+    (1704067200 + d.doc_id * 30) // 3600 % 24 AS hr, concat(d.doc_id % 3, '/', d.doc_id % 50) AS k FROM documents d LEFT JOIN s ON s.page_id = d.doc_id),
+sn AS (SELECT *, count(*) OVER p AS n, coalesce(sum(linked::INT) OVER p, 0) AS links, coalesce(sum(att::INT) OVER p, 0) AS files,
+    count(*) OVER (PARTITION BY k, hr ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same
+  FROM sc WINDOW p AS (PARTITION BY k ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sf AS (SELECT *, n = 0 AS f_new, n > 5 AND same = 0 AS f_hour, linked AND links = 0 AND n > 3 AS f_link, att AND files = 0 AND n > 3 AS f_file FROM sn),
+ew AS (SELECT two.*, sf.*, CASE WHEN att THEN 0.75 * 0.95 ELSE 0 END AS aw, CASE WHEN spf THEN 40 ELSE 0 END AS hs,
+    CASE WHEN spf THEN 0.8 ELSE 1.0 END * 0.75 AS hw, CASE WHEN f_new THEN 0.5 ELSE 0.8 END * 0.6 AS sw,
+    least(CASE WHEN f_new THEN 0.2 ELSE 0 END + CASE WHEN f_hour THEN 0.2 ELSE 0 END + CASE WHEN f_link THEN 0.3 ELSE 0 END
+      + CASE WHEN f_file THEN 0.3 ELSE 0 END, 1.0) * 100 AS ss, coalesce(uc * ur, 0) AS uw FROM two JOIN sf USING (doc_id)),
+fv AS (SELECT *, round((85 * aw + hs * hw + ts * 0.65 * 0.8 + ss * sw + coalesce(us, 0) * uw) / (aw + hw + 0.65 * 0.8 + sw + uw), 2)::DOUBLE AS risk_score,
+    round(least(1.0, (aw + hw + 0.65 * 0.8 + sw + uw) / (CASE WHEN att THEN 0.75 ELSE 0 END + 0.75 + 0.8 + 0.6 + ur)), 4)::DOUBLE AS confidence,
+    list_sort(list_distinct(list_concat(list_concat(tf, coalesce(uf, []::VARCHAR[])), {_flags([
+        ("DOUBLE_EXTENSION", "att"), ("EXECUTABLE_ATTACHMENT", "att"), ("SUSPICIOUS_FILENAME", "att"), ("SPF_FAILURE", "spf"),
+        ("AUTHENTICATION_FAILURE", "spf"), ("new_sender", "f_new"), ("unusual_time", "f_hour"), ("out_of_character_link", "f_link"),
+        ("out_of_character_file", "f_file")])}))) AS fl FROM ew)"""
+SQL["scan_assessments"] = f"""WITH {_FULL}, v AS (SELECT *, {_CLASS(20, 45, 70, 90)} AS cls FROM fv)
+SELECT concat('00000000-0000-4000-8000-', lpad(doc_id::VARCHAR, 12, '0')) AS scan_id, risk_score, cls AS classification, confidence,
+  CASE cls WHEN 'Safe' THEN {_Q(dims.ACTION_NO_MALWARE_SCAN)} {" ".join(f"WHEN {_Q(k)} THEN {_Q(a)}" for k, a in dims.ACTIONS.items() if k != "Safe")} END
+    AS recommended_action, array_to_string(fl, ',') AS flags, 7::BIGINT AS total_engines,
+  (CASE WHEN att THEN 1 ELSE 3 END + CASE WHEN linked THEN 0 ELSE 1 END)::BIGINT AS skipped_engines,
+  array_to_string(list_sort({_flags([("attachment_behavior_engine", "att"), ("header_analysis_engine", "true"), ("nlp_engine", "true"),
+                                     ("sender_engine", "true"), ("url_engine", "linked")])}), ',') AS used,
+  CASE WHEN att THEN 'malware scan unavailable: VIRUSTOTAL_API_KEY_NOT_CONFIGURED' ELSE '' END AS warnings FROM v"""
 SQL["verdict_counts"] = f"""WITH {_SCORED}, z AS (SELECT round(score, 2) AS risk_score FROM s)
 SELECT {_CLASS(20, 45, 70, 90)} AS classification, count(*) AS links, round(avg(risk_score), 4)::DOUBLE AS mean_score FROM z GROUP BY 1"""
 _NLP_REASON = lambda f: f"concat('Natural language processing found signs of ', replace(replace({f}, 'nlp_', ''), '_', ' '), '.')"

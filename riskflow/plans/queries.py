@@ -492,12 +492,25 @@ def _scan_rows(spark, sf):
     )
 
 
-def scan_verdicts(spark, sf):
+def _scanned(spark, sf):
     tables = Indicators(
         feeds.seed_hashes(spark, "2024-01-01"), views.feed_urls(spark, sf), feeds.seed_allow_list(spark)
     )
-    out, _ = scan(_scan_rows(spark, sf), tables)
-    return out.select(
+    return scan(_scan_rows(spark, sf), tables)[0]
+
+
+def scan_assessments(spark, sf):
+    """Fused verdicts of full scans: all engines, classes, actions, engine counts and warnings."""
+    return _scanned(spark, sf).select(
+        "scan_id", "risk_score", "classification", "confidence", "recommended_action",
+        _joined("flags").alias("flags"), F.col("total_engines").cast("bigint").alias("total_engines"),
+        F.col("skipped_engines").cast("bigint").alias("skipped_engines"),
+        _joined("contributing_engines").alias("used"), F.array_join("warnings", " | ").alias("warnings"),
+    )
+
+
+def scan_verdicts(spark, sf):
+    return _scanned(spark, sf).select(
         "scan_id", "risk_score", "classification", "confidence", "recommended_action",
         _joined("flags").alias("flags"), F.array_join("reasons", " | ").alias("reasons"),
         F.col("total_engines").cast("bigint").alias("total_engines"),
@@ -834,6 +847,7 @@ QUERIES = {
     "explain_reasons": explain_reasons,
     "scan_gate": scan_gate,
     "scan_verdicts": scan_verdicts,
+    "scan_assessments": scan_assessments,
     "triage_verdict": triage_verdict,
     "verdict_with_fallback": verdict_with_fallback,
     "feedback_first_wins": feedback_first_wins,
