@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow import dims
@@ -129,7 +129,10 @@ def default_profiles(spark) -> DataFrame:
 
 
 def valid_profiles(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable, rejected with ``reason``): bounds in 0-100 and strictly rising."""
+    """(usable, rejected with ``reason``): named, bounds in 0-100 and strictly rising, one row a name.
+
+    Of several usable rows of a name (case and blanks around it aside) the one with the least bounds is used.
+    """
     bounds = ["safe_upper", "suspicious_upper", "deceptive_upper", "phishing_upper"]
     reason = F.coalesce(
         *[
@@ -154,8 +157,16 @@ def valid_profiles(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
             for lo, hi in zip(bounds, bounds[1:])
         ],
     )
-    checked = profiles.withColumn("reason", reason)
-    return checked.where("reason is null").drop("reason"), checked.where("reason is not null")
+    unnamed = F.when(F.coalesce(F.trim("name"), F.lit("")) == "", F.lit("Profile has no name"))
+    checked = profiles.withColumn("reason", F.coalesce(reason, unnamed))
+    # one row a name, or the join would multiply scans
+    first = F.row_number().over(Window.partitionBy(F.lower(F.trim("name"))).orderBy(*bounds, "name"))
+    usable = checked.where("reason is null").withColumn("_first", first)
+    twice = usable.where("_first > 1").withColumn("reason", F.lit("Profile name is taken"))
+    return (
+        usable.where("_first = 1").select(*profiles.columns),
+        checked.where("reason is not null").unionByName(twice.drop("_first")),
+    )
 
 
 def classify(score: Column, signal: Column, profile: Column) -> Column:
@@ -179,6 +190,7 @@ def with_class(
 ) -> DataFrame:
     """Add ``classification`` under the named profile; unknown names fall to ``default``.
 
+    Profiles that :func:`valid_profiles` rejects are never used, their names count as unknown.
     Without ``signal`` the malware flags of the row decide, which is how stored
     verdicts are classified again under another profile.
     """
@@ -187,8 +199,8 @@ def with_class(
         signal = F.arrays_overlap(
             F.col("flags"), words(dims.MALWARE_FLAGS)
         )
-    known = profiles.select(
-        F.col("name").alias("_pn"), F.struct(*[c for c in profiles.columns]).alias("_prof")
+    known = valid_profiles(profiles)[0].select(
+        F.lower(F.trim("name")).alias("_pn"), F.struct(*[c for c in profiles.columns]).alias("_prof")
     )
     fields = [f.name for f in profiles.schema.fields]
     fallback = F.struct(*[F.lit(v).alias(n) for n, v in zip(fields, dims.PROFILES[0])])

@@ -122,6 +122,27 @@ SELECT page_id, CASE page_id % 12
   CASE page_id % 12 WHEN 2 THEN 'unsupported_scheme_javascript' WHEN 4 THEN 'unsupported_scheme_ftp'
     WHEN 8 THEN 'missing_url_host' WHEN 9 THEN 'preprocessing_error: Port out of range 0-65535'
     WHEN 10 THEN 'url_exceeds_max_length' END AS error FROM r"""
+_ON = lambda k, value: f"CASE WHEN m = {k} THEN {value} END"
+SQL["scan_requests"] = f"""SELECT doc_id, CASE WHEN m < 5 THEN concat('s', doc_id) END AS scan_id, CASE WHEN m < 5 THEN md5(text) END AS text_md5,
+  CASE m WHEN 0 THEN doc_id + 0.5 WHEN 1 THEN doc_id END::DOUBLE AS meta_ts, CASE WHEN m < 5 THEN m IN (0, 1, 3) END AS has_headers,
+  CASE m WHEN 0 THEN concat('a', doc_id, '@x.org') WHEN 1 THEN 'b@x.org' END AS h_from, {_ON(1, "concat('c', doc_id, '@y.org')")} AS h_reply_to,
+  {_ON(3, "'Mon, 1 Jan 2024 00:00:00 +0000'")} AS h_date, {_ON(3, "'<m@x.org>'")} AS h_message_id,
+  {_ON(0, "concat('from h1;:from h', doc_id)")} AS received, {_ON(2, "concat('z', doc_id, '.org')")} AS sender_domain,
+  {_ON(2, "concat('c', doc_id)")} AS client_id, CASE m WHEN 1 THEN concat('inv', doc_id, '.exe') WHEN 2 THEN concat('f', doc_id, '.js') END AS att_name,
+  CASE m WHEN 1 THEN md5(text) WHEN 2 THEN md5('MZ') END AS att_md5, {_ON(3, "'strict'")} AS profile, {_ON(3, """'{"a":[1,2]}'""")} AS nested,
+  {_ON(5, "'unreadable request'")} AS reject_reason FROM (SELECT *, doc_id % 6 AS m FROM documents)"""
+_BOUND = lambda b: f"WHEN {b} < 0 OR {b} > 100 THEN concat('Threshold ''{b}'' must be between 0.0 and 100.0, got ', {b})"
+_RISE = lambda a, b: (
+    f"WHEN {a} >= {b} THEN concat('Invalid threshold ordering: {a} (', {a}, ') must be strictly less than {b} (', {b}, ')')")
+_UPPERS = ["safe_upper", "suspicious_upper", "deceptive_upper", "phishing_upper"]
+SQL["profile_check"] = f"""WITH p AS (SELECT CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE concat('P', doc_id // 2, CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE '' END) END AS name,
+  (n_chars % 60 - 2)::DOUBLE AS safe_upper, (n_chars % 60 + doc_id % 30)::DOUBLE AS suspicious_upper,
+  (n_chars % 60 + doc_id % 30 + doc_id % 7)::DOUBLE AS deceptive_upper, (n_chars % 60 + 40)::DOUBLE AS phishing_upper FROM documents),
+c AS (SELECT *, CASE {" ".join(map(_BOUND, _UPPERS))} {" ".join(_RISE(a, b) for a, b in zip(_UPPERS, _UPPERS[1:]))}
+  WHEN trim(name) = '' THEN 'Profile has no name' END AS reason FROM p),
+d AS (SELECT *, row_number() OVER (PARTITION BY trim(name), reason IS NULL ORDER BY {", ".join(_UPPERS)}, name) AS rk FROM c)
+SELECT coalesce(reason, CASE WHEN rk > 1 THEN 'Profile name is taken' ELSE '' END) AS reason, count(*) AS profiles, sum(safe_upper) AS safe_sum,
+  min(name) AS first_name FROM d GROUP BY 1"""
 SQL["scan_gate"] = f"""WITH n AS ({SQL["url_normalize"]})
 SELECT cast(page_id AS VARCHAR) AS scan_id,
   CASE WHEN error IS NOT NULL THEN 'rejected' WHEN warnings <> '' THEN 'partial' ELSE 'success' END AS prep_status,

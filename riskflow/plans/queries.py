@@ -531,6 +531,42 @@ def verdict_counts(spark, sf):
     )
 
 
+def scan_requests(spark, sf):
+    """JSON requests with nested metadata of several shapes, as the engines see them."""
+    text_json = "substr(to_json(array(text)), 2, length(to_json(array(text))) - 2)"
+    lines = views.table(spark, sf, "documents").selectExpr(
+        "doc_id",
+        f"""concat('{{"scan_id":"s', doc_id, '","text":', {text_json}, ',"metadata":', CASE doc_id % 6
+          WHEN 0 THEN concat('{{"headers":{{"From":"a', doc_id, '@x.org","Received":["from h1",":from h', doc_id, '"]}},"timestamp":', doc_id, '.5}}')
+          WHEN 1 THEN concat('{{"headers":{{"from":"b@x.org","Reply-To":"c', doc_id, '@y.org"}},"attachments":[{{"filename":"inv', doc_id,
+            '.exe","content":"', replace(base64(encode(text, 'UTF-8')), '\r\n', ''), '"}},{{"name":"second"}}],"timestamp":"', doc_id, '"}}')
+          WHEN 2 THEN concat('{{"files":{{"file_name":"f', doc_id, '.js","bytes":"TVo="}},"sender_domain":"z', doc_id, '.org","client_id":"c', doc_id, '"}}')
+          WHEN 3 THEN '{{"Date":"Mon, 1 Jan 2024 00:00:00 +0000","Message-ID":"<m@x.org>","profile":"strict","nested":{{"a":[1,2]}}}}'
+          WHEN 4 THEN '"only text"' ELSE '{{"broken":' END, '}}') AS value""",
+    )
+    good, bad = scans.decode_scans(scans.parse_scan_requests(lines))
+    seen = attachment_rules.pick_attachment(header_signals.with_headers(scans.complete_scans(good)))
+    out = seen.select(
+        "doc_id", "scan_id", F.md5("text").alias("text_md5"), "meta_ts", "has_headers", "h_from", "h_reply_to", "h_date", "h_message_id",
+        F.array_join("received", ";").alias("received"), "sender_domain", "client_id", "att_name", F.md5("att_bytes").alias("att_md5"),
+        scans.profile_name(seen).alias("profile"), F.try_element_at("metadata", F.lit("nested")).alias("nested"),
+    ).withColumn("reject_reason", F.lit(None).cast("string"))
+    return out.unionByName(bad.select("doc_id", "reject_reason"), allowMissingColumns=True)
+
+
+def profile_check(spark, sf):
+    """Profiles made of document lengths, with the reason of those that are turned down."""
+    rows = views.table(spark, sf, "documents").selectExpr(
+        "if(doc_id % 13 = 0, ' ', concat('P', doc_id div 2, if(doc_id % 2 = 0, ' ', ''))) AS name", "cast(n_chars % 60 AS double) - 2 AS safe_upper",
+        "cast(n_chars % 60 + doc_id % 30 AS double) AS suspicious_upper", "cast(n_chars % 60 + doc_id % 30 + doc_id % 7 AS double) AS deceptive_upper",
+        "cast(n_chars % 60 + 40 AS double) AS phishing_upper", "true AS malware_requires_signal",
+    )
+    good, bad = fusion.valid_profiles(rows)
+    return good.withColumn("reason", F.lit("")).unionByName(bad).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("profiles"), F.sum("safe_upper").alias("safe_sum"), F.min("name").alias("first_name")
+    )
+
+
 def scan_gate(spark, sf):
     """Outcome of preprocessing for raw links."""
     rows = views.view(spark, sf, views.RAW_URLS).select(
@@ -845,6 +881,8 @@ QUERIES = {
     "verdict_by_profile": verdict_by_profile,
     "verdict_counts": verdict_counts,
     "explain_reasons": explain_reasons,
+    "scan_requests": scan_requests,
+    "profile_check": profile_check,
     "scan_gate": scan_gate,
     "scan_verdicts": scan_verdicts,
     "scan_assessments": scan_assessments,

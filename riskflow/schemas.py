@@ -17,10 +17,10 @@ SCANS = (
     " attachments array<struct<name:string,content:binary>>, metadata map<string,string>,"
     " classification_profile string, client_id string"
 )
-# The same request as it arrives over JSON: binary fields are base64 text.
+# The same request as it arrives over JSON: binary fields are base64 text, metadata has any shape.
 SCAN_REQUESTS = SCANS.replace("file_bytes binary", "file_bytes string").replace(
     "image_bytes binary", "image_bytes string"
-).replace("content:binary", "content:string")
+).replace("content:binary", "content:string").replace("metadata map<string,string>", "metadata variant")
 
 HASHES = (
     "sha256 string, signature string, file_type string, clamav string, vt_percent double,"

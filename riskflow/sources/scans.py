@@ -22,6 +22,45 @@ def read_scan_requests(spark: SparkSession, path: str, stream: bool = False) ->
     )
 
 
+def parse_scan_requests(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The same from a text column, as a queue delivers requests; other columns are kept."""
+    schema = SCAN_REQUESTS + ", _corrupt string"
+    parsed = F.from_json(column, schema, {"columnNameOfCorruptRecord": "_corrupt"})
+    rest = [c for c in lines.columns if c != column]
+    return lines.withColumn("_request", parsed).select(*rest, "_request.*")
+
+
+def promote_metadata(requests: DataFrame) -> DataFrame:
+    """Requests with ``metadata`` as a map of texts and its nested parts in the columns of a scan.
+
+    ``metadata.headers`` becomes ``headers``, its list of Received lines ``received``; ``attachments`` or
+    ``files`` (a list or one object) become ``attachments``; a numeric ``timestamp`` in either form becomes
+    ``meta_ts``. Columns that the request fills itself stay. Parts of another shape count as absent.
+    """
+    get = lambda path, kind: F.try_variant_get("metadata", path, kind)
+    texts = "map<string,string>"
+
+    def files(part: str) -> Column:
+        one = "struct<file_name:string,filename:string,name:string,file_bytes:string,content:string,bytes:string>"
+        named = lambda a: F.coalesce(F.nullif(a["file_name"], F.lit("")), F.nullif(a["filename"], F.lit("")), a["name"])
+        body = lambda a: F.coalesce(F.nullif(a["file_bytes"], F.lit("")), F.nullif(a["content"], F.lit("")), a["bytes"])
+        listed = F.coalesce(get(f"$.{part}", f"array<{one}>"), F.array(get(f"$.{part}", one)))
+        found = F.transform(
+            F.filter(listed, lambda a: a.isNotNull()), lambda a: F.struct(named(a).alias("name"), body(a).alias("content"))
+        )
+        return F.when(F.size(found) > 0, found)
+
+    hops = [get(path, "array<string>") for path in (
+        "$.headers.Received", "$.Received", "$.headers.received", "$.received")]
+    return requests.withColumns({
+        "headers": F.coalesce("headers", get("$.headers", texts)),
+        "received": F.coalesce("received", *hops),
+        "attachments": F.coalesce("attachments", files("attachments"), files("files")),
+        "meta_ts": F.coalesce("meta_ts", get("$.timestamp", "double")),
+        "metadata": get("$", texts),
+    })
+
+
 def decode_payload(value: Column, max_bytes: int | None = None) -> tuple[Column, Column]:
     """(bytes, error) of a base64 text in the standard or URL-safe alphabet.
 
@@ -45,6 +84,8 @@ def decode_payload(value: Column, max_bytes: int | None = None) -> tuple[Column,
 
 def decode_scans(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(scan rows, rejected requests with ``reject_reason``)."""
+    if requests.schema["metadata"].dataType.simpleString() == "variant":
+        requests = promote_metadata(requests)
     file, file_error = decode_payload(F.col("file_bytes"))
     image, image_error = decode_payload(F.col("image_bytes"))
     named = lambda field, e: F.concat(F.lit(field + " "), e)
