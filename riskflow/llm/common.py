@@ -7,6 +7,8 @@ exactly these bytes, so words are cut in UTF-8, where no other character contain
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -42,9 +44,32 @@ def stage(df: DataFrame, name: str, schema: str | None = None) -> DataFrame:
     fs.deleteOnExit(jpath)
     out = spark.read.schema(schema or df.schema).parquet(path)
     out._stage_path = path
+    for bag in _BAGS:
+        bag.append(out)
     return out
 
 
+_BAGS: list[list[DataFrame]] = []
+
+
+@contextmanager
+def collecting(bag: list[DataFrame]) -> Iterator[list[DataFrame]]:
+    """Note the tables that are staged inside, so that :func:`drop` can remove them."""
+    _BAGS.append(bag)
+    try:
+        yield bag
+    finally:
+        _BAGS.pop()
+
+
+def free(name: str, taken: list[str]) -> str:
+    """``name``, or the first longer form of it that no column has (case aside)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove staged tables that no later step reads."""
     for table in tables:

@@ -73,30 +73,40 @@ def probes(docs: DataFrame, ident: str, width: int, table: np.ndarray) -> DataFr
 
 
 def verified(pairs: DataFrame, width: int, share: float) -> DataFrame:
-    """``doc, item, n_shingles, containment`` of the pairs (with ``doc_text, item_text``) that reach ``share``."""
+    """``doc, item, n_shingles, containment`` of the pairs (with ``doc_text, item_text``) that reach ``share``.
+
+    Several texts of one ``doc`` count together: the shingles each of them holds are numbered and united.
+    """
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("doc", "item")}
 
     def run(batches):
         for batch in batches:
             out = []
-            memo: dict[str, set] = {}
+            memo: dict[str, dict] = {}
             for doc, item, text, query in zip(*(batch.column(c).to_pylist() for c in ("doc", "item", "doc_text", "item_text"))):
                 if query not in memo:
-                    memo[query] = shingle_set(encoded(query), width)
+                    memo[query] = {s: i for i, s in enumerate(sorted(shingle_set(encoded(query), width)))}
                 q, words = memo[query], encoded(text).translate(LOWER).split()
                 k = len(next(iter(q))) if q else 0
                 if k < width and len(words) != k:
                     continue
-                hit = q & set(zip(*(words[i:] for i in range(k))))
-                if q and len(hit) >= share * len(q) - 1e-9:
-                    out.append((doc, item, len(q), len(hit) / len(q)))
+                hit = sorted({q[s] for s in zip(*(words[i:] for i in range(k))) if s in q})
+                if hit:
+                    out.append((doc, item, query, len(q), hit))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 4, (
-                    batch.column("doc").type, batch.column("item").type, pa.int64(), pa.float64()))],
-                ["doc", "item", "n_shingles", "containment"],
+                [pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 5, (
+                    batch.column("doc").type, batch.column("item").type, pa.string(), pa.int64(), pa.list_(pa.int32())))],
+                ["doc", "item", "query", "n_shingles", "hits"],
             )
 
-    return pairs.mapInArrow(run, f"doc {kinds['doc']}, item {kinds['item']}, n_shingles long, containment double")
+    found = pairs.mapInArrow(run, f"doc {kinds['doc']}, item {kinds['item']}, query string, n_shingles long, hits array<int>")
+    # a set of hits is at most as large as the item; equal ones of copies combine before the shuffle
+    united = found.groupBy("doc", "item", F.sha2("query", 256).alias("query"), "n_shingles").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("n")
+    )
+    return united.where(F.col("n") >= share * F.col("n_shingles") - 1e-9).select(
+        "doc", "item", "n_shingles", (F.col("n") / F.col("n_shingles")).alias("containment")
+    )
 
 
 def search(

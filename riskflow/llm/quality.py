@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import encoded, stage
+from riskflow.llm.common import encoded, free, stage
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 NAMES = [m.split()[0] for m in MEASURES.split(", ")]
@@ -140,15 +140,16 @@ def _fence(tag: str, reach: float, slack: float) -> tuple[Column, Column]:
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """Add ``base_failed`` and ``kept`` to measured rows."""
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    own = {c: free(f"_{c}", [*rows.columns, *limits.columns]) for c in limits.columns}
+    limits = limits.withColumnsRenamed(own)
     joined = rows.join(
-        limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left"
+        limits, F.col("lang").eqNullSafe(F.col(own["lang"])) & F.col("source").eqNullSafe(F.col(own["source"])), "left"
     )
     broken = F.lit(False)
     for rule, (sql, _, _) in RULES.items():
         value = F.expr(f"try_divide({sql.replace(' / ', ', ')})")
-        beyond = (value > F.col(f"{rule}_high")) | (value < F.col(f"{rule}_low"))
-        broken = broken | F.coalesce(beyond, value > F.col(f"{rule}_high"), F.lit(False))
+        high, low = F.col(own[f"{rule}_high"]), F.col(own[f"{rule}_low"])
+        broken = broken | F.coalesce((value > high) | (value < low), value > high, F.lit(False))
     return joined.select(*rows.columns, base.alias("base_failed"), (~base & ~broken).alias("kept"))
 
 

@@ -15,7 +15,8 @@ A byte goes if a string of ``width`` bytes that also starts anywhere else covers
 A shard is bounded by its distinct blocks, not by their copies; a task sorts its shards in
 lots, and the queues of a lot that is larger than memory keep their runs on disk.
 
-``docs`` must be a stored table: rows are numbered by partition and place in it. Defined
+Rows are numbered once and written with their number, so all passes see the same ones however
+the source is split. Defined
 results: a null text has no bytes; texts shorter than ``width`` stay as they are; repeated
 rows are repeats of each other; an empty table gives no rows; other columns are kept.
 """
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import encoded, flags, mix, stage
+from riskflow.llm.common import collecting, drop, encoded, flags, free, mix, stage
 from riskflow.llm.induced import in_folder
 from riskflow.llm.passages import shared
 
@@ -238,14 +239,19 @@ def cut(docs: DataFrame, width: int = 400, words: int | None = None, **options)
     they take. Columns of these names in ``docs`` are replaced.
     """
     new = ["kept", "n_bytes", "n_removed", "n_spans"]
-    base = docs.select([c for c in docs.columns if c not in new]).withColumn("_row", F.monotonically_increasing_id())
-    rows = base.select(F.col("_row").alias("row"), "text")
-    found = marks(rows, width, **options).select("row", F.col("start").cast("long"), (F.col("end") + width - 1).cast("long").alias("end"))
-    if words is not None:
-        found = found.union(shared(rows, words))
-    per_row = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_marks"))
-    joined = base.join(per_row, base["_row"] == per_row["row"], "left").drop("row", "_row")
-    names = joined.columns[:-1]
+    names = [c for c in docs.columns if c not in new]
+    number, ranges_of = free("_row", names), free("_marks", names)
+    base = stage(docs.select(*names, F.monotonically_increasing_id().alias(number)), "suffix-rows")
+    rows = base.select(F.col(number).alias("row"), "text")
+    with collecting([]) as used:
+        found = marks(rows, width, **options).select("row", F.col("start").cast("long"), (F.col("end") + width - 1).cast("long").alias("end"))
+        if words is not None:
+            found = found.union(shared(rows, words))
+        per_row = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(ranges_of))
+        # narrow; what it was made of goes at once
+        per_row = stage(per_row.withColumnRenamed("row", number), "suffix-marks")
+    drop(*used[:-1])
+    joined = base.join(per_row, number, "left").select(*names, ranges_of)
     fields = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names)
     at = names.index("text")
 

@@ -45,3 +45,13 @@ def test_empty_tables(spark):
     assert decontam.search(docs, items).count() == 0
     some = spark.createDataFrame([(1, "a b c d e f")], "doc_id int, text string")
     assert decontam.search(some, items.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_count_together(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "k l m n o p q r")], "item_id int, text string")
+    docs = spark.createDataFrame(
+        [(7, "x a b c d e f g"), (7, "d e f g h i j y"), (8, "a b c d e f g"), (None, "k l m n o p q r"), (9, "k l m n o p q r"), (9, "other")],
+        "doc_id int, text string",
+    )
+    got = {(r.doc, r.item): r.containment for r in decontam.search(docs, items).collect()}
+    assert got == {(7, 1): 1.0, (9, 2): 1.0}

@@ -73,3 +73,14 @@ def test_a_dirty_source_cannot_excuse_its_junk(spark, n, share):
     df = spark.createDataFrame(clean + dirty + one_kind, "doc_id int, text string, lang string, source string")
     kept = {r.doc_id for r in quality.rate(df).where("kept").collect()}
     assert kept == {i for i, t, *_ in clean + dirty + one_kind if t.startswith("plain")}
+
+
+def test_clashing_columns_stay(spark):
+    from riskflow.llm import stages
+    from riskflow.llm.common import stage
+
+    rows = [(i, f"word{i} and some more words to make a text of ten words {i}", "en", "s", i, -i, 2 * i, 3 * i) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string, _lang int, n_bytes int, kept int, row int")
+    for apply in (stages.quality, stages.near_copies, stages.repeats):
+        out = stage(apply(spark, stage(df, "test"), ""), "test")
+        assert out.columns == df.columns and sorted(map(tuple, out.collect())) == sorted(rows)

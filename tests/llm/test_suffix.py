@@ -64,3 +64,23 @@ def test_long_text_in_stretches(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert suffix.cut(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def test_row_numbers_hold_when_splits_change(spark):
+    """The source is split differently between the passes; a column ``row`` and ``_row`` stay."""
+    texts = corpus(7, 40)
+    for n in range(3):  # several files, so that the split decides the order of the rows
+        part = [(i, t, i, -i) for i, t in enumerate(texts) if i % 3 == n]
+        df = spark.createDataFrame(part, "doc_id int, text string, row int, _row int").coalesce(1)
+        docs = stage(df, "test") if n == 0 else docs.unionByName(stage(df, "test"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        cut = suffix.cut(docs, 40, gram=8, step=8, bits=16)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "17")
+        rows = {r.doc_id: (bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in cut.collect()}
+        assert {(r.row, r._row) for r in cut.select("row", "_row").collect()} == {(i, -i) for i in range(len(texts))}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert [rows[i] for i in range(len(texts))] == brute(texts, 40)
