@@ -555,6 +555,23 @@ SQL["inbox_latest"] = f"WITH {_INBOX} SELECT * FROM ib ORDER BY timestamp_millis
 SQL["watch_alerts"] = f"""WITH {_HIST} SELECT scan_id, classification <> 'Safe' AS watch_alert,
   classification IN ('Phishing', 'Malware') AS inbox_alert FROM hs WHERE classification <> 'Safe'"""
 
+# marks are key, time and event; the report of a failed scan takes back the mark of its own event
+SQL["link_watch"] = f"""WITH RECURSIVE s AS (SELECT *, {v.T_US_SQL} AS t_us FROM ({v.view_sql(v.WATCH_SCREENS)})),
+l AS (SELECT *, regexp_extract_all(text, 'https://[^ ]+') AS u FROM s),
+x AS (SELECT device_id, arrival_seq, t_us, unnest(range(len(u))) AS position, unnest(u) AS key FROM l
+  UNION ALL SELECT device_id, arrival_seq, t_us, 0, 'text' FROM s WHERE text LIKE 'Security%'),
+g AS (SELECT *, false AS failed FROM x UNION ALL SELECT device_id, arrival_seq, t_us + 20000000, position, key, true FROM x WHERE arrival_seq % 5 = 0),
+q AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY t_us, arrival_seq, position) AS rn FROM g),
+r AS (SELECT device_id, 0::BIGINT AS rn, 0::BIGINT AS arrival_seq, 0::BIGINT AS position, '' AS key, true AS failed, false AS accepted,
+    []::STRUCT(k VARCHAR, t BIGINT, s BIGINT)[] AS marks, []::BIGINT[] AS rec FROM (SELECT DISTINCT device_id FROM g)
+  UNION ALL SELECT device_id, rn, arrival_seq, position, key, failed, ok,
+    CASE WHEN failed THEN list_filter(marks, lambda m: NOT (m.k = key AND m.s = arrival_seq))
+      WHEN ok THEN list_append(list_filter(marks, lambda m: m.k <> key AND t_us - m.t <= 1200000000), {{'k': key, 't': t_us, 's': arrival_seq}}) ELSE marks END,
+    CASE WHEN ok THEN list_append(recent, t_us) ELSE recent END
+  FROM (SELECT *, NOT failed AND len(recent) < 2 AND len(list_filter(marks, lambda m: m.k = key AND t_us - m.t < 1200000000)) = 0 AS ok
+    FROM (SELECT q.*, r.marks, list_filter(r.rec, lambda a: q.t_us - a <= 300000000) AS recent FROM r JOIN q ON q.device_id = r.device_id AND q.rn = r.rn + 1)))
+SELECT device_id, arrival_seq, position, CASE WHEN key <> 'text' THEN key END AS url, accepted FROM r WHERE rn > 0 AND NOT failed"""
+
 # ------------------------------------------------------------------ repeats, admission, sessions
 SQL["pending_messages"] = "SELECT event_id AS message_id, user_id FROM events WHERE NOT (event_id % 3 = 0 AND user_id % 2 = 0)"
 SQL["last_500"] = """WITH f AS (SELECT concat('m', event_id % 4000) AS message_id, min(event_id) AS seq FROM events GROUP BY 1)

@@ -28,6 +28,7 @@ from riskflow.plans import metrics, views
 from riskflow.plans.scan import scan
 from riskflow.sources import feedback, feeds, history, mail, scans, share, verdicts
 from riskflow.sources.feeds import Indicators
+from riskflow.streaming import flows
 
 HISTORY_MS = "unix_millis(cast(ts AS TIMESTAMP))"
 
@@ -698,11 +699,19 @@ def watch_alerts(spark, sf):
     rows = _history(spark, sf)
     return rows.select(
         "scan_id",
-        (F.col("classification") != "Safe").alias("watch_alert"),
-        F.col("classification").isin("Phishing", "Malware").alias("inbox_alert"),
+        flows.is_watch_alert().alias("watch_alert"),
+        flows.is_inbox_alert().alias("inbox_alert"),
     ).where("watch_alert or inbox_alert")
 
 
+def link_watch(spark, sf):
+    """Gate of the link watch over screens made of events; every fifth scan fails after 20 seconds."""
+    screens = views.view(spark, sf, views.WATCH_SCREENS).withColumn("t_us", F.expr(views.T_US_SPARK))
+    failed = flows.watch_targets(screens).where("arrival_seq % 5 = 0").withColumn("t_us", F.col("t_us") + 20_000_000)
+    out = flows.link_watch_rows(screens, failed, ttl_us=1_200_000_000, limit=2, window_us=300_000_000)
+    return out.select("device_id", "arrival_seq", F.col("position").cast("bigint").alias("position"), "url", "accepted")
+
+
 # ------------------------------------------------------------------ repeats, admission, sessions
 def pending_messages(spark, sf):
     rows = views.table(spark, sf, "events").select(F.col("event_id").alias("message_id"), "user_id")
@@ -903,6 +912,7 @@ QUERIES = {
     "inbox_summary": inbox_summary,
     "inbox_latest": inbox_latest,
     "watch_alerts": watch_alerts,
+    "link_watch": link_watch,
     "pending_messages": pending_messages,
     "last_500": last_500,
     "debounce": debounce,

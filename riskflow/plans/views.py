@@ -86,6 +86,15 @@ MESSAGES = ("events", {
     "has_file": "event_type = 'purchase' AND value > 20",
 })
 
+WATCH_SCREENS = ("events", {
+    "arrival_seq": "event_id",
+    "ts": "ts",
+    "device_id": "concat('d', user_id % 10)",
+    "text": """CASE WHEN event_id % 9 = 4 THEN 'Security alert: unusual activity' WHEN event_id % 9 = 5 THEN 'nothing here'
+      WHEN event_id % 9 = 6 THEN concat('open https://two.example.com/', user_id % 3, ' or https://', event_type, '.example.com/ now')
+      ELSE concat('open https://', event_type, '.example.com/ now') END""",
+})
+
 HEADERS = ("events", {
     "scan_id": "event_id",
     "h_from": "concat('u', user_id, '@d', user_id % 3, '.example.com')",

@@ -14,6 +14,7 @@ from riskflow.functions.urls import extract_screen_urls
 from riskflow.operators.dedup import pending
 from riskflow.operators.joins import keep_rows
 from riskflow.operators.triage import triage
+from riskflow.operators.watch import failures, watch_gate
 from riskflow.operators.sender_rules import SenderState
 from riskflow.plans.scan import scan, senders_after
 from riskflow.sources import feeds
@@ -23,12 +24,20 @@ from riskflow.schemas import HISTORY
 from riskflow.streaming.state import WatchGate, keyed
 
 
+def is_watch_alert() -> Column:
+    return F.col("classification") != "Safe"
+
+
+def is_inbox_alert() -> Column:
+    return F.col("classification").isin("Phishing", "Malware")
+
+
 def watch_alerts(verdicts: DataFrame) -> DataFrame:
-    return keep_rows(verdicts, F.col("classification") != "Safe")
+    return keep_rows(verdicts, is_watch_alert())
 
 
 def inbox_alerts(verdicts: DataFrame) -> DataFrame:
-    return keep_rows(verdicts, F.col("classification").isin("Phishing", "Malware"))
+    return keep_rows(verdicts, is_inbox_alert())
 
 
 def watch_targets(screens: DataFrame) -> DataFrame:
@@ -73,13 +82,30 @@ def watch_targets(screens: DataFrame) -> DataFrame:
     )
 
 
-def link_watch(screens: DataFrame, **limits) -> DataFrame:
-    """Accepted targets of a stream of visible texts with their triage verdict."""
+def _watch_events(screens: DataFrame, failed: DataFrame | None) -> DataFrame:
+    targets = watch_targets(screens).withColumn("failed", F.lit(False))
+    if failed is None:
+        return targets
+    return targets.unionByName(failures(failed), allowMissingColumns=True)
+
+
+def link_watch_rows(screens: DataFrame, failed: DataFrame | None = None, **limits) -> DataFrame:
+    """Targets of a table of visible texts with ``accepted``; ``failed`` as in :func:`link_watch`."""
+    gated = watch_gate(_watch_events(screens, failed), **limits)
+    return gated.where("not failed").drop("failed")
+
+
+def link_watch(screens: DataFrame, failed: DataFrame | None = None, **limits) -> DataFrame:
+    """Accepted targets of a stream of visible texts with their triage verdict.
+
+    ``failed``: stream of failed scans (``device_id, arrival_seq, position, t_us, watch_key`` of
+    the target, ``t_us`` being the time of the failure), whose marks are taken back.
+    """
     gated = keyed(
-        watch_targets(screens), ["device_id"], WatchGate(**limits),
+        _watch_events(screens, failed), ["device_id"], WatchGate(**limits),
         "accepted boolean",
     )
-    return triage(gated.where("accepted"))
+    return triage(gated.where("accepted").drop("failed"))
 
 
 # ------------------------------------------------------------------ sinks
@@ -111,6 +137,64 @@ def scan_uuid(message_id: str) -> Column:
     )
 
 
+#: rows of the folder ``failed`` that :func:`link_watch_batch` writes and :func:`link_watch` reads
+FAILED = "device_id string, arrival_seq bigint, position int, t_us bigint, watch_key string"
+
+
+def failed_scans(spark: SparkSession, root: str) -> DataFrame:
+    """Stream of the failures written below ``root``. A batch that is written again may
+    report one twice, which changes nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/failed")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    return spark.readStream.schema(FAILED).option("recursiveFileLookup", True).parquet(f"{root}/failed")
+
+
+def link_watch_batch(
+    tables: feeds.Indicators, root: str, delay_us: int = 0, **scan_options
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body behind :func:`link_watch`: full verdicts of the accepted targets.
+
+    Four tables are written per batch and overwritten when it runs again: ``instant`` (alerts of the
+    triage verdict), ``alerts`` (any class but Safe of the full verdict), ``history`` and ``failed``: targets
+    without a verdict, whose marks :func:`failed_scans` hands back to the gate, ``delay_us`` after they were seen.
+    """
+
+    def run(targets: DataFrame, batch_id: int) -> None:
+        put = lambda df, name: batch_writer(f"{root}/{name}")(df, batch_id)
+        spark = targets.sparkSession
+        # the id of a target is its place, so a repeated batch gives the same ids
+        place = F.concat_ws("|", "device_id", "arrival_seq", "position")
+        targets = targets.withColumn("_place", place).withColumn("_scan", scan_uuid("_place")).drop("_place").persist()
+        try:
+            put(
+                watch_alerts(targets).select("device_id", "watch_key", F.col("_scan").alias("scan_id"), "classification"),
+                "instant",
+            )
+            requests = targets.select(
+                F.col("_scan").alias("scan_id"), "arrival_seq", F.col("device_id").alias("client_id"), "url", "text",
+                F.timestamp_micros("t_us").alias("ts"), F.lit("guardian").alias("source_channel"),
+            )
+            verdicts, _ = scan(requests, tables, **scan_options)
+            verdicts = verdicts.persist()
+            try:
+                stored = read_other_batches(spark, f"{root}/history", HISTORY, batch_id)
+                records = history_records(verdicts, F.lit("accessibility_guard"), F.unix_millis("ts"))
+                put(new_records(records, stored), "history")
+                put(
+                    watch_alerts(verdicts).select("scan_id", "classification", "risk_score", "recommended_action"),
+                    "alerts",
+                )
+                scored = verdicts.select(F.col("scan_id").alias("_scan"))
+                lost = targets.join(scored, "_scan", "left_anti").withColumn("t_us", F.col("t_us") + delay_us)
+                put(lost.selectExpr("device_id", "arrival_seq", "position", "t_us", "watch_key"), "failed")
+            finally:
+                verdicts.unpersist()
+        finally:
+            targets.unpersist()
+
+    return run
+
+
 def _versions(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the complete versions of the sender state below ``root``."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskflow.operators.admission import admission_step
 from riskflow.operators.sender_rules import HOUR_US, KEYS, SenderState, hour_mask, parse_sender
+from riskflow.operators.watch import ORDER, Gate
 
 
 def _ordered(rows: Iterator[pd.DataFrame], seq: str | list[str]) -> pd.DataFrame:
@@ -333,43 +334,26 @@ class FirstVote(_Keyed):
 
 
 class WatchGate(_Keyed):
-    """Repeat suppression and admission of one device, as the link watch applies them.
+    """:class:`riskflow.operators.watch.Gate` of one device over the events of a stream.
 
-    A link is marked only when it was admitted, so a link dropped by the limit can
-    come again at once. Marks go when they are ``ttl_us`` old; ``max_marks`` bounds
-    them further for a device with little memory.
+    State goes when the last mark is ``ttl_us`` old and the last admission has left its window.
     """
 
-    state_schema = "keys array<string>, marks array<bigint>, times array<bigint>"
-    seq = ["arrival_seq", "position"]
+    state_schema = "keys array<string>, marks array<bigint>, seqs array<bigint>, times array<bigint>"
+    seq = ORDER
     expires = True
 
     def __init__(self, ttl_us=600_000_000, limit=10, window_us=60_000_000, max_marks=None, ttl_ms=None):
         super().__init__(ttl_ms)
-        self.ttl_us, self.limit, self.window_us, self.max_marks = ttl_us, limit, window_us, max_marks
+        self.limits = {"ttl_us": ttl_us, "limit": limit, "window_us": window_us, "max_marks": max_marks}
 
     def useful_until(self, new, data):
-        ends = [t + self.ttl_us for t in new[1]] + [t + self.window_us for t in new[2][-1:]]
+        ends = [t + self.limits["ttl_us"] for t in new[1]] + [t + self.limits["window_us"] for t in new[3][-1:]]
         return max(ends, default=None)
 
     def step(self, data, known):
-        marks = dict(zip(known[0], known[1])) if known else {}
-        recent, taken = deque(known[2] if known else []), []
-        for key, now in zip(data["watch_key"], data["t_us"]):
-            now = int(now)
-            key = (key or "").strip()
-            ok = bool(key) and not (key in marks and now - marks[key] < self.ttl_us)
-            if ok:
-                ok, _ = admission_step(recent, now, self.limit, self.window_us, False)
-            if ok:
-                marks.pop(key, None)  # the dict stays in order of time
-                marks[key] = now
-                while marks and now - next(iter(marks.values())) > self.ttl_us:
-                    del marks[next(iter(marks))]
-                if self.max_marks is not None and len(marks) > self.max_marks:
-                    del marks[next(iter(marks))]
-            taken.append(ok)
-        return data.assign(accepted=taken), (list(marks), list(marks.values()), list(recent))
+        gate = Gate(**self.limits, known=known)
+        return data.assign(accepted=gate.run(data)), gate.known()
 
 
 def ttl_dedup_stream(df, key, ttl_us=600_000_000, succeeded=None, delay=DELAY) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from riskflow.operators.admission import admit
 from riskflow.operators.dedup import debounce, ttl_dedup
 from riskflow.operators.sender_rules import SenderState, sender_state, with_sender_history, with_sender_signals
+from riskflow.operators.watch import watch_gate
 from riskflow.plans import views
+from riskflow.sources import feeds
 from riskflow.sources.feedback import mark_inserted
 from riskflow.streaming import flows, state
 
@@ -154,3 +156,72 @@ def test_link_watch(spark, tmp_path):
         ("d1", 701 * day, None, "Suspicious"),
         ("d2", 0, bad, "Phishing"), ("d2", 0, "https://example.com/ok", "Safe"),
     ], key=str)
+
+
+SCREEN_DDL = "device_id string, arrival_seq long, t_us long, text string"
+
+
+def test_link_watch_takes_marks_of_failed_scans_back(spark, tmp_path):
+    """Two runs; the first one's failed scan is reported to the second one, which takes the link again."""
+    root, screens, sec = str(tmp_path / "out"), str(tmp_path / "screens"), 1_000_000
+    lost, bad = "http://example.com:99999/x", "http://192.168.1.1@secure-login-verify.xyz/account"
+    parts = [
+        [("d1", 1, 0, f"see {lost}"), ("d1", 2, sec, f"go {bad}"), ("d2", 3, 2 * sec, f"{lost} and {bad}")],
+        [("d1", 4, 60 * sec, f"again {lost}"), ("d1", 5, 61 * sec, f"again {bad}"), ("d2", 6, 62 * sec, f"and {lost}")],
+    ]
+    tables = feeds.seed_indicators(spark, "2024-01-01")
+
+    def once():
+        failed = flows.failed_scans(spark, root)
+        stream = spark.readStream.schema(SCREEN_DDL).parquet(screens)
+        query = (
+            flows.link_watch(stream, failed).writeStream.foreachBatch(flows.link_watch_batch(tables, root, sec))
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(240)
+        assert query.exception() is None
+
+    for part in parts:
+        spark.createDataFrame(part, SCREEN_DDL).coalesce(1).write.mode("append").parquet(screens)
+        once()
+    failed = spark.read.schema(flows.FAILED).option("recursiveFileLookup", True).parquet(root + "/failed")
+    assert rows_of(failed, ["device_id", "arrival_seq", "position", "watch_key"]) == [
+        ("d1", 1, 0, lost), ("d1", 4, 0, lost), ("d2", 3, 0, lost), ("d2", 6, 0, lost)]
+    history = spark.read.schema(flows.HISTORY).parquet(root + "/history")
+    assert rows_of(history, ["timestamp_millis", "source_type"]) == [
+        (1000, "accessibility_guard"), (2000, "accessibility_guard")]
+    alerts = spark.read.parquet(root + "/alerts")
+    assert alerts.count() == 2 and alerts.where("classification = 'Safe'").isEmpty()
+    assert spark.read.parquet(root + "/instant").where(F.col("watch_key") == bad).count() == 2
+    # the table form over the same screens and reports decides alike
+    rows = flows.link_watch_rows(spark.read.parquet(screens), failed)
+    taken = rows_of(rows.where("accepted"), ["device_id", "arrival_seq", "watch_key"])
+    assert taken == [("d1", 1, lost), ("d1", 2, bad), ("d1", 4, lost), ("d2", 3, bad), ("d2", 3, lost), ("d2", 6, lost)]
+
+
+def test_watch_batch_written_again_is_the_same(spark, tmp_path):
+    root = str(tmp_path)
+    screens = spark.createDataFrame([("d1", 1, 0, "go http://192.168.1.1@secure-login-verify.xyz/account")], SCREEN_DDL)
+    targets = flows.triage(flows.link_watch_rows(screens).where("accepted"))
+    write = flows.link_watch_batch(feeds.seed_indicators(spark, "2024-01-01"), root)
+    for _ in range(2):
+        write(targets, 0)
+    for name in ("instant", "alerts", "history"):
+        assert spark.read.parquet(f"{root}/{name}").count() == 1
+
+
+def test_watch_gate_cases(spark):
+    minute = 60_000_000
+    ddl = "device_id string, arrival_seq long, position int, t_us long, watch_key string, failed boolean, accepted_before string"
+    data = [
+        ("a", 1, 0, 0, "k", False, "x"), ("a", 2, 0, minute, "k", False, "x"),  # marked
+        ("a", 1, 0, minute + 1, "k", True, "x"), ("a", 3, 0, 2 * minute, " k ", False, "x"),  # taken back
+        ("a", 1, 0, 2 * minute + 1, "k", True, "x"), ("a", 4, 0, 3 * minute, "k", False, "x"),  # report of an older mark
+        ("a", 5, 0, 13 * minute, "k", False, "x"), ("a", 6, 0, 13 * minute, "  ", False, "x"),
+        ("a", 7, 0, 14 * minute, None, False, None), (None, 8, 0, 0, "k", False, "x"),
+        ("b", 9, 0, 0, "k", None, "x"), ("b", 9, 0, 0, "k", None, "x"), ("c", 10, 0, None, "k", False, "x"),
+    ]
+    out = watch_gate(spark.createDataFrame(data, ddl))
+    assert rows_of(out.where("accepted"), ["arrival_seq"]) == [(1,), (3,), (5,), (9,)]
+    assert out.count() == len(data)
+    assert watch_gate(spark.createDataFrame([], ddl)).count() == 0
