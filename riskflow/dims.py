@@ -347,12 +347,17 @@ UUID_PATTERN = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 )
 
-# Blocks that are not public: first address, prefix length.
-NON_PUBLIC_V4 = [
-    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16),
-    ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16),
-    ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4),
-    ("240.0.0.0", 4),
+# Blocks that are not reachable world-wide, and the parts of them that are.
+CLOSED_BLOCKS = [
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",
+    "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24",
+    "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+    "::/3", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "4000::/2", "8000::/2", "c000::/3",
+    "e000::/4", "f000::/5", "f800::/6", "fc00::/7", "fe00::/9", "fe80::/10", "ff00::/8",
+]
+OPEN_BLOCKS = [
+    "192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48",
+    "2001:20::/28", "2001:30::/28",
 ]
 
 # ---------------------------------------------------------------- fixed values: seed indicators

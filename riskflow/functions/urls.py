@@ -6,14 +6,11 @@ keeps the letter case, so the generic RFC 3986 split is applied by regex.
 
 from __future__ import annotations
 
-import ipaddress
-import operator
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow import dims
+from riskflow.functions.addresses import address_hex, is_public_number
 from riskflow.functions.columns import keep, no_flags, text_of
 
 _SPLIT = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -244,28 +241,6 @@ def first_triage_url(text: Column) -> Column:
 
 
 # ------------------------------------------------------------------ addresses
-def _v4_number(address: Column) -> Column:
-    octets = F.split(address, r"\.")
-    total = F.lit(0).cast("bigint")
-    for i in range(4):
-        total = total * 256 + F.try_element_at(octets, F.lit(i + 1)).try_cast("bigint")
-    return total
-
-
-def _v4_public(address: Column) -> Column:
-    ranges = []
-    for first, bits in dims.NON_PUBLIC_V4:
-        low = int(ipaddress.IPv4Address(first))
-        ranges.append((low, low + (1 << (32 - bits)) - 1))
-
-    def inside(number: Column) -> Column:
-        return reduce(operator.or_, [number.between(lo, hi) for lo, hi in ranges])
-
-    blocked = F.exists(F.array(_v4_number(address)), inside)
-    # two addresses inside 192.0.0.0/24 are reachable world-wide
-    return ~blocked | address.isin("192.0.0.9", "192.0.0.10")
-
-
 def is_ip_literal(host: Column) -> Column:
     octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
     return host.rlike(rf"^{octet}(?:\.{octet}){{3}}$") | (
@@ -275,17 +250,4 @@ def is_ip_literal(host: Column) -> Column:
 
 def is_public_address(address: Column) -> Column:
     """True for an IP literal reachable from the open internet, false otherwise."""
-    low = F.lower(address)
-    v4 = low.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & is_ip_literal(low)
-    v6 = low.contains(":") & low.rlike(r"^[0-9a-f:.]+$")
-    mapped = F.regexp_extract(low, r"^(?:::|(?:0+:){5})ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    # global unicast is 2000::/3; documentation, benchmark, protocol and 6to4 blocks are not
-    global_v6 = low.rlike(r"^[23][0-9a-f]{3}:") & ~low.rlike(
-        r"^(?:2001:(?:0?db8|0{0,3}2:0{1,4}|0{0,4}|0{0,3}1[0-9a-f]|0{0,2}[0-9a-f]{1,2}):|2002:|3fff:)"
-    )
-    return F.coalesce(
-        F.when(v4, _v4_public(low))
-        .when(v6 & (mapped != ""), F.lit(False))
-        .when(v6, global_v6),
-        F.lit(False),
-    )
+    return is_public_number(address_hex(address))

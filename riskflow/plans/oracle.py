@@ -193,6 +193,27 @@ SELECT event_id, NOT ({_A(1)} IN (0, 10, 127) OR {_A(1)} >= 224 OR ({_A(1)} = 10
   OR ({_A(1)} = 198 AND {_A(2)} IN (18, 19)) OR ({_A(1)} = 198 AND {_A(2)} = 51 AND {_A(3)} = 100)
   OR ({_A(1)} = 203 AND {_A(2)} = 0 AND {_A(3)} = 113)) AS is_public FROM a"""
 
+# blocks by the bits of the digits the texts are made from; equal blocks: the least text
+_PAGE_ADDRESSES = v.page_addresses(lambda e: f"concat('0x', {e})::INT")
+SQL["address_blocks"] = f"""WITH a AS ({_PAGE_ADDRESSES}),
+n AS (SELECT *, CASE WHEN address LIKE 'x%' THEN NULL WHEN address LIKE '%.%' THEN substr(h, 9, 8)
+    WHEN substr(h, 32, 1) < 'd' THEN concat(substr(h, 1, 8), repeat('0', 16), substr(h, 9, 8))
+    ELSE concat('20010', substr(h, 6, 3), repeat('0', 16), substr(h, 9, 8)) END AS num FROM a),
+b AS (SELECT *, substr(num, 5, 4) AS g, ('0x' || substr(num, 1, 2))::INT AS o1, ('0x' || substr(num, 3, 2))::INT AS o2, ('0x' || substr(num, 5, 2))::INT AS o3,
+    array_to_string(list_transform(string_split(num, ''), lambda c: lpad(bin(('0x' || c)::INT), 4, '0')), '') AS bits FROM n),
+k AS (SELECT length(bits) AS w, len, left(bits, len) AS pre, min(cidr) AS cidr, min(struct_pack(c := cidr, o := concat('p', page_id))).o AS owner
+  FROM (SELECT *, {v.BLOCK_BITS} AS len, concat(address, '/', {v.BLOCK_BITS}) AS cidr FROM b WHERE page_id % 20 = 0 AND bits IS NOT NULL) GROUP BY 1, 2, 3),
+f AS (SELECT b.page_id, arg_max(k.cidr, k.len) AS cidr, arg_max(k.owner, k.len) AS owner
+  FROM b JOIN k ON k.w = length(b.bits) AND k.pre = left(b.bits, k.len) GROUP BY 1)
+SELECT b.page_id, CASE WHEN num IS NULL THEN false
+    WHEN length(num) = 8 THEN NOT (o1 IN (0, 10, 127) OR o1 >= 224 OR (o1 = 100 AND o2 BETWEEN 64 AND 127) OR (o1 = 169 AND o2 = 254)
+      OR (o1 = 172 AND o2 BETWEEN 16 AND 31) OR (o1 = 192 AND o2 = 0 AND o3 IN (0, 2)) OR (o1 = 192 AND o2 = 168) OR (o1 = 198 AND o2 IN (18, 19))
+      OR (o1 = 198 AND o2 = 51 AND o3 = 100) OR (o1 = 203 AND o2 = 0 AND o3 = 113))
+    WHEN num LIKE '2001%' THEN (g >= '0200' AND g <> '0db8') OR g = '0003' OR g BETWEEN '0020' AND '003f'
+    WHEN num LIKE '2002%' OR num LIKE '3fff0%' THEN false
+    ELSE left(bits, 3) = '001' OR left(bits, 10) = '1111111011' END AS is_public, f.cidr, f.owner
+FROM b LEFT JOIN f USING (page_id)"""
+
 # ------------------------------------------------------------------ texts
 _HITS = {
     c: "list_concat(" + ", ".join(f"regexp_extract_all(low, {_Q(p)}, 1)" for p in [*ps, *([] if len(ps) > 1 else [])])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskflow import dims
 from riskflow.functions import files, text, urls
 from riskflow.operators import (
+    address_ranges,
     admission,
     attachment_rules,
     dedup,
@@ -152,6 +153,18 @@ def public_address(spark, sf):
     ).select("event_id", urls.is_public_address(F.col("address")).alias("is_public"))
 
 
+def address_blocks(spark, sf):
+    """Longest block of each address, among blocks of every twentieth page, and whether it is public."""
+    source = views.page_addresses(lambda e: f"conv({e}, 16, 10)").replace("FROM pages", "FROM {pages}")
+    rows = spark.sql(source, pages=views.table(spark, sf, "pages"))
+    blocks = rows.where("page_id % 20 = 0").selectExpr(f"concat(address, '/', {views.BLOCK_BITS}) AS cidr", "concat('p', page_id) AS owner")
+    out = address_ranges.with_block(rows, "address", blocks)
+    return out.select(
+        "page_id", urls.is_public_address(F.col("address")).alias("is_public"),
+        F.col("block.cidr").alias("cidr"), F.col("block.info.owner").alias("owner"),
+    )
+
+
 # ------------------------------------------------------------------ texts
 def text_signal_rules(spark, sf):
     out = text_signals.with_text_signals(views.view(spark, sf, views.TEXT))
@@ -862,6 +875,7 @@ QUERIES = {
     "url_flag_reasons": url_flag_reasons,
     "redirect_resolve": redirect_resolve,
     "public_address": public_address,
+    "address_blocks": address_blocks,
     "text_signals": text_signal_rules,
     "text_normalize": text_normalize,
     "redact_text": redact_text,

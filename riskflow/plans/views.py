@@ -111,6 +111,25 @@ HEADERS = ("events", {
     "h_received": "CASE event_id % 19 WHEN 0 THEN 'from forged.host' ELSE 'from mx.example.com' END",
 })
 
+
+
+def page_addresses(hex_int) -> str:
+    """Address texts of both families made from a digest of each URL, as a SELECT over ``pages``.
+
+    ``hex_int(e)``: SQL of the number that hex text ``e`` stands for.
+    """
+    octets = ", '.', ".join(hex_int(f"substr(h, {i}, 2)") for i in (9, 11, 13, 15))
+    groups = "substr(h, 1, 4), ':', substr(h, 5, 4), '::', substr(h, 9, 4), ':', substr(h, 13, 4)"
+    return f"""SELECT page_id, h, CASE WHEN substr(h, 32, 1) = '0' THEN concat('x', h) WHEN substr(h, 32, 1) < '8' THEN concat({octets})
+  WHEN substr(h, 32, 1) = '8' THEN upper(concat({groups})) WHEN substr(h, 32, 1) < 'd' THEN concat({groups})
+  ELSE concat({groups.replace("substr(h, 1, 4)", "'2001'").replace("substr(h, 5, 4)", "concat('0', substr(h, 6, 3))")}) END AS address
+FROM (SELECT page_id, md5(url) AS h FROM pages)"""
+
+
+#: every twentieth page gives a block
+BLOCK_BITS = """CASE WHEN address LIKE '%:%' THEN CASE substr(h, 31, 1) WHEN '0' THEN 0 WHEN '1' THEN 18 WHEN '2' THEN 23 ELSE 2 END
+  ELSE CASE substr(h, 31, 1) WHEN '0' THEN 0 WHEN '1' THEN 16 WHEN '2' THEN 7 ELSE 3 END END"""
+
 HISTORY = ("events", {
     "scan_id": "concat('00000000-0000-4000-8000-', lpad(cast(event_id AS STRING), 12, '0'))",
     "ts": "ts",
