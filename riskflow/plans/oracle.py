@@ -633,6 +633,10 @@ _UP = f"""fd AS ({v.FEED_URLS_SQL}), ld AS (SELECT DISTINCT url, lower({_HOST})
 up AS (SELECT url, domain, 'phishing' AS threat_type, 'OpenPhish' AS source FROM ld
   UNION ALL SELECT url, domain, threat_type, source FROM fd WHERE url NOT IN (SELECT url FROM ld))"""
 SQL["feed_upsert"] = f"WITH {_UP} SELECT * FROM up"
+SQL["feed_file_lines"] = f"""WITH fd AS ({v.FEED_URLS_SQL}), ln AS (
+  SELECT page_id, concat('https://feed.example.com/', page_id % 40, substr(md5(url), 1, 1)) AS url FROM pages WHERE page_id % 7 <> 3 AND page_id % 11 <> 5)
+SELECT url, 'feed.example.com' AS domain, concat('t', max(page_id)) AS threat_type, 'one,"two"' AS tags, 'URLhaus' AS source FROM ln GROUP BY url
+UNION ALL SELECT url, domain, threat_type, tags, source FROM fd WHERE url NOT IN (SELECT url FROM ln)"""
 SQL["feed_counts"] = f"WITH {_UP} SELECT source, count(*) AS added FROM up GROUP BY 1"
 SQL["feed_stats"] = f"""WITH {_UP} SELECT (SELECT count(*) FROM fd) AS threat_urls_count, {len(dims.SEED_HASHES)}::BIGINT AS malware_hashes_count,
   {len(dims.SEED_DOMAINS)}::BIGINT AS whitelisted_domains_count, 'baseline' AS last_synced, 'ready' AS status"""

@@ -27,7 +27,8 @@ from riskflow.operators import (
 from riskflow.functions.columns import engine_result, no_flags, skipped_result
 from riskflow.plans import metrics, views
 from riskflow.plans.scan import scan
-from riskflow.sources import feedback, feeds, history, mail, scans, share, verdicts
+from riskflow.session import scratch_folder
+from riskflow.sources import feedback, feeds, history, mail, scans, share, snapshots, verdicts
 from riskflow.sources.feeds import Indicators
 from riskflow.streaming import flows
 
@@ -805,6 +806,17 @@ def feed_upsert(spark, sf):
     return feeds.upsert(stored, [load], "url").select("url", "domain", "threat_type", "source")
 
 
+def feed_file_lines(spark, sf):
+    """A comma-separated feed written from pages in order of their number, read back and published."""
+    lines = views.table(spark, sf, "pages").orderBy("page_id").selectExpr(views.FEED_LINE)
+    landed = scratch_folder(spark, "feed-lines")
+    lines.write.mode("overwrite").text(landed)
+    load = feeds.read_urlhaus(spark, landed, "2024-02-01")
+    stored = views.feed_urls(spark, sf)
+    made = snapshots.publish(spark, scratch_folder(spark, "feed-versions"), {"urls": feeds.upsert(stored, [load], "url")})
+    return made.read("urls").select("url", "domain", "threat_type", "tags", "source")
+
+
 def feed_counts(spark, sf):
     return feeds.counts_by_source(feed_upsert(spark, sf))
 
@@ -936,6 +948,7 @@ QUERIES = {
     "admission_request": admission_request,
     "live_session_join": live_session_join,
     "feed_upsert": feed_upsert,
+    "feed_file_lines": feed_file_lines,
     "feed_counts": feed_counts,
     "feed_stats": feed_stats,
     "mail_extract": mail_extract,

@@ -225,6 +225,11 @@ def feed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: a comment, a short line, or a link that others repeat; the last line of a link wins
+FEED_LINE = '''CASE WHEN page_id % 7 = 3 THEN '# comment' WHEN page_id % 11 = 5 THEN concat('"', page_id, '","short"')
+  ELSE concat('"', page_id, '","2024-01-01"," https://feed.example.com/', page_id % 40, substr(md5(url), 1, 1), ' ","online","l","t', page_id,
+    '","one,""two""","u","r"') END'''
+
 FEED_URLS_SQL = """SELECT url, min(regexp_extract(url, '://([^/?#]*)', 1)) AS domain,
   'malware_download' AS threat_type, '' AS tags, 'URLhaus' AS source
   FROM pages WHERE page_id % 25 = 9 GROUP BY url"""

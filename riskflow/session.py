@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +76,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="riskflow-checkpoint-")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """New folder name below the shared checkpoint folder; what is written there goes when the session ends."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/riskflow/{name}-{uuid.uuid4().hex[:12]}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jpath)
+    fs.deleteOnExit(jpath)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialize narrow rows in the shared checkpoint folder and continue from there.
 

@@ -45,30 +45,36 @@ def seed_indicators(
 
 
 # ------------------------------------------------------------------ feed files
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the landed feed in file order: ``line_no`` (rising) and ``value``.
+LINE_AT = "struct<file:string,start:bigint,row:bigint>"
 
-    Every landed file is one download and is read as one unsplit text file.
+
+def feed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the landed files with their place ``line_at``, which rises in file order.
+
+    A file is read in splits by many tasks. A place is the file, the first byte of the split and the row in
+    the task that reads it; places are only compared, so no pass over the file counts its lines.
     """
-    return (
-        spark.read.option("wholetext", True)
-        .text(path)
-        .select(F.col("_metadata.file_path").alias("file"), "value")
-        .select("file", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "value"))
+    return spark.read.text(path).select(
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("row"),
+        ).cast(LINE_AT).alias("line_at"),
+        "value",
     )
 
 
 def _first_lines(lines: DataFrame, keep: Column, limit: int | None) -> DataFrame:
     kept = lines.where(keep)
-    return kept.orderBy("file", "line_no").limit(limit) if limit else kept
+    return kept.orderBy("line_at").limit(limit) if limit else kept
 
 
 def _csv_fields(lines: DataFrame, width: int) -> DataFrame:
     names = ", ".join(f"c{i} string" for i in range(width))
     return lines.select(
-        "line_no",
+        "line_at",
         F.from_csv(F.col("value"), F.lit(names), {"mode": "PERMISSIVE", "escape": '"'}).alias("r"),
-    ).select("line_no", "r.*")
+    ).select("line_at", "r.*")
 
 
 def read_urlhaus(
@@ -76,7 +82,7 @@ def read_urlhaus(
 ) -> DataFrame:
     """Comma-separated link feed; the cap counts lines before rows are checked."""
     lines = _first_lines(
-        _numbered_lines(spark, path), ~F.col("value").rlike("^(?:#|$)"), max_rows
+        feed_lines(spark, path), ~F.col("value").rlike("^(?:#|$)"), max_rows
     )
     rows = _csv_fields(lines, 8).where("c5 is not null")
     url = F.trim("c2")
@@ -88,7 +94,7 @@ def read_urlhaus(
         F.trim("c3").alias("url_status"),
         F.lit(as_of).alias("first_seen"),
         F.lit("URLhaus").alias("source"),
-        "line_no",
+        "line_at",
     )
 
 
@@ -96,7 +102,7 @@ def read_malwarebazaar(
     spark: SparkSession, path: str, max_rows: int | None = None
 ) -> DataFrame:
     lines = _first_lines(
-        _numbered_lines(spark, path), ~F.col("value").rlike("^(?:#|$)"), max_rows
+        feed_lines(spark, path), ~F.col("value").rlike("^(?:#|$)"), max_rows
     )
     rows = _csv_fields(lines, 12).where("c10 is not null")
     or_text = lambda c, text: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(text))
@@ -108,16 +114,14 @@ def read_malwarebazaar(
         F.coalesce(F.trim("c10").try_cast("double"), F.lit(100.0)).alias("vt_percent"),
         F.trim("c0").alias("first_seen"),
         F.lit("MalwareBazaar").alias("source"),
-        "line_no",
+        "line_at",
     )
 
 
-def read_openphish(
-    spark: SparkSession, path: str, as_of: str, max_rows: int | None = None
-) -> DataFrame:
+def phishing_links(lines: DataFrame, as_of: str, max_rows: int | None = None) -> DataFrame:
+    """Rows of a feed of one link a line."""
     url = F.trim("value")
-    lines = _first_lines(_numbered_lines(spark, path), url.startswith("http"), max_rows)
-    return lines.select(
+    return _first_lines(lines, url.startswith("http"), max_rows).select(
         url.alias("url"),
         url_host(url).alias("domain"),
         F.lit("phishing").alias("threat_type"),
@@ -125,20 +129,27 @@ def read_openphish(
         F.lit("online").alias("url_status"),
         F.lit(as_of).alias("first_seen"),
         F.lit("OpenPhish").alias("source"),
-        "line_no",
+        "line_at",
     )
 
 
+def read_openphish(
+    spark: SparkSession, path: str, as_of: str, max_rows: int | None = None
+) -> DataFrame:
+    return phishing_links(feed_lines(spark, path), as_of, max_rows)
+
+
 # ------------------------------------------------------------------ upsert and statistics
 def upsert(stored: DataFrame, loads: list[DataFrame], key: str) -> DataFrame:
-    """Last write per key wins: stored rows, then each load in turn, by line inside a load.
+    """Last write per key wins: stored rows, then each load in turn, by ``line_at`` inside a load.
 
     One aggregation with map-side combine; a key repeated very often never gathers.
     """
     fields = stored.columns
-    parts = [stored.withColumns({"_load": F.lit(0), "_line": F.lit(0).cast("bigint")})]
+    nowhere = F.lit(None).cast(LINE_AT)
+    parts = [stored.withColumns({"_load": F.lit(0), "_line": nowhere})]
     for i, load in enumerate(loads, start=1):
-        line = F.col("line_no").cast("bigint") if "line_no" in load.columns else F.lit(0).cast("bigint")
+        line = F.col("line_at").cast(LINE_AT) if "line_at" in load.columns else nowhere
         parts.append(
             load.withColumns({"_load": F.lit(i), "_line": line}).select(*fields, "_load", "_line")
         )

@@ -20,6 +20,7 @@ from riskflow.plans.scan import scan, senders_after
 from riskflow.sources import feeds
 from riskflow.sources.history import history_records, new_records
 from riskflow.sources.mail import mail_to_scans
+from riskflow.sources.snapshots import open_snapshot, publish, retain, versions
 from riskflow.schemas import HISTORY
 from riskflow.streaming.state import WatchGate, keyed
 
@@ -263,15 +264,57 @@ def inbox_batch(tables: feeds.Indicators, root: str, as_scan_id=None) -> Callabl
     return run
 
 
+def stored_indicators(spark: SparkSession, root: str, as_of: str, version: int | None = None) -> feeds.Indicators:
+    """Indicator tables of one published version (the latest by default); the seeds before there is any."""
+    found = open_snapshot(spark, root, version)
+    if found is None:
+        return feeds.seed_indicators(spark, as_of)
+    return feeds.Indicators(found.read("hashes"), found.read("urls"), found.read("allow"))
+
+
 def refresh_snapshot(
-    spark: SparkSession, stored: feeds.Indicators, as_of: str, out: str, **files
+    spark: SparkSession, stored: feeds.Indicators, as_of: str, out: str, keep: int = 2, **files
 ) -> feeds.Indicators:
-    """Scheduled feed refresh: load the landed files and write a new snapshot folder."""
+    """Scheduled feed refresh: load the landed files and publish a new version below ``out``.
+
+    A refresh that fails on the way leaves the version before it in force.
+    """
     new, summary, meta = feeds.refresh(spark, stored, as_of, **files)
-    folder = f"{out}/as_of={as_of.replace(':', '-').replace(' ', 'T')}"
-    new.hashes.write.mode("overwrite").parquet(f"{folder}/hashes")
-    new.urls.write.mode("overwrite").parquet(f"{folder}/urls")
-    summary.write.mode("overwrite").parquet(f"{folder}/summary")
-    meta.write.mode("overwrite").parquet(f"{folder}/meta")
-    read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    return feeds.Indicators(read("hashes"), read("urls"), stored.allow)
+    tables = {"hashes": new.hashes, "urls": new.urls, "allow": new.allow, "summary": summary, "meta": meta}
+    made = publish(spark, out, tables, {"as_of": as_of})
+    retain(spark, out, keep)
+    return feeds.Indicators(made.read("hashes"), made.read("urls"), made.read("allow"))
+
+
+def landed_links(spark: SparkSession, folder: str, archive: str | None = None) -> DataFrame:
+    """Stream of the lines of link feed files that land in ``folder``; ``archive`` takes the files that are done."""
+    lines = spark.readStream.option("maxFilesPerTrigger", 100)
+    if archive is not None:
+        lines = lines.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    # a file that lands later is newer, whatever its name
+    return lines.text(folder).select(
+        "value", F.col("_metadata.file_modification_time").alias("landed"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+    )
+
+
+def feed_batch(root: str, as_of: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body behind :func:`landed_links`: upsert into the latest version, published per batch.
+
+    A repeated batch finds its version published and changes nothing. Of equal links in a batch the one landed
+    last wins, inside a file the later line.
+    """
+
+    def run(lines: DataFrame, batch_id: int) -> None:
+        spark = lines.sparkSession
+        if batch_id in versions(spark, root):
+            return
+        stored = stored_indicators(spark, root, as_of)
+        stamp = F.concat_ws(" ", F.date_format("landed", "yyyy-MM-dd HH:mm:ss.SSS"), "file")
+        place = F.struct(stamp.alias("file"), "start", F.monotonically_increasing_id().alias("row"))
+        load = feeds.phishing_links(lines.select(place.cast(feeds.LINE_AT).alias("line_at"), "value"), as_of)
+        urls = feeds.upsert(stored.urls, [load], "url")
+        publish(spark, root, {"hashes": stored.hashes, "urls": urls, "allow": stored.allow}, {"as_of": as_of}, batch_id)
+        retain(spark, root, keep)
+
+    return run
